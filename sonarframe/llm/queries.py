@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup
+from . import byte_bpe, decontaminate, fingerprints, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,25 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate)}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's edited text ends in the beginning of the next document's, in descending order of doc_id."""
+    docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    half = F.col("n_chars") - F.floor(F.col("n_chars") / 2)
+    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), half.cast("int")), F.substring("next_text", F.lit(1), (F.col("n_chars") - half).cast("int"))))
+    own, edited, following = (fingerprints.fingerprint(F.col(c)) for c in ("text", "edited", "next_text"))
+    docs = docs.withColumns({"own": own, "changed": edited, "following": following})
+    return docs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text("own").alias("fingerprint"), fingerprints.as_text("changed").alias("edited_fingerprint"),
+        fingerprints.likeness("own", "changed").alias("near_edited"), fingerprints.likeness("own", "following").alias("near_next"),
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op6_fingerprints, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
