@@ -5,10 +5,12 @@ signatures differ in at most MAX_DISTANCE = 2 * chunks - 1 lanes, some chunk dif
 (pigeonhole), so enumerating the four ways to leave one lane of a chunk out yields keys of which such a
 pair shares one.  Documents with the same set are one class before that.  Candidates are confirmed on the full sets.
 
-A key that many classes share does not make all their pairs.  First every class is tried against the least
-and the greatest class of each of its keys; confirmed links join components.  Only then, and only for keys
-whose classes are still in different components, the pairs across components are tried, all of them.  So no
-link that would join two components is lost.
+A key that many classes share does not make all their pairs.  First every class is compared with the least
+class of each of its keys, its centre; confirmed links join components.  Then, for keys whose classes are still
+in different components, all pairs across components follow, with a bound in the join's condition: two
+sets have no more in common than their shares of the centre's set allow, plus what they have in common
+outside it, and those few shingles are known from the comparison with the centre.  The bound holds for every
+pair, so no link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -100,20 +102,22 @@ def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_bucket", bucket).join(few, "_bucket", "left_semi").drop("_bucket").join(ids.select(key).distinct(), key, "left_semi")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are as alike as asked for."""
+def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
+    """a, b, linked, n (b's set size) and others (b's shingles that a lacks), for every pair or for those that sizes and signatures leave."""
     chunks = [f"c{k}" for k in range(CHUNKS)]
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in chunks))
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in chunks))
     same = [F.when(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")).bitwiseAND(F.lit(0xFFFF << s if s < 48 else -(1 << 48))) == 0, 1).otherwise(0) for c in chunks for s in (0, 16, 32, 48)]
-    near = pairs.distinct().join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (reduce(lambda x, y: x + y, same) >= LANES - MAX_DISTANCE))
+    near = pairs.distinct() if every else pairs.distinct().join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (reduce(lambda x, y: x + y, same) >= LANES - MAX_DISTANCE))
     near = written(near.select("a", "b"), "candidates")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     scan, schema = _sets(size)
     sets = written(only(docs, ids, "doc_id").mapInArrow(scan, schema), "sets")
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"), "links")
+    others = F.array_except("sb", "sa")
+    common = F.size("sb") - F.size("others")
+    linked = common * 100 >= (F.size("sa") + F.size("others")) * percent
+    return written(both.withColumn("others", others).select("a", "b", linked.alias("linked"), F.size("sb").alias("n"), "others"), "compared")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -132,20 +136,27 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     reps = written(classes, "classes")
     lanes = [F.xxhash64(F.col(c).bitwiseAND(F.lit(~(0xFFFF << 16 * s) if s < 3 else (1 << 48) - 1)), F.lit(4 * k + s)) for k, c in enumerate(chunks) for s in range(4)]
     keys = reps.select("rep", F.explode(F.array(*lanes)).alias("key"))
-    ends = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    shared = written(keys.join(ends, "key"), "keys")
-    star = shared.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("rep").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _confirmed(star, docs, reps, shingle, percent)
+    centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many")
+    shared = written(keys.join(centres, "key"), "keys")
+    star = _compared(shared.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")), docs, reps, shingle, percent, every=True)
+    links = star.where("linked").select("a", "b")
     found = written(components(links), "components")
 
     label = F.coalesce("component", "rep").alias("component")
-    open_keys = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", label)
-    mixed = open_keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_keys = written(open_keys.join(mixed, "key"), "keys")
-    x, y = open_keys.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), open_keys.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
-    tried = star.distinct()
-    more = _confirmed(rest.join(tried, ["a", "b"], "left_anti"), docs, reps, shingle, percent)
+    labelled = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "centre", "rep", label)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    own = star.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "n", "others")
+    member = written(labelled.where("centre <> rep").join(mixed, "key").join(own, ["centre", "rep"]).select("key", "rep", "component", "n", "others"), "members")
+    x, y = (member.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "others"))) for side in "xy")
+    outside_x, outside_y = F.size("others_x"), F.size("others_y")
+    inside = F.least(F.col("n_x") - outside_x, F.col("n_y") - outside_y)
+    sizes = F.col("n_x") + F.col("n_y")
+
+    def possible(common: Column) -> Column:  # whether so many common shingles can make a link
+        return common * (100 + percent) >= sizes * percent
+
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & possible(inside + F.least(outside_x, outside_y)) & possible(inside + F.size(F.array_intersect("others_x", "others_y"))))
+    more = _compared(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), docs, reps, shingle, percent, every=False).where("linked").select("a", "b")
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
 
