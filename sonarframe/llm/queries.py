@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, near_dedup
+from . import byte_bpe, decontaminate, fingerprints, language_id, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.identify(docs, trees, "doc_id").select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op6_fingerprints, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op6_fingerprints, op8_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
