@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, near_dedup
+from . import byte_bpe, decontaminate, fingerprints, language_id, near_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels.where(~language_id.held_out()))
+    return toxicity.toxicity(docs, weights).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's edited text ends in the beginning of the next document's, in descending order of doc_id."""
     docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
@@ -46,6 +52,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op6_fingerprints, op8_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op4_toxicity, op6_fingerprints, op8_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
