@@ -7,7 +7,7 @@ L1 term keeps those at zero that do not earn a weight, so the weights are compac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,18 +25,25 @@ SKIP = np.uint64(0x5851F42D4C957F2D)
 SLICE = 1 << 20
 
 
-def coordinates(data: np.ndarray, offsets: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(row, coordinate) of all features of all rows, with repeats."""
+#: (row, coordinate, value) of the features of the rows of a slice; of repeats without values one counts, values add up.
+Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+
+
+def word_ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
     h, _, first = words(data, offsets, ALNUM)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     rows, hashes = [row], [mix(h)]
-    for gap in (1, 2) if pairs else ():
+    for gap in (1, 2):
         if len(h) > gap:
             inside = row[:-gap] == row[gap:]
             rows.append(row[:-gap][inside])
             both = combine(h[:-gap], h[gap:])[inside]
             hashes.append(mix(both ^ SKIP) if gap == 2 else both)
-    return np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(rows), coordinate(np.concatenate(hashes)), None
+
+
+def coordinate(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -56,48 +63,44 @@ class Ftrl:
             l1[-1] = 0.0
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def learn(self, at: np.ndarray, target: float) -> None:
-        """One step; at: the row's coordinates with the intercept last, target: its label, or posterior."""
+    def learn(self, at: np.ndarray, x: np.ndarray, target: float) -> None:
+        """One step; at: the row's coordinates with the intercept last, x: their values, target: its label, or posterior."""
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - target
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - target) * x
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
 
-def _shard(rates: tuple, sent, epoch: int):
+def _shard(rates: tuple, sent, epochs: range, features: Features):
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         own = Ftrl(*rates, sent.value[0].copy(), sent.value[1].copy())
         part = part.sort_values("doc_id", kind="stable")
-        for i in np.random.default_rng(epoch).permutation(len(part)):
-            own.learn(np.append(part["at"].iat[i], len(own.z) - 1), part["target"].iat[i])
+        for epoch in epochs:
+            for i in np.random.default_rng(epoch).permutation(len(part)):
+                data = np.frombuffer((part["text"].iat[i] or "").encode(), dtype=np.uint8)
+                _, at, x = features(data, np.array([0, len(data)]))
+                at, inverse = np.unique(at, return_inverse=True)
+                x = np.ones(len(at)) if x is None else np.bincount(inverse, weights=x, minlength=len(at))
+                own.learn(np.append(at, len(own.z) - 1), np.append(x, 1.0), part["target"].iat[i])
         return pd.DataFrame({"z": [own.z.tobytes()], "n": [own.n.tobytes()]})
 
     return learn
 
 
-def train(rows: DataFrame, ftrl: Ftrl, shards: int = 8, epochs: int = 4, pairs: bool = True) -> np.ndarray:
+def train(rows: DataFrame, ftrl: Ftrl, shards: int = 4, rounds: int = 3, epochs: int = 2, features: Features = word_ngrams) -> np.ndarray:
     """Weights from rows (doc_id, text, target); the rows are a sample that the caller has bounded.
 
-    Each epoch is a job: every shard goes on from the same state over its rows, in an order that depends
-    on the epoch, and the shards' states are averaged.  A state has 2^BITS + 1 coordinates.
+    Each round is a job: every shard goes on from the same state over its rows for some epochs, in an order
+    that depends on the epoch, and the shards' states are averaged.  A state has 2^BITS + 1 coordinates.
     """
-
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in slices(batch, limit=SLICE):
-                row, at = coordinates(data, offsets, pairs)
-                pair = np.unique(row << BITS | at)
-                cut = np.searchsorted(pair >> BITS, np.arange(hi - lo + 1)).astype(np.int32)
-                values = pa.array((pair & ((1 << BITS) - 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), batch.column("target").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), values)], names=["shard", "doc_id", "target", "at"])
-
-    marked = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long"), F.col("target").cast("double"), "text")
-    sample = written(marked.mapInArrow(featurise, "shard int, doc_id long, target double, at array<int>"), "features")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
+    sample = written(rows.select(shard, F.col("doc_id").cast("long"), F.col("target").cast("double"), F.col("text").cast("string").alias("text")), "sample")
     rates = (ftrl.alpha, ftrl.beta, ftrl.l1, ftrl.l2)
-    for epoch in range(epochs):
+    for k in range(rounds):
         sent = rows.sparkSession.sparkContext.broadcast((ftrl.z, ftrl.n))
-        states = sample.groupBy("shard").applyInPandas(_shard(rates, sent, epoch), "z binary, n binary").collect()
+        learn = _shard(rates, sent, range(k * epochs, (k + 1) * epochs), features)
+        states = sample.groupBy("shard").applyInPandas(learn, "z binary, n binary").collect()
         if states:
             ftrl.z = np.mean([np.frombuffer(s["z"]) for s in states], axis=0)
             ftrl.n = np.mean([np.frombuffer(s["n"]) for s in states], axis=0)
@@ -105,7 +108,7 @@ def train(rows: DataFrame, ftrl: Ftrl, shards: int = 8, epochs: int = 4, pairs:
     return ftrl.weights().astype(np.float32)
 
 
-def scored(documents: DataFrame, weights: np.ndarray, *keep: str, pairs: bool = True) -> DataFrame:
+def scored(documents: DataFrame, weights: np.ndarray, *keep: str, features: Features = word_ngrams) -> DataFrame:
     """The columns to keep and score, the probability of a 1; a null or empty text has the intercept's."""
     sent = documents.sparkSession.sparkContext.broadcast(weights)
     fields = [f for f in documents.schema if f.name in keep]
@@ -114,10 +117,11 @@ def scored(documents: DataFrame, weights: np.ndarray, *keep: str, pairs: bool =
         w = sent.value
         for batch in batches:
             for lo, hi, data, offsets in slices(batch, "_text", SLICE):
-                row, at = coordinates(data, offsets, pairs)
+                row, at, x = features(data, offsets)
                 some = w[at] != 0
-                pair = np.unique(row[some] << BITS | at[some])
-                logit = w[-1] + np.bincount(pair >> BITS, weights=w[pair & ((1 << BITS) - 1)], minlength=hi - lo)
+                pair, inverse = np.unique(row[some] << BITS | at[some], return_inverse=True)
+                x = 1.0 if x is None else np.bincount(inverse, weights=x[some], minlength=len(pair))
+                logit = w[-1] + np.bincount(pair >> BITS, weights=w[pair & ((1 << BITS) - 1)] * x, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in fields), pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], names=[*(f.name for f in fields), "score"])
 
     text = F.col("text").cast("string").alias("_text")

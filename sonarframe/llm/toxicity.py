@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .hashed import Ftrl, drawn, scored, train
 
 #: Training rows at most; of more labelled rows, those with the smallest hashes of doc_id are taken.
-TRAINING = 30_000
+TRAINING = 12_000
 #: Rows that a shard of the training gets at least; fewer give its L1 term too little to weigh.
-PER_SHARD = 7_500
+PER_SHARD = 6_000
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = TRAINING) -> np.ndarray:
@@ -25,7 +25,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRAINING) -> np.nda
     share = min(1.0, 0.9 * most / max(1, n))
     sample = known.where(drawn("doc_id", share)).limit(most)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most `most` rows
-    return train(rows, Ftrl(alpha=3.0, beta=1.0, l1=6.0, l2=0.1), shards=max(1, min(n, most) // PER_SHARD), epochs=5)
+    return train(rows, Ftrl(alpha=3.0, beta=1.0, l1=6.0, l2=0.1), shards=max(1, min(n, most) // PER_SHARD))
 
 
 def toxicity(documents: DataFrame, weights: np.ndarray) -> DataFrame:
