@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, near_dedup, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, near_dedup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -52,6 +56,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op4_toxicity, op6_fingerprints, op8_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op6_fingerprints, op8_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
