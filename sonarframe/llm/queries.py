@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, near_dedup, quality, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, lm_score, near_dedup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good and not toxic; background: all documents."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    models = lm_score.fit(marked, F.col("good"))
+    return lm_score.scored(docs, models, "doc_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = language_id.train(docs.where(~language_id.held_out()))
@@ -56,6 +65,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op6_fingerprints, op8_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op6_fingerprints, op7_lm_score, op8_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
