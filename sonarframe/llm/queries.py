@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, lm_score, near_dedup, quality, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, line_dedup, lm_score, near_dedup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, weights).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's edited text ends in the beginning of the next document's, in descending order of doc_id."""
     docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
@@ -65,6 +69,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op6_fingerprints, op7_lm_score, op8_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
