@@ -50,13 +50,26 @@ def _word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return h.view(np.int64), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
+def _gathered(counts: DataFrame) -> np.ndarray:
+    """Rows key, background, target of bounded counts; they travel to the driver as one piece for each batch."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in batch.columns]).astype("<i8").tobytes()], pa.binary())], names=["packed"])
+
+    pieces = [np.frombuffer(r[0], dtype="<i8").reshape(3, -1) for r in counts.mapInArrow(pack, "packed binary").toLocalIterator()]
+    return np.concatenate(pieces, axis=1) if pieces else np.zeros((3, 0), dtype=np.int64)
+
+
 class Models:
     """Sorted word hashes; unigram and bigram counts of both models, number 0 standing for other words."""
 
-    def __init__(self, vocabulary: np.ndarray):
+    def __init__(self, vocabulary: np.ndarray, counts: bool = True):
         self.vocabulary = vocabulary
+        if not counts:
+            return
         self.unigram = np.zeros((2, len(vocabulary) + 1))
-        self.bigram = np.zeros((2, CELLS))
+        self.bigram = np.zeros((2, CELLS), dtype=np.float32)
 
     def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of each word, row of each word, whether the word before is of the same row)"""
@@ -107,17 +120,16 @@ def fit(documents: DataFrame, in_target: Column, vocabulary: int = VOCABULARY) -
     """Both models from all documents; in_target says of each row whether it belongs to the target too (null: no)."""
     docs = documents.select(F.col("text").cast("string").alias("text"), F.coalesce(in_target, F.lit(False)).alias("in_target"))
     counts = written(_counted(docs, _word_keys), "words")
-    top = counts.orderBy(F.desc("background"), "key").limit(vocabulary).toPandas()
+    top = _gathered(counts.orderBy(F.desc("background"), "key").limit(vocabulary))
     rest = counts.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    top["word"] = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    top = top.sort_values("word")
-    models = Models(top["word"].to_numpy())
-    for m, name in enumerate(("background", "target")):
-        models.unigram[m, 1:] = top[name]
-        models.unigram[m, 0] = rest[m] - top[name].sum()
+    order = np.argsort(top[0].view(np.uint64))
+    models = Models(top[0].view(np.uint64)[order])
+    for m in (0, 1):
+        models.unigram[m, 1:] = top[1 + m][order]
+        models.unigram[m, 0] = rest[m] - top[1 + m].sum()
     sent = documents.sparkSession.sparkContext.broadcast(models.vocabulary)
-    cells = _counted(docs, lambda data, offsets: Models(sent.value).bigram_keys(data, offsets)).toPandas()  # CELLS rows at most
-    models.bigram[0, cells["key"]], models.bigram[1, cells["key"]] = cells["background"], cells["target"]
+    cells = _gathered(written(_counted(docs, lambda data, offsets: Models(sent.value, counts=False).bigram_keys(data, offsets)), "cells"))  # CELLS columns at most
+    models.bigram[0, cells[0]], models.bigram[1, cells[0]] = cells[1], cells[2]
     return models.freeze()
 
 
