@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, line_dedup, lm_score, near_dedup, quality, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, license_scan, line_dedup, lm_score, near_dedup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, trees, "doc_id").select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op9_license_scan, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
