@@ -271,19 +271,24 @@ def _tokenizer(key: tuple, ranks: dict[bytes, int], half: dict[int, tuple[int, i
 
 
 def encoded(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id and ids array<int>; a null text is empty and has no ids."""
+    """doc_id, ids array<int> and exact (decoding the ids gives the text); a null text is empty and has no ids."""
     ranks = load_ranks(ranks_path)
     sent = documents.sparkSession.sparkContext.broadcast((ranks, halves(ranks)))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer((ranks_path, pattern), *sent.value, pattern)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([tokenizer.encode(t or "").tolist() for t in part.column("text").to_pylist()], pa.list_(pa.int32()))], schema=schema)
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, ids array<int>")
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = [tokenizer.encode(t) for t in texts]
+                exact = [tokenizer.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(i.tobytes() for i in ids), dtype=np.uint32).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(exact)], schema=schema)
+
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, ids array<int>, exact boolean")
 
 
 def decoded(ids: DataFrame, ranks_path: str) -> DataFrame:
