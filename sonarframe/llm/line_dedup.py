@@ -25,13 +25,13 @@ DISTANCE = 2
 LEAST = 16
 
 
-def form(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
-
-
 def lines(documents: DataFrame, *keep: str) -> DataFrame:
-    """The columns to keep, pos (from 0) and line of each line; a null text has none, an empty one an empty line."""
-    return documents.where("text is not null").select(*keep, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
+    """The columns to keep, pos (from 0) and form of each line; a null text has none, an empty one an empty line.
+
+    The forms are made before the lines become rows, so what uses them does not make them again.
+    """
+    forms = F.transform(F.split(F.lower(F.col("text").cast("string")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\v")))
+    return documents.where("text is not null").select(*keep, F.posexplode(forms).alias("pos", "form"))
 
 
 def segment(n: Column, k: int, d: int) -> tuple[Column, Column]:
@@ -77,7 +77,7 @@ def within(a: Column, b: Column, d: int = DISTANCE) -> Column:
 
     def step(words: Column, i: Column) -> Column:  # i from 0
         c = F.get(a, i)
-        equal = reduce(lambda x, y: x + y, [F.when((i + (k - d) >= 0) & (F.get(b, F.greatest(i + (k - d), F.lit(0))) == c), 1 << k).otherwise(0) for k in range(width)])
+        equal = reduce(lambda x, y: x + y, [F.when(F.get(b, i + (k - d)) == c, 1 << k).otherwise(0) for k in range(width)])
         before = [words[f"w{e}"] for e in range(d + 1)]
         after = [before[0].bitwiseAND(equal)]
         for e in range(1, d + 1):
@@ -103,8 +103,7 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     64-bit hashes of their text.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    forms = lines(docs, "doc_id").select("doc_id", "pos", form(F.col("line")).alias("form"))
-    forms = forms.select("doc_id", "pos", F.xxhash64("form").alias("id"), "form", (F.length("form") >= least).alias("long"))
+    forms = lines(docs, "doc_id").select("doc_id", "pos", F.xxhash64("form").alias("id"), "form", (F.length("form") >= least).alias("long"))
     lines_ = written(forms.select("doc_id", "pos", "id", "long"), "lines")
     known = forms.where("long").select("id", index_keys(F.col("form"), d).alias("has"), probe_keys(F.col("form"), d).alias("asks"))
     known = written(known.groupBy("id").agg(F.first("has").alias("has"), F.first("asks").alias("asks")), "keys")
