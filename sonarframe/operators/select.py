@@ -40,8 +40,8 @@ def crop_between(df: DataFrame, start: str, end: str, by: str = "stream", label:
 
 def parse_markers(df: DataFrame, prefix: str, by: str = "stream") -> DataFrame:
     """Markers that begin with a prefix: the label without it, and seconds since the stream's first row to two digits, half to even."""
-    seconds = F.expr(f"timestampdiff(MICROSECOND, min(ts) over (partition by {by}), ts)") / 1e6
-    return df.withColumn("seconds", F.bround(seconds, 2)).where(F.col("label").startswith(prefix)).withColumn("word", F.trim(F.expr(f"substring(label, {len(prefix) + 1})")))
+    hundredths = F.expr(f"timestampdiff(MICROSECOND, min(ts) over (partition by {by}), ts)") / 1e4
+    return df.withColumn("seconds", F.bround(hundredths, 0) / 100).where(F.col("label").startswith(prefix)).withColumn("word", F.trim(F.expr(f"substring(label, {len(prefix) + 1})")))
 
 
 def common_duration(df: DataFrame, by: str = "stream") -> DataFrame:
@@ -87,3 +87,14 @@ def stack(parts: Sequence[DataFrame], idx: str = "idx") -> DataFrame:
         offsets = size if offsets is None else offsets.join(F.broadcast(size))
         before = before + F.col(f"_n{k}")
     return out
+
+
+def end_to_end(df: DataFrame, by: str = "stream", idx: str = "idx") -> DataFrame:
+    """All streams behind one another in their order: idx goes on from stream to stream.
+
+    Only the streams' lengths are put in order, a row for each.
+    """
+    sizes = df.groupBy(by).agg((F.max(idx) + 1).alias("_n"))
+    before = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return df.join(offsets, by).withColumn(idx, F.col(idx) + F.col("_before")).drop("_before")
