@@ -118,7 +118,7 @@ class Models:
 
 def fit(documents: DataFrame, in_target: Column, vocabulary: int = VOCABULARY) -> Models:
     """Both models from all documents; in_target says of each row whether it belongs to the target too (null: no)."""
-    docs = documents.select(F.col("text").cast("string").alias("text"), F.coalesce(in_target, F.lit(False)).alias("in_target"))
+    docs = written(documents.select(F.col("text").cast("string").alias("text"), F.coalesce(in_target, F.lit(False)).alias("in_target")), "marked")
     counts = written(_counted(docs, _word_keys), "words")
     top = _gathered(counts.orderBy(F.desc("background"), "key").limit(vocabulary))
     rest = counts.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()

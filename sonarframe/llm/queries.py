@@ -52,7 +52,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good and not toxic; background: all documents."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")  # there may be as many labels as documents
     models = lm_score.fit(marked, F.col("good"))
     return lm_score.scored(docs, models, "doc_id")
 
