@@ -4,8 +4,9 @@ A line's form is the line in lower case, white space trimmed.  A form of length
 segments, whose lengths depend on n alone.  Of two forms within DISTANCE edits, one has a segment of the
 other, unchanged and shifted by a few characters at most, so each form probes the index of the segments
 with those of its substrings that a segment of a form as long, or shorter by up to DISTANCE, could match; the
-positions follow the multi-match rule, which counts the edits to the left and to the right.  Candidates are
-verified by a bit-parallel edit distance in a band of 2 * DISTANCE + 1 diagonals, DISTANCE + 1 words of bits
+positions follow the multi-match rule, which counts the edits to the left and to the right.  Two forms whose
+counts of some letters differ by more than the edits allow are no candidates.  The others are verified
+by a bit-parallel edit distance in a band of 2 * DISTANCE + 1 diagonals, DISTANCE + 1 words of bits
 for each character whatever the line's length.  Equal forms are one class before all this, and forms of fewer
 than LEAST characters only match equal ones.
 """
@@ -18,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .near_dedup import BUCKETS
+from .near_dedup import only
 from .shared import written
 
 DISTANCE = 2
 LEAST = 16
+#: Frequent letters, whose counts tell most candidates apart before they are made.
+LETTERS = "etaoinsrlhdcumpg"
 
 
 def lines(documents: DataFrame, *keep: str) -> DataFrame:
@@ -34,35 +37,52 @@ def lines(documents: DataFrame, *keep: str) -> DataFrame:
     return documents.where("text is not null").select(*keep, F.posexplode(forms).alias("pos", "form"))
 
 
-def segment(n: Column, k: int, d: int) -> tuple[Column, Column]:
+def segment(n: Column, k: Column, d: int) -> tuple[Column, Column]:
     """(start from 0, length) of segment k of a form of length n: the last segments are a character longer."""
-    short, longer = F.floor(n / (d + 1)).cast("int"), (n % (d + 1)).cast("int")
-    before = F.greatest(F.lit(0), F.lit(k - d - 1) + longer)  # longer segments among those before
-    return short * k + before, short + (F.lit(k) >= F.lit(d + 1) - longer).cast("int")
+    short, longer = (n / (d + 1)).cast("int"), n % (d + 1)
+    return short * k + F.greatest(F.lit(0), k - (d + 1) + longer), short + (k >= (d + 1) - longer).cast("int")
 
 
-def index_keys(text: Column, d: int = DISTANCE) -> Column:
-    n = F.length(text)
-    keys = []
-    for k in range(d + 1):
+def index_keys(text: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
+    """Hashes of the segments; n is the text's length, as a column of its own."""
+    text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
+
+    def key(k: Column) -> Column:
         start, size = segment(n, k, d)
-        keys.append(F.xxhash64(n, F.lit(k), F.substring(text, start + 1, size)))
-    return F.array(*keys)
+        return F.xxhash64(n, k, F.substring(text, start + 1, size))
+
+    return F.transform(F.array(*map(F.lit, range(d + 1))), key)
 
 
-def probe_keys(text: Column, d: int = DISTANCE) -> Column:
+def probe_keys(text: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
     """Keys that an index entry of a form of the same length, or up to d shorter, can have if it is within d edits."""
-    n = F.length(text)
-    keys = []
-    for less in range(d + 1):
-        m = n - less
-        for k in range(d + 1):
-            start, size = segment(m, k, d)
-            # k edits at most left of the segment, d - k at most right of it
-            for shift in range(max(-k, less - (d - k)), min(k, less + (d - k)) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= n), F.xxhash64(m, F.lit(k), F.substring(text, at + 1, size))))
-    return F.array_compact(F.array(*keys))
+    text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
+    # k edits at most left of the segment, d - k at most right of it
+    probes = [(less, k, shift) for less in range(d + 1) for k in range(d + 1) for shift in range(max(-k, less - (d - k)), min(k, less + (d - k)) + 1)]
+
+    def key(p: Column) -> Column:
+        m = n - p["less"]
+        start, size = segment(m, p["k"], d)
+        at = start + p["shift"]
+        return F.when((at >= 0) & (at + size <= n), F.xxhash64(m, p["k"], F.substring(text, at + 1, size)))
+
+    return F.array_compact(F.transform(F.array(*(F.struct(F.lit(x).alias("less"), F.lit(k).alias("k"), F.lit(s).alias("shift")) for x, k, s in probes)), key))
+
+
+def letters(text: str | Column, n: str | Column) -> Column:
+    """How often each of LETTERS is in the text, modulo 16, four bits for each."""
+    text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
+    counts = [F.shiftleft(((n - F.length(F.replace(text, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * k) for k, c in enumerate(LETTERS)]
+    return reduce(lambda x, y: x.bitwiseOR(y), counts)
+
+
+def may_be_near(a: Column, b: Column, d: int = DISTANCE) -> Column:
+    """Whether letters() of two texts leave room for d edits: an edit changes two counts by one at most."""
+    apart = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        off = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(off, 16 - off)
+    return apart <= 2 * d
 
 
 def within(a: Column, b: Column, d: int = DISTANCE) -> Column:
@@ -78,12 +98,23 @@ def within(a: Column, b: Column, d: int = DISTANCE) -> Column:
     def step(words: Column, i: Column) -> Column:  # i from 0
         c = F.get(a, i)
         equal = reduce(lambda x, y: x + y, [F.when(F.get(b, i + (k - d)) == c, 1 << k).otherwise(0) for k in range(width)])
-        before = [words[f"w{e}"] for e in range(d + 1)]
-        after = [before[0].bitwiseAND(equal)]
-        for e in range(1, d + 1):
-            edits = before[e - 1].bitwiseOR(F.shiftright(before[e - 1], 1)).bitwiseOR(F.shiftleft(after[e - 1], 1))
-            after.append(before[e].bitwiseAND(equal).bitwiseOR(edits).bitwiseAND(full))
-        return F.struct(*(w.alias(f"w{e}") for e, w in enumerate(after)))
+        after: list[Column] = []
+
+        def word(e: int, equal: Column) -> Column:  # each value is bound before the next uses it, so nothing is worked out twice
+            own = words[f"w{e}"].bitwiseAND(equal)
+            if e:
+                last = words[f"w{e - 1}"]
+                own = own.bitwiseOR(last).bitwiseOR(F.shiftright(last, 1)).bitwiseOR(F.shiftleft(after[-1], 1)).bitwiseAND(full)
+            if e == d:
+                return F.struct(*(w.alias(f"w{j}") for j, w in enumerate([*after, own])))
+
+            def rest(w: Column) -> Column:
+                after.append(w)
+                return word(e + 1, equal)
+
+            return F.element_at(F.transform(F.array(own), rest), 1)
+
+        return F.element_at(F.transform(F.array(equal), lambda q: word(0, q)), 1)
 
     start = F.struct(*(F.lit(sum(1 << (d + j) for j in range(e + 1))).alias(f"w{e}") for e in range(d + 1)))
     end = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step)[f"w{d}"]
@@ -105,20 +136,21 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     forms = lines(docs, "doc_id").select("doc_id", "pos", F.xxhash64("form").alias("id"), "form", (F.length("form") >= least).alias("long"))
     lines_ = written(forms.select("doc_id", "pos", "id", "long"), "lines")
-    known = forms.where("long").select("id", index_keys(F.col("form"), d).alias("has"), probe_keys(F.col("form"), d).alias("asks"))
-    known = written(known.groupBy("id").agg(F.first("has").alias("has"), F.first("asks").alias("asks")), "keys")
-    has = known.select(F.col("id").alias("a"), F.explode("has").alias("key"))
-    asks = known.select(F.col("id").alias("b"), F.explode("asks").alias("key"))
-    pairs = has.join(asks, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.distinct(), "candidates")
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bucket = F.pmod(F.col("id"), F.lit(BUCKETS))
-    few = F.broadcast(ids.select(bucket.alias("bucket")).distinct())  # BUCKETS rows at most
-    texts = forms.where("long").select("id", "form", bucket.alias("bucket")).join(few, "bucket", "left_semi").groupBy("id").agg(F.first("form").alias("form"))
-    chars = F.split("form", "")
-    texts = written(texts.join(ids, "id", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), chars.alias("ca")), "a").join(texts.select(F.col("id").alias("b"), chars.alias("cb")), "b")
+    known = forms.where("long").withColumn("n", F.length("form"))
+    known = known.select("id", index_keys("form", "n", d).alias("has"), probe_keys("form", "n", d).alias("asks"))
+    known = written(known.groupBy("id").agg(*(F.first(c).alias(c) for c in ("has", "asks"))), "keys")
+    # keys on which different forms meet are few; only their forms go on
+    has, asks = (known.select("id", F.explode(c).alias("key")) for c in ("has", "asks"))
+    sides = has.select("key", F.col("id").alias("h"), F.lit(None).cast("bigint").alias("q")).union(asks.select("key", F.lit(None).cast("bigint"), "id"))
+    ends = sides.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("q").alias("q0"), F.max("q").alias("q1"))
+    met = written(ends.where("h0 is not null and q0 is not null and (h0 <> q1 or h1 <> q0)").select("key"), "met")
+    has, asks = written(only(has, met, "key"), "has"), written(only(asks, met, "key"), "asks")
+    texts = only(forms.where("long").select("id", "form"), has.select("id").union(asks.select("id")).distinct(), "id").groupBy("id").agg(F.first("form").alias("form"))
+    texts = written(texts.withColumn("n", F.length("form")).select("id", letters("form", "n").alias("letters"), F.split("form", "").alias("chars")), "texts")
+    a, b = (side.join(texts.select("id", "letters"), "id").select("key", F.col("id").alias(name), F.col("letters").alias(f"l{name}")) for side, name in ((has, "a"), (asks, "b")))
+    pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & may_be_near(F.col("la"), F.col("lb"), d))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("ca")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("cb")), "b")
     links = written(both.where(within(F.col("ca"), F.col("cb"), d)).select("a", "b"), "links")
     found = written(components(links), "components")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
