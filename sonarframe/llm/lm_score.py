@@ -1,16 +1,19 @@
 """Cross-entropy difference of two matched n-gram models.
 
-A target and a background model are word bigram models interpolated with unigrams, over one vocabulary: the words
-that are most frequent in the background, and one symbol for the rest.  Both are counted alike, over all
-documents that belong to them: each task sums the counts of its own slices, Spark sums the rest.  Bigram
-counts go to a fixed number of hashed cells, so both models together have a bounded size and can be sent out.
+A target and a background model are word bigram models interpolated with unigrams, over one vocabulary: all words of
+the background.  Both are counted alike, over all documents that belong to them, and every word and every pair
+of words keeps its own count, under 64-bit hashes.  Counts stay distributed: keys are cut into ranges of
+hashes, a row of packed arrays each, and a slice of documents asks each range for its own distinct keys, so that no
+worker holds more than a range or a slice, and a frequent key is asked for once a slice.
 A document's score is the mean over its words of the log probability in the target model less that in the
 background model: above 0, it is more like the target.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,131 +22,142 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import written
-from .textbytes import ALNUM, slices, words
+from .textbytes import ALNUM, combine, slices, words
 
-#: Words of the shared vocabulary, cells of bigram counts: bounds of what is sent out.
-VOCABULARY, CELLS = 50_000, 1 << 20
 #: Weight of the bigram estimate, as the count at which it weighs as much as the unigram's.
 HALF = 100.0
-SLICE = 2 << 20
+#: Bytes of text whose keys are made distinct together.
+SLICE = 8 << 20
+#: Ranges of keys there are at least; more with more shuffle partitions.
+PARTS = 64
+PACKED = "keys binary, background binary, target binary"
 
 
-def _counted(documents: DataFrame, keys) -> DataFrame:
-    """key, background and target counts of what keys() finds in the slices; in_target marks the target's rows."""
-    schema = pa.schema([("key", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit integers, byte by byte, which compresses well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            target = np.asarray(batch.column("in_target").to_numpy(zero_copy_only=False), dtype=bool)
-            for lo, hi, data, offsets in slices(batch, limit=4 * SLICE):
-                key, row = keys(data, offsets)
-                kinds, at = np.unique(key, return_inverse=True)
-                own = np.bincount(at, weights=target[lo:hi][row], minlength=len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(np.bincount(at, minlength=len(kinds))), pa.array(own)], schema=schema)
 
-    found = documents.select("text", "in_target").mapInArrow(scan, "key long, background long, target long")
-    return found.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+def _unpack(column: pa.ChunkedArray) -> np.ndarray:
+    pieces = [np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel() for x in column.to_pylist()]
+    return np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.uint64)
 
 
-def _word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each word, row of each word, places of words with one before them in their row, keys of those pairs); keys of pairs are odd."""
     h, _, first = words(data, offsets, ALNUM)
-    return h.view(np.int64), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    at = np.flatnonzero(row[1:] == row[:-1]) + 1
+    return h & ~np.uint64(1), row, at, combine(h[at - 1], h[at]) | np.uint64(1)
 
 
-def _gathered(counts: DataFrame) -> np.ndarray:
-    """Rows key, background, target of bounded counts; they travel to the driver as one piece for each batch."""
+def _cuts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """(number, where) of the ranges that sorted keys are in."""
+    ends = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    for p in np.flatnonzero(np.diff(ends)):
+        yield int(p), slice(ends[p], ends[p + 1])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in batch.columns]).astype("<i8").tobytes()], pa.binary())], names=["packed"])
 
-    pieces = [np.frombuffer(r[0], dtype="<i8").reshape(3, -1) for r in counts.mapInArrow(pack, "packed binary").toLocalIterator()]
-    return np.concatenate(pieces, axis=1) if pieces else np.zeros((3, 0), dtype=np.int64)
+@dataclass
+class Models:
+    """A row of packed counts for each range of keys; the words of both models, background first, and distinct words."""
 
+    counts: DataFrame
+    parts: int
+    unigram: np.ndarray
+    vocabulary: int
 
-class Models:
-    """Sorted word hashes; unigram and bigram counts of both models, number 0 standing for other words."""
-
-    def __init__(self, vocabulary: np.ndarray, counts: bool = True):
-        self.vocabulary = vocabulary
-        if not counts:
-            return
-        self.unigram = np.zeros((2, len(vocabulary) + 1))
-        self.bigram = np.zeros((2, CELLS), dtype=np.float32)
-
-    def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of each word, row of each word, whether the word before is of the same row)"""
-        h, _, first = words(data, offsets, ALNUM)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        number = np.zeros(len(h), dtype=np.int64)
-        if len(self.vocabulary):
-            at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-            number = np.where(self.vocabulary[at] == h, at + 1, 0)
-        follows = np.zeros(len(h), dtype=bool)
-        follows[1:] = row[1:] == row[:-1]
-        return number, row, follows
-
-    @staticmethod
-    def cell(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 20)).astype(np.int64)
-
-    def bigram_keys(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        number, row, follows = self.numbers(data, offsets)
-        at = np.flatnonzero(follows)
-        return self.cell(number[at - 1], number[at]), row[at]
-
-    def freeze(self) -> Models:
-        """From counts to what scoring adds up."""
-        size = self.unigram.shape[1]
-        self.share = (self.unigram + 0.5) / (self.unigram.sum(1, keepdims=True) + 0.5 * size)
-        return self
-
-    def difference(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, sum of log differences) of each row."""
-        number, row, follows = self.numbers(data, offsets)
-        before = np.concatenate([[0], number[:-1]]) if len(number) else number
-        cell = self.cell(before, number)
-        log = np.zeros((2, len(number)))
-        for m in (0, 1):
-            # of a cell's count, a bigram can claim no more than the occurrences of the word before it
-            seen = self.unigram[m][before]
-            weight = np.where(follows, seen / (seen + HALF), 0.0)
-            own = np.minimum(self.bigram[m][cell], seen) / np.maximum(seen, 1)
-            log[m] = np.log(weight * own + (1 - weight) * self.share[m][number])
-        n = len(offsets) - 1
-        return np.bincount(row, minlength=n), np.bincount(row, weights=log[1] - log[0], minlength=n)
-
-
-def fit(documents: DataFrame, in_target: Column, vocabulary: int = VOCABULARY) -> Models:
+
+def fit(documents: DataFrame, in_target: Column) -> Models:
     """Both models from all documents; in_target says of each row whether it belongs to the target too (null: no)."""
-    docs = written(documents.select(F.col("text").cast("string").alias("text"), F.coalesce(in_target, F.lit(False)).alias("in_target")), "marked")
-    counts = written(_counted(docs, _word_keys), "words")
-    top = _gathered(counts.orderBy(F.desc("background"), "key").limit(vocabulary))
-    rest = counts.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    order = np.argsort(top[0].view(np.uint64))
-    models = Models(top[0].view(np.uint64)[order])
-    for m in (0, 1):
-        models.unigram[m, 1:] = top[1 + m][order]
-        models.unigram[m, 0] = rest[m] - top[1 + m].sum()
-    sent = documents.sparkSession.sparkContext.broadcast(models.vocabulary)
-    cells = _gathered(written(_counted(docs, lambda data, offsets: Models(sent.value, counts=False).bigram_keys(data, offsets)), "cells"))  # CELLS columns at most
-    models.bigram[0, cells[0]], models.bigram[1, cells[0]] = cells[1], cells[2]
-    return models.freeze()
+    parts = max(PARTS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["part", "keys", "background", "target"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            target = np.asarray(batch.column("in_target").to_numpy(zero_copy_only=False), dtype=bool)
+            for lo, hi, data, offsets in slices(batch, limit=SLICE):
+                word, row, at, pair = _keys(data, offsets)
+                own = target[lo:hi][row]
+                keys, place = np.unique(np.concatenate([word, pair]), return_inverse=True)
+                both = np.bincount(place, minlength=len(keys)), np.bincount(place, weights=np.concatenate([own, own[at]]), minlength=len(keys))
+                found = [(p, _pack(keys[w]), _pack(both[0][w]), _pack(both[1][w])) for p, w in _cuts(keys, parts)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=names)
+
+    def add(part: pa.Table) -> pa.Table:
+        keys, place = np.unique(_unpack(part["keys"]), return_inverse=True)
+        both = [np.bincount(place, weights=_unpack(part[c]).astype(np.float64), minlength=len(keys)).astype(np.int64) for c in names[2:]]
+        word = keys & np.uint64(1) == 0
+        return pa.table({"part": part["part"][:1], "keys": [_pack(keys)], "background": [_pack(both[0])], "target": [_pack(both[1])], "kinds": [int(word.sum())], "n_background": [int(both[0][word].sum())], "n_target": [int(both[1][word].sum())]})
+
+    found = documents.select(F.col("text").cast("string").alias("text"), F.coalesce(in_target, F.lit(False)).alias("in_target")).mapInArrow(scan, f"part int, {PACKED}")
+    counts = written(found.groupBy("part").applyInArrow(add, f"part int, {PACKED}, kinds long, n_background long, n_target long"), "counts")
+    kinds, *n = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "n_background", "n_target"))).first()
+    return Models(counts.select(*names), parts, np.array(n), kinds)
 
 
 def scored(documents: DataFrame, models: Models, *keep: str) -> DataFrame:
     """The columns to keep, n_words and score per row; a text without words, or null, has a score of 0."""
-    sent = documents.sparkSession.sparkContext.broadcast(models)
+    parts, n_words, size = models.parts, models.unigram.astype(np.float64), models.vocabulary + 1  # one for the words of neither model
     fields = [f for f in documents.schema if f.name in keep]
-    names = [*(f.name for f in fields), "n_words", "score"]
+    names = [f.name for f in fields]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, _, _ in slices(batch, "_text", SLICE):
+                number = pa.array([uuid.uuid4().int >> 65] * (hi - lo), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), number], names=[*names, "_text", "_slice"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            number = batch.column("_slice").to_numpy()
+            ends = [*np.flatnonzero(np.diff(number)) + 1, len(number)] if len(number) else []
+            for a, b in zip([0, *ends[:-1]], ends, strict=False):
+                for _, _, data, offsets in slices(batch.slice(a, b - a), "_text", SLICE):
+                    word, _, _, pair = _keys(data, offsets)
+                    keys = np.unique(np.concatenate([word, pair]))
+                    found = [(int(number[a]), p, _pack(keys[w])) for p, w in _cuts(keys, parts)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["_slice", "part", "keys"])
+
+    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        known, both = _unpack(counts["keys"]), [_unpack(counts[c]) for c in ("background", "target")]
+        out = []
+        for row in range(len(asked)):
+            keys = _unpack(asked["keys"].slice(row, 1))
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            some = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+            out.append([_pack(keys[some]), *(_pack(c[at[some]]) for c in both)])
+        return pa.table([asked["_slice"], *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))] if out else [pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 3)], names=["_slice", "keys", "background", "target"])
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known = _unpack(answers["keys"])
+        order = np.argsort(known)
+        known, both = known[order], [_unpack(answers[c])[order].astype(np.float64) for c in ("background", "target")]
+
+        def count(keys: np.ndarray) -> list[np.ndarray]:
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            return [np.where(known[at] == keys, c[at], 0.0) if len(known) else np.zeros(len(keys)) for c in both]
+
+        n, total = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for batch in texts.to_batches():
             for lo, hi, data, offsets in slices(batch, "_text", SLICE):
-                n, total = sent.value.difference(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in fields), pa.array(n), pa.array(total / np.maximum(n, 1))], names=names)
+                word, row, at, pair = _keys(data, offsets)
+                log = []
+                for m, (seen, together) in enumerate(zip(count(word), count(pair), strict=True)):
+                    p = (seen + 0.5) / (n_words[m] + 0.5 * size)
+                    before = seen[at - 1]
+                    weight = before / (before + HALF)
+                    p[at] = weight * together / np.maximum(before, 1) + (1 - weight) * p[at]
+                    log.append(np.log(p))
+                n.append(np.bincount(row, minlength=hi - lo))
+                total.append(np.bincount(row, weights=log[1] - log[0], minlength=hi - lo))
+        n, total = np.concatenate(n), np.concatenate(total)
+        return pa.table([*(texts[f] for f in names), pa.array(n), pa.array(total / np.maximum(n, 1))], names=[*names, "n_words", "score"])
 
     text = F.col("text").cast("string").alias("_text")
-    return documents.select(*(f.name for f in fields), text).mapInArrow(scan, StructType([*fields, *StructType.fromDDL("n_words long, score double")]))
+    docs = written(documents.select(*names, text).mapInArrow(cut, StructType([*fields, *StructType.fromDDL("_text string, _slice long")])), "sliced")
+    asked = docs.select("_text", "_slice").mapInArrow(ask, "_slice long, part int, keys binary")
+    answers = asked.groupBy("part").cogroup(models.counts.groupBy("part")).applyInArrow(answer, f"_slice long, {PACKED}")
+    return docs.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(score, StructType([*fields, *StructType.fromDDL("n_words long, score double")]))

@@ -321,6 +321,29 @@ def test_scores_prefer_what_is_like_the_target(spark):
     assert models.unigram[0].sum() == 40 * 50 and models.unigram[1].sum() == 20 * 50
 
 
+def test_scores_count_every_word_and_pair(spark):
+    """More words and pairs than any bounded table: scores equal those from exact counts of all."""
+    rng = np.random.default_rng(11)
+    texts = [[f"w{x}" for x in rng.integers(0, 90_000, 6000) ** 2 // 90_000] for _ in range(40)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in lm_score.scored(table(spark, rows), lm_score.fit(table(spark, rows), F.col("doc_id") % 4 == 1), "doc_id").collect()}
+    one, two = ([Counter(), Counter()] for _ in range(2))
+    for k, t in enumerate(texts):
+        for m in (0, 1) if k % 4 == 1 else (0,):
+            one[m].update(t)
+            two[m].update(zip(t, t[1:]))
+    assert len(one[0]) > 50_000
+    for k in (0, 1, 17):
+        want = 0.0
+        for before, word in zip([None, *texts[k]], texts[k]):
+            for m, sign in ((0, -1), (1, 1)):
+                p = (one[m][word] + 0.5) / (one[m].total() + 0.5 * (len(one[0]) + 1))
+                if n := one[m][before]:
+                    p = n / (n + lm_score.HALF) * two[m][before, word] / n + lm_score.HALF / (n + lm_score.HALF) * p
+                want += sign * math.log(p)
+        assert got[k]["n_words"] == 6000 and math.isclose(got[k]["score"], want / 6000, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_licences_are_found(spark):
     rng = np.random.default_rng(10)
     rows = [(k, prose(rng, 20) + "\n" + prose(rng, 20)) for k in range(60)]
