@@ -47,19 +47,20 @@ def correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a * b).sum(0)[some] / spread[some]).mean()) if some.any() else float("nan")
 
 
-def warped_correlation(pairs: DataFrame, by: str = "pair") -> DataFrame:
-    """pair and r from rows (pair, side 0 query or 1 reference, frame, mel): the reference warped to the query, then correlated.
+def warped_correlation(pairs: DataFrame, *by: str) -> DataFrame:
+    """by (pair, if no columns are named) and r from rows (by, side 0 query or 1 reference, frame, mel): the reference warped to the query, then correlated.
 
     A pair is one utterance long on each side, and each pair is a group of its own.  Sides of unequal length
     are cut to the shorter one; a pair without frames on both has NaN.
     """
-    kind = dict(pairs.dtypes)[by]
+    by = by or ("pair",)
+    kinds = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in by)
 
     def score(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("frame")
         q, r = (np.array(part.loc[part["side"] == s, "mel"].to_list(), dtype=float) for s in (0, 1))
         n = min(len(q), len(r))
         value = correlation(r[:n][warping(path(q[:n], r[:n]), n)], q[:n]) if n > 1 else float("nan")
-        return pd.DataFrame({by: part[by].iloc[:1].to_list(), "r": [value]})
+        return pd.DataFrame({**{c: part[c].iloc[:1].to_list() for c in by}, "r": [value]})
 
-    return pairs.select(by, "side", "frame", "mel").groupBy(by).applyInPandas(score, f"{by} {kind}, r double")
+    return pairs.select(*by, "side", "frame", "mel").groupBy(*by).applyInPandas(score, f"{kinds}, r double")

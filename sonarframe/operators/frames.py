@@ -101,6 +101,19 @@ def folds(df: DataFrame, k: int, idx: str = "frame", by: str | None = None) -> D
     return df.withColumn("fold", fold.cast("bigint")).drop("_n")
 
 
+def utterances(df: DataFrame, by: str, length: int = 30, idx: str = "frame", block: int = 4096) -> DataFrame:
+    """Adds utterance and place, both from 0: each group's rows in the order of idx (whole numbers), `length` at a time.
+
+    Rows are numbered within blocks of idx, after the counts of the group's blocks before, so no group is one task.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(idx) / block))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_b")) - F.col("_n")
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n")).select("_by", "_b", before.alias("_before"))
+    k = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_block").orderBy(idx)) - 1
+    found = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b"))).withColumn("_k", k)
+    return found.withColumns({"utterance": F.floor(F.col("_k") / length), "place": F.col("_k") % length}).drop("_block", "_b", "_by", "_before", "_k")
+
+
 def rotated(df: DataFrame, by_rows: int, n: Column, idx: str = "idx") -> DataFrame:
     """A circular shift: what was at position r comes first."""
     return df.withColumn(idx, F.pmod(F.col(idx) - by_rows, n))

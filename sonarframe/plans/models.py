@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import clock, dtw, lda, quantize, statistics
+from ..operators import clock, dtw, frames, lda, quantize, statistics
 from ..sources.views import signal, wide_frames
 from .registry import FRAMES, SIGNAL, query
 
@@ -92,9 +92,7 @@ def clock_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dtw_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a label against those of the next label, thirty of each."""
-    k = F.row_number().over(Window.partitionBy("y").orderBy("frame")) - 1
-    f = wide_frames(spark, sf_dir).select(F.col("y").alias("pair"), k.alias("frame"), F.col("x").alias("mel")).where("frame < 30")
+    """All utterances of a label, of thirty frames, against those of the same number of the next label; r is null where one has none."""
+    f = frames.utterances(wide_frames(spark, sf_dir), "y").select(F.col("y").alias("pair"), "utterance", F.col("place").alias("frame"), F.col("x").alias("mel"))
     other = f.withColumn("pair", F.pmod(F.col("pair") - 1, F.lit(10))).withColumn("side", F.lit(1))
-    return dtw.warped_correlation(f.withColumn("side", F.lit(0)).unionByName(other))
-
+    return dtw.warped_correlation(f.withColumn("side", F.lit(0)).unionByName(other), "pair", "utterance")

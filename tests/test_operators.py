@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonarframe.functions import filters, timing, udf
-from sonarframe.operators import audio, clock, experiment, features, filtering, frames, joins, quantize, select, statistics
+from sonarframe.operators import audio, clock, dtw, experiment, features, filtering, frames, joins, quantize, select, statistics
+from sonarframe.plans import models
 from sonarframe.sources import labels, playback, recordings, replay
+from sonarframe.sources.views import wide_frames
 from sonarframe.streaming import features as streaming
 
 
@@ -231,3 +233,20 @@ def test_small_helpers(spark, tmp_path):
     df.write.parquet(str(tmp_path / "a.parquet"))
     assert recordings.read_signal(spark, str(tmp_path / "a.parquet")).count() == 1
     assert timing.benchmark(lambda: 3)() == 3
+
+
+def test_all_frames_are_warped(spark, sf_dir):
+    """Each label's frames, thirty at a time, against the next label's of the same number, on plain arrays."""
+    of = {}
+    for r in sorted(wide_frames(spark, sf_dir).collect(), key=lambda r: r["frame"]):
+        of.setdefault(r["y"], []).append(r["x"])
+    want = {}
+    for y in range(10):
+        a, b = (np.array(of.get(k, [])) for k in (y, (y + 1) % 10))
+        for u in range(-(-max(len(a), len(b)) // 30)):
+            q, r = a[30 * u : 30 * u + 30], b[30 * u : 30 * u + 30]
+            n = min(len(q), len(r))
+            want[y, u] = dtw.correlation(r[:n][dtw.warping(dtw.path(q[:n], r[:n]), n)], q[:n]) if n > 1 else float("nan")
+    got = {(r["pair"], r["utterance"]): r["r"] for r in models.dtw_corr(spark, sf_dir).collect()}
+    assert len(want) > 10 and got.keys() == want.keys()
+    assert all(got[k] is None if np.isnan(v) else got[k] == pytest.approx(v) for k, v in want.items())
