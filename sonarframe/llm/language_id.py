@@ -4,9 +4,10 @@ Each language has a context tree over bytes, of contexts of up to ORDER bytes, w
 followed.  A byte's probability in a context is its share of the counts; unseen bytes are reached by an escape to
 the context that is one byte shorter, with the escape probability of method C (distinct symbols against counts),
 down to the uniform distribution.  The statistics are frozen after training, so the code length of each byte
-is a function of the ORDER bytes before it.  The trees of all languages are compiled to one table: a row for
-each context that some language knows, and for the next byte the code lengths under all languages.  A text's
-exact code length in a language is the sum over its bytes.
+is a function of the ORDER bytes before it.  Each language's tree is whole: for each order, sorted arrays of the
+contexts with their escapes and of the (context, byte) pairs with their shares.  What is sent out grows with
+what the training documents hold, of which there is a bounded number for each language, and with nothing else.
+A text's exact code length in a language is the sum over its bytes.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .textbytes import slices
 ORDER = 3
 #: Training documents of each language, about: of more, those with the smallest hashes of doc_id are taken.
 PER_LANGUAGE = 2000
-#: Bounds of what the driver gathers and sends out: distinct (language, bytes) counts and the compiled table.
-GRAMS, TABLE_BYTES = 400_000, 48 << 20
 #: Bits a byte from which a text is in none of the learned languages, and the least posterior probability.
 FOREIGN_BITS, SURE = 6.5, 0.5
 SLICE = 1 << 20
@@ -57,74 +56,75 @@ def _grams(documents: DataFrame) -> DataFrame:
             for lang in batch.column("lang").unique().to_pylist():
                 own = batch.filter(pc.equal(batch.column("lang"), lang))
                 for _, _, data, offsets in slices(own):
-                    low = _LOWER[data].astype(np.int64)
-                    gram = low.copy()
-                    for k in range(1, ORDER + 1):
-                        gram[k:] |= low[: len(low) - k] << (8 * k)
-                    for j, at in _starts(offsets):
-                        gram[at] &= (1 << 8 * (j + 1)) - 1
-                    gram, n = np.unique(gram, return_counts=True)
+                    gram, n = np.unique(_contexts(data, offsets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], schema=schema)
 
     return documents.select("lang", "text").mapInArrow(scan, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Trees:
-    """The frozen trees of all languages, compiled from rows (lang, gram, n)."""
-
-    def __init__(self, grams: list[tuple[str, int, int]]):
-        self.languages = sorted({g[0] for g in grams})
-        index = {x: k for k, x in enumerate(self.languages)}
-        lang = np.array([index[g[0]] for g in grams], dtype=np.int64)
-        gram = np.array([g[1] for g in grams], dtype=np.int64)
-        n = np.array([g[2] for g in grams], dtype=np.float64)
-        seen = np.unique(gram & 255)
-        self.symbol = np.zeros(256, dtype=np.int64)  # 0: any byte that training has not seen, and before the text
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        m, n_lang = len(seen) + 1, len(self.languages)
-        self.m = m
-        digit = [self.symbol[(gram >> (8 * k)) & 255] for k in range(ORDER + 1)]
-        most = max(1, TABLE_BYTES // (4 * m * max(1, n_lang)))
-        tables, row = [np.full((1, n_lang, m), 1 / 257)], np.zeros(1, dtype=np.int64)
-        rows = 1
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key, whether it is there)"""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+class Tree:
+    """The tree of one language, from its grams and their counts.
+
+    A level has, of each context, the escape, and of each (context, byte) pair its share of the counts; both are
+    sorted by the bytes as a number, so a context's pairs are neighbours.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.levels = []
         for order in range(ORDER + 1):
-            key = np.zeros(len(gram), dtype=np.int64)
-            for k in range(order, 0, -1):
-                key = key * m + digit[k]
-            keys, at = np.unique(key, return_inverse=True)
-            often = np.argsort(-np.bincount(at, weights=n), kind="stable")[: max(0, most - rows)]
-            place = np.full(len(keys), -1, dtype=np.int64)
-            place[often] = np.arange(len(often))
-            ok = place[at] >= 0
-            counts = np.zeros((len(often), n_lang, m))
-            np.add.at(counts, (place[at][ok], lang[ok], digit[0][ok]), n[ok])
-            up = row[keys[often] % max(1, m ** (order - 1))]
-            total, kinds = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
-            whole = np.maximum(total + kinds, 1)
-            escape = np.where(total > 0, kinds / whole, 1.0)
-            shorter = np.concatenate(tables)[up]
-            # a context without an entry is read as the one that is a byte shorter
-            row = np.tile(row, m)[: m**order] if order else row
-            row[keys[often]] = rows + np.arange(len(often))
-            tables.append(counts / whole + escape * shorter)
-            rows += len(often)
-        self.row = row.astype(np.int32)
-        self.bits = np.ascontiguousarray(-np.log2(np.concatenate(tables)).transpose(0, 2, 1).reshape(rows * m, n_lang).astype(np.float32))
+            own = gram & ((1 << 8 * (order + 1)) - 1)
+            pairs, at = np.unique(own, return_inverse=True)
+            count = np.bincount(at, weights=n, minlength=len(pairs))
+            contexts, at, kinds = np.unique(pairs >> 8, return_inverse=True, return_counts=True)
+            whole = np.bincount(at, weights=count, minlength=len(contexts)) + kinds
+            self.levels.append((contexts.astype(np.uint32), (kinds / whole).astype(np.float32), pairs.astype(np.uint32), (count / whole[at]).astype(np.float32)))
+
+    def bits(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Code length of the last byte of each gram after those before it; asked has the distinct ends of the grams for each order, and which one each gram has."""
+        p = np.full(len(asked[0][1]), 1 / 257)
+        for (contexts, escape, pairs, share), (own, which) in zip(self.levels, asked, strict=True):
+            at, known = _found(contexts, own >> np.uint32(8))
+            left = np.where(known, escape[at], 1.0)
+            at, seen = _found(pairs, own)
+            p = np.where(seen, share[at], 0.0)[which] + left[which] * p
+        return -np.log2(p)
+
+
+def _contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each byte, it and the ORDER before it in its text as a number of base 256, 0 before the text."""
+    low = _LOWER[data].astype(np.int64)
+    gram = low.copy()
+    for k in range(1, ORDER + 1):
+        gram[k:] |= low[: len(low) - k] << (8 * k)
+    for j, at in _starts(offsets):
+        gram[at] &= (1 << 8 * (j + 1)) - 1
+    return gram
+
+
+class Trees:
+    """The frozen trees of all languages, from rows (lang, gram, n)."""
+
+    def __init__(self, grams: list[tuple[str, int, int]] | pa.Table):
+        columns = grams if isinstance(grams, pa.Table) else pa.table([pa.array(c, t) for c, t in zip(list(zip(*grams, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
+        self.languages = sorted(columns["lang"].unique().to_pylist())
+        self.trees = [Tree(own["gram"].to_numpy(), own["n"].to_numpy().astype(np.float64)) for own in (columns.filter(pc.equal(columns["lang"], x)) for x in self.languages)]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(data) or not self.languages:
             return out
-        sym = self.symbol[_LOWER[data]]
-        context = np.zeros(len(sym), dtype=np.int64)
-        for k in range(1, ORDER + 1):
-            context[k:] += sym[: len(sym) - k] * self.m ** (k - 1)
-        for j, at in _starts(offsets):
-            context[at] %= self.m**j
-        each = self.bits[self.row[context].astype(np.int64) * self.m + sym]
+        grams, at = np.unique(_contexts(data, offsets), return_inverse=True)
+        asked = [np.unique((grams & ((1 << 8 * (order + 1)) - 1)).astype(np.uint32), return_inverse=True) for order in range(ORDER + 1)]
         full = np.flatnonzero(np.diff(offsets))
-        out[full] = np.add.reduceat(each, offsets[:-1][full], axis=0, dtype=np.float64)
+        for k, tree in enumerate(self.trees):
+            out[full, k] = np.add.reduceat(tree.bits(asked)[at], offsets[:-1][full])
         return out
 
 
@@ -134,11 +134,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Trees:
     share = [F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["n"])) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     drawn = (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / 1_000_000) < F.coalesce(*share, F.lit(0.0))
     grams = written(_grams(known.where(drawn)), "grams")
-    n = grams.count()
-    if n > GRAMS:
-        least = grams.agg(F.percentile_approx("n", 1 - GRAMS / n, 10_000)).first()[0]
-        grams = grams.where(F.col("n") > least)
-    return Trees([tuple(r) for r in grams.collect()])
+    return Trees(grams.toArrow())
 
 
 def identify(documents: DataFrame, trees: Trees, *keep: str) -> DataFrame:

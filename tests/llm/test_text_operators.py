@@ -295,6 +295,25 @@ def test_code_lengths_follow_the_escapes():
     assert got[0] <= base["a"] + 1e-5 and got[0] < got[1]
 
 
+def test_small_languages_keep_their_trees():
+    """A language with few counts beside one that fills any bounded table: each code length is that of the whole tree."""
+    rng = np.random.default_rng(12)
+    big = [("big", int(g), 50) for g in np.unique(rng.integers(1, 1 << 32, 100_000))]
+    text = b"small words of a small language"
+    grams = Counter(int.from_bytes(text[max(0, k - 3) : k + 1], "big") for k in range(len(text)))
+    got = language_id.Trees(big + [("small", g, n) for g, n in grams.items()]).lengths(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[0]
+    bits = 0.0
+    for k in range(len(text)):
+        p = 1 / 257
+        for order in range(4):
+            # before the text there are zeros
+            ends = [(b"\0" * 3 + text)[j + 3 - order : j + 4] for j in range(len(text))]
+            own = Counter(e for e in ends if e[:-1] == ends[k][:-1])
+            p = own[ends[k]] / (own.total() + len(own)) + len(own) / (own.total() + len(own)) * p
+        bits -= math.log2(p)
+    assert math.isclose(got[1], bits, rel_tol=1e-5)
+
+
 def test_quality_tells_junk_from_prose(spark):
     rng = np.random.default_rng(7)
     junk = ["$$ @@ ## %% " * 20, "BUY NOW !!! " * 30, "a b c d e f " * 30]
