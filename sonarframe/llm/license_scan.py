@@ -6,15 +6,18 @@ unknown class, by proximal gradient steps that are joins and aggregations; the L
 Half of the sample is kept from training and sets the probability from which a family is believed.  A
 prediction is then confirmed by comparing the paragraph's word pairs with those of the family's notices.
 
-A paragraph (a line) that has no feature speaking for a family more than for the unknown class is unknown
+A paragraph is a line, or the neighbourhood of a line break: what is around it up to the next empty lines, as
+many words to either side as the longest notice has.  So a notice is whole in one of them however it is wrapped.
+One that has no feature speaking for a family more than for the unknown class is unknown
 whatever else it has, so only paragraphs with a word of such a feature are scored in full.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .near_dedup import BUCKETS
@@ -71,6 +74,8 @@ STEPS, RATE, L1 = 10, 2.0, 2e-4
 #: Share of a notice's word pairs, or words, that a confirmed paragraph has.
 CONFIRMED = 0.6
 BIAS = ""
+#: Words of the longest notice.
+LONGEST = max(len([w for w in re.split(r"[\W_]+", text) if w]) for texts in NOTICES.values() for text in texts)
 
 
 def words(line: Column) -> Column:
@@ -92,10 +97,25 @@ def ngrams(w: Column) -> Column:
     return bound(w, lambda w: F.array_union(F.array(F.lit(BIAS)), F.array_union(w, pairs(w))))
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0) and w, the words, of each line."""
-    found = documents.where("text is not null").select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return found.select("doc_id", "pos", words(F.col("line")).alias("w"))
+def paragraphs(documents: DataFrame, wrapped: bool = True) -> DataFrame:
+    """doc_id, pos (first and last line, from 0) and w, the words, of each line and, if wrapped, around each line break between lines with words."""
+    found = documents.where("text is not null").select("doc_id", F.transform(F.split(F.col("text").cast("string"), "\n"), words).alias("_lines"))
+    place = lambda i, last: F.struct(i.cast("int").alias("first"), last.cast("int").alias("last"))
+    out = F.transform("_lines", lambda w, i: F.struct(place(i, i).alias("pos"), w.alias("w")))
+    if wrapped:
+        start = F.struct(F.array().cast("array<string>").alias("w"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+        def more(acc: Column, w: Column) -> Column:
+            over = acc["over"] | (F.size(w) == 0) | (F.size(acc["w"]) >= LONGEST)
+            return F.when(over, F.struct(acc["w"].alias("w"), acc["n"].alias("n"), F.lit(True).alias("over"))).otherwise(F.struct(F.concat(acc["w"], F.slice(w, 1, LONGEST)).alias("w"), (acc["n"] + 1).alias("n"), F.lit(False).alias("over")))
+
+        def around(w: Column, i: Column) -> Column:
+            after = F.aggregate(F.slice("_lines", i + 2, LONGEST), start, more)
+            both = bound(after, lambda x: F.struct(place(i, i + x["n"]).alias("pos"), F.concat(F.slice(w, F.greatest(F.lit(1), F.size(w) - LONGEST + 1), LONGEST), x["w"]).alias("w")))
+            return F.when((F.size(w) > 0) & (F.size(F.get("_lines", i + 1)) > 0), both)
+
+        out = F.concat(out, F.filter(F.transform("_lines", around), lambda x: x.isNotNull()))
+    return found.select("doc_id", F.explode(out).alias("_p")).select("doc_id", "_p.pos", "_p.w")
 
 
 def features(rows: DataFrame, *keys: str) -> DataFrame:
@@ -123,11 +143,11 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]
     total = max(1, documents.count())
     share = min(1.0, sample / total)
     drawn = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1_000_000_007))
-    some = paragraphs(documents.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003) < share)).where(F.size("w").between(1, 400))
+    some = paragraphs(documents.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003) < share), wrapped=False).where(F.size("w").between(1, 400))
     some = written(some.orderBy(drawn, "doc_id", "pos").limit(sample).withColumn("_pairs", pairs(F.col("w"))), "drawn")
-    # lines that a notice's wording already confirms are no examples of other paragraphs
+    # lines that a notice's wording already confirms, or that are pieces of a notice, are no examples of other paragraphs
     wordings = [r[0] for r in notices(spark).select(F.array_distinct(pairs(F.col("w")))).collect()]
-    some = some.where(~F.exists(F.array(*(F.array(*map(F.lit, x)) for x in wordings)), lambda x: F.size(F.array_intersect(x, "_pairs")) >= CONFIRMED * F.size(x)))
+    some = some.where(~F.exists(F.array(*(F.array(*map(F.lit, x)) for x in wordings)), lambda x: F.size(F.array_intersect(x, "_pairs")) >= CONFIRMED * F.least(F.size(x), F.size("_pairs"))))
     unknown = some.select(F.lit(n - 1).alias("y"), "w", (drawn % 2 == 0).alias("held"))
     code = F.coalesce(*(F.when(F.col("family") == c, k) for k, c in enumerate(CLASSES)))
     known = notices(spark).select(code.alias("y"), "w", F.lit(False).alias("held"))
@@ -180,13 +200,16 @@ def licences(documents: DataFrame, model: DataFrame, believed: float) -> DataFra
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, n_found (confirmed paragraphs), families (sorted, joined by commas; empty: none) and p (the highest), per doc_id.
+    """doc_id, n_found (confirmed paragraphs; of a family, those that share a line count once), families (sorted, joined by commas; empty: none) and p (the highest), per doc_id.
 
     A null or empty text has no paragraphs.  Rows that repeat a doc_id count as one document; a null doc_id is
     one too.  Without documents the result is empty.
     """
     model, believed = train(documents)
-    found = licences(documents, model, believed).groupBy("doc_id").agg(F.count("*").alias("n_found"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("p").alias("p"))
+    found = licences(documents, model, believed)
+    reached = F.max("pos.last").over(Window.partitionBy("doc_id", "family").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("_new", F.coalesce(F.col("pos.first") > reached, F.lit(True)))
+    found = found.groupBy("doc_id").agg(F.count_if("_new").alias("n_found"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("p").alias("p"))
     ids = documents.select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
     out = ids.join(found, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
     return out.select(F.col("_id").alias("doc_id"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("p", F.lit(0.0)).alias("p"))

@@ -380,6 +380,15 @@ def ranks():
     return byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def test_wrapped_licences_are_found(spark):
+    rng = np.random.default_rng(13)
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:"
+    rows = [(k, prose(rng, 20) + "\n" + prose(rng, 20)) for k in range(60)] + [(100, f"{prose(rng, 9)}\n\n{gpl}\n\n{prose(rng, 9)}"), (101, f"{bsd}\n\n{prose(rng, 9)}")]
+    got = {r["doc_id"]: (r["families"], r["n_found"]) for r in license_scan.scan(table(spark, rows)).collect() if r["families"]}
+    assert got == {100: ("gpl-3.0", 1), 101: ("bsd-3-clause", 1)}
+
+
 def test_tokens_equal_the_library(spark, ranks, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(11)
