@@ -1,19 +1,26 @@
 """Cross-entropy difference of two matched n-gram models.
 
-A target and a background model are word bigram models interpolated with unigrams, over one vocabulary: all words of
-the background.  Both are counted alike, over all documents that belong to them, and every word and every pair
-of words keeps its own count, under 64-bit hashes.  Counts stay distributed: keys are cut into ranges of
-hashes, a row of packed arrays each, and a slice of documents asks each range for its own distinct keys, so that no
-worker holds more than a range or a slice, and a frequent key is asked for once a slice.
-A document's score is the mean over its words of the log probability in the target model less that in the
-background model: above 0, it is more like the target.
+A target and a background model are word bigram models, smoothed towards unigrams, over one vocabulary: all words
+of either, the end of a text and one symbol for the unknown.  Both count alike, over all rows that belong to them,
+and every word and every pair of words keeps its own count, under 64-bit hashes.  The larger model's counts are
+scaled to the smaller one's number of words, so that both trust their counts alike and size does not tell
+in the score.  With s the scale, n the counts, N their sum and V the size of the vocabulary,
+
+    p(w) = (s n(w) + PRIOR) / (s N + PRIOR V),    p(w | c) = (s n(c, w) + HALF p(w)) / (s n(c) + HALF),
+
+and each sums to 1 over the vocabulary.  A row that is part of a model is scored by the counts of the others: its own
+are taken off.  A row's score is the mean, over its words and its end, of the log probability in the target model less
+that in the background model: above 0, it is more like the target.
+
+Counts stay distributed.  The rows are cut into slices; a slice sends its distinct keys, with its own
+counts, to ranges of hashes, each range adds up what has come and answers every slice with the totals in
+the order of the slice's keys.  No worker holds more than a range or a slice, and a frequent key is sent once a slice.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +28,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import written
-from .textbytes import ALNUM, combine, slices, words
+from .shared import small_batches, written
+from .textbytes import ALNUM, combine, mix, slices, words
 
-#: Weight of the bigram estimate, as the count at which it weighs as much as the unigram's.
-HALF = 100.0
+#: Weight of a word's own probability in the smoothing, and the count at which a context weighs as much as it.
+PRIOR, HALF = 0.5, 20.0
 #: Bytes of text whose keys are made distinct together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Ranges of keys there are at least; more with more shuffle partitions.
 PARTS = 64
-PACKED = "keys binary, background binary, target binary"
 
+_END = mix(np.array([0x2545F4914F6CDD1D], dtype=np.uint64))[0]
+
+
+def _pack(x: np.ndarray, kind: str = "<u8") -> bytes:
+    """Integers byte by byte, which compresses well."""
+    width = np.dtype(kind).itemsize
+    return x.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
 
-def _pack(x: np.ndarray) -> bytes:
-    """64-bit integers, byte by byte, which compresses well."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
+def _unpack(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-def _unpack(column: pa.ChunkedArray) -> np.ndarray:
-    pieces = [np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel() for x in column.to_pylist()]
-    return np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.uint64)
 
+class Events:
+    """What is predicted in a slice: each word, and the end of each text that has words.
 
-def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each word, row of each word, places of words with one before them in their row, keys of those pairs); keys of pairs are odd."""
-    h, _, first = words(data, offsets, ALNUM)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    at = np.flatnonzero(row[1:] == row[:-1]) + 1
-    return h & ~np.uint64(1), row, at, combine(h[at - 1], h[at]) | np.uint64(1)
+    row and at: the row of each event and the places of those with a context; which and pair: places of the events' words and of the contexts' pairs in keys, the sorted distinct keys; those of pairs are odd.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        h, _, first = words(data, offsets, ALNUM)
+        size = np.diff(first)
+        self.n_words = size
+        full = np.flatnonzero(size)
+        own = np.insert(h, first[full + 1], _END)  # an end after the last word of each row
+        self.row = np.repeat(np.arange(len(size)), size + (size > 0))
+        self.at = np.flatnonzero(self.row[1:] == self.row[:-1]) + 1
+        both = np.concatenate([own & ~np.uint64(1), combine(own[self.at - 1], own[self.at]) | np.uint64(1)])
+        self.keys, place = np.unique(both, return_inverse=True)
+        self.which, self.pair = place[: len(own)], place[len(own) :]
+
+    def own(self, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How often each event's key is in the event's own row."""
+        _, same, n = np.unique(row * max(len(self.keys), 1) + place, return_inverse=True, return_counts=True)
+        return n[same]
 
 
 def _cuts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
@@ -58,106 +83,98 @@ def _cuts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
         yield int(p), slice(ends[p], ends[p + 1])
 
 
-@dataclass
-class Models:
-    """A row of packed counts for each range of keys; the words of both models, background first, and distinct words."""
+def _text(column: pa.ChunkedArray | pa.Array) -> pa.RecordBatch:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.RecordBatch.from_arrays([column], names=["_text"])
 
-    counts: DataFrame
-    parts: int
-    unigram: np.ndarray
-    vocabulary: int
 
+def scored(documents: DataFrame, in_target: Column, *keep: str, in_background: Column | None = None) -> DataFrame:
+    """The columns to keep, n_words and score per row of documents.
 
-def fit(documents: DataFrame, in_target: Column) -> Models:
-    """Both models from all documents; in_target says of each row whether it belongs to the target too (null: no)."""
+    in_target and in_background say of each row whether it belongs to a model (null: no; without
+    in_background all rows belong to the background).  A text without words, or null, belongs to none and has
+    a score of 0; so has every row if either model is empty.  Repeated rows each count and are scored
+    by each other.  Without rows the result is empty.
+    """
     parts = max(PARTS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = ["part", "keys", "background", "target"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            target = np.asarray(batch.column("in_target").to_numpy(zero_copy_only=False), dtype=bool)
-            for lo, hi, data, offsets in slices(batch, limit=SLICE):
-                word, row, at, pair = _keys(data, offsets)
-                own = target[lo:hi][row]
-                keys, place = np.unique(np.concatenate([word, pair]), return_inverse=True)
-                both = np.bincount(place, minlength=len(keys)), np.bincount(place, weights=np.concatenate([own, own[at]]), minlength=len(keys))
-                found = [(p, _pack(keys[w]), _pack(both[0][w]), _pack(both[1][w])) for p, w in _cuts(keys, parts)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=names)
-
-    def add(part: pa.Table) -> pa.Table:
-        keys, place = np.unique(_unpack(part["keys"]), return_inverse=True)
-        both = [np.bincount(place, weights=_unpack(part[c]).astype(np.float64), minlength=len(keys)).astype(np.int64) for c in names[2:]]
-        word = keys & np.uint64(1) == 0
-        return pa.table({"part": part["part"][:1], "keys": [_pack(keys)], "background": [_pack(both[0])], "target": [_pack(both[1])], "kinds": [int(word.sum())], "n_background": [int(both[0][word].sum())], "n_target": [int(both[1][word].sum())]})
-
-    found = documents.select(F.col("text").cast("string").alias("text"), F.coalesce(in_target, F.lit(False)).alias("in_target")).mapInArrow(scan, f"part int, {PACKED}")
-    counts = written(found.groupBy("part").applyInArrow(add, f"part int, {PACKED}, kinds long, n_background long, n_target long"), "counts")
-    kinds, *n = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "n_background", "n_target"))).first()
-    return Models(counts.select(*names), parts, np.array(n), kinds)
-
-
-def scored(documents: DataFrame, models: Models, *keep: str) -> DataFrame:
-    """The columns to keep, n_words and score per row; a text without words, or null, has a score of 0."""
-    parts, n_words, size = models.parts, models.unigram.astype(np.float64), models.vocabulary + 1  # one for the words of neither model
     fields = [f for f in documents.schema if f.name in keep]
     names = [f.name for f in fields]
+    marks = ["_background", "_target"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers the slices, and the rows in them."""
         for batch in batches:
             for lo, hi, _, _ in slices(batch, "_text", SLICE):
-                number = pa.array([uuid.uuid4().int >> 65] * (hi - lo), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), number], names=[*names, "_text", "_slice"])
+                number = [pa.array([uuid.uuid4().int >> 65] * (hi - lo), pa.int64()), pa.array(np.arange(hi - lo, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *number], names=[*names, "_text", *marks, "_slice", "_at"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of a slice that the task has: all of them, but for slices that a file's end cuts."""
+        rest = None
         for batch in batches:
-            number = batch.column("_slice").to_numpy()
-            ends = [*np.flatnonzero(np.diff(number)) + 1, len(number)] if len(number) else []
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            number = table["_slice"].to_numpy()
+            ends = np.flatnonzero(np.diff(number)) + 1 if len(number) else []
             for a, b in zip([0, *ends[:-1]], ends, strict=False):
-                for _, _, data, offsets in slices(batch.slice(a, b - a), "_text", SLICE):
-                    word, _, _, pair = _keys(data, offsets)
-                    keys = np.unique(np.concatenate([word, pair]))
-                    found = [(int(number[a]), p, _pack(keys[w])) for p, w in _cuts(keys, parts)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["_slice", "part", "keys"])
-
-    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        known, both = _unpack(counts["keys"]), [_unpack(counts[c]) for c in ("background", "target")]
-        out = []
-        for row in range(len(asked)):
-            keys = _unpack(asked["keys"].slice(row, 1))
-            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-            some = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
-            out.append([_pack(keys[some]), *(_pack(c[at[some]]) for c in both)])
-        return pa.table([asked["_slice"], *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))] if out else [pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 3)], names=["_slice", "keys", "background", "target"])
+                yield table.slice(a, b - a)
+            rest = table.slice(ends[-1]) if len(ends) else table
+        if rest is not None and len(rest):
+            yield rest
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _unpack(answers["keys"])
-        order = np.argsort(known)
-        known, both = known[order], [_unpack(answers[c])[order].astype(np.float64) for c in ("background", "target")]
-
-        def count(keys: np.ndarray) -> list[np.ndarray]:
-            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-            return [np.where(known[at] == keys, c[at], 0.0) if len(known) else np.zeros(len(keys)) for c in both]
-
-        n, total = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        for batch in texts.to_batches():
-            for lo, hi, data, offsets in slices(batch, "_text", SLICE):
-                word, row, at, pair = _keys(data, offsets)
-                log = []
-                for m, (seen, together) in enumerate(zip(count(word), count(pair), strict=True)):
-                    p = (seen + 0.5) / (n_words[m] + 0.5 * size)
-                    before = seen[at - 1]
-                    weight = before / (before + HALF)
-                    p[at] = weight * together / np.maximum(before, 1) + (1 - weight) * p[at]
-                    log.append(np.log(p))
-                n.append(np.bincount(row, minlength=hi - lo))
-                total.append(np.bincount(row, weights=log[1] - log[0], minlength=hi - lo))
-        n, total = np.concatenate(n), np.concatenate(total)
-        return pa.table([*(texts[f] for f in names), pa.array(n), pa.array(total / np.maximum(n, 1))], names=[*names, "n_words", "score"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches):
+            (_, _, data, offsets), = slices(_text(run["_text"]), "_text", 1 << 62)
+            e = Events(data, offsets)
+            member = [np.asarray(run[m].to_numpy(), dtype=bool)[e.row] for m in marks]
+            n = [np.bincount(e.which, weights=m, minlength=len(e.keys)) + np.bincount(e.pair, weights=m[e.at], minlength=len(e.keys)) for m in member]
+            found = [(run["_slice"][0].as_py(), run["_at"][0].as_py(), len(run), p, _pack(e.keys[w]), *(_pack(x[w], "<u4") for x in n)) for p, w in _cuts(e.keys, parts)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 3], strict=True)], names=["_slice", "_at", "rows", "part", "keys", "background", "target"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        keys, place = np.unique(np.concatenate([_unpack(k) for k in asked["keys"].to_pylist()]), return_inverse=True)
+        total = [np.bincount(place, weights=np.concatenate([_unpack(x, "<u4") for x in asked[c].to_pylist()]), minlength=len(keys)) for c in ("background", "target")]
+        word = keys & np.uint64(1) == 0
+        ends = np.cumsum([0, *(len(k) // 8 for k in asked["keys"].to_pylist())])
+        known = (total[0] + total[1])[word] > 0
+        of_part = [[int(known.sum())], *([int(x[word].sum())] for x in total)]
+        return pa.table([*(asked[c] for c in ("_slice", "_at", "rows", "part")), *(pa.array([_pack(x[place[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in total), *(pa.array(x + [0] * (len(asked) - 1), pa.int64()) for x in of_part)],
+                        names=["_slice", "_at", "rows", "part", "background", "target", "kinds", "n_background", "n_target"])
 
     text = F.col("text").cast("string").alias("_text")
-    docs = written(documents.select(*names, text).mapInArrow(cut, StructType([*fields, *StructType.fromDDL("_text string, _slice long")])), "sliced")
-    asked = docs.select("_text", "_slice").mapInArrow(ask, "_slice long, part int, keys binary")
-    answers = asked.groupBy("part").cogroup(models.counts.groupBy("part")).applyInArrow(answer, f"_slice long, {PACKED}")
-    return docs.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(score, StructType([*fields, *StructType.fromDDL("n_words long, score double")]))
+    member = [F.coalesce(F.lit(True) if m is None else m, F.lit(False)).alias(c) for m, c in zip((in_background, in_target), marks, strict=True)]
+    docs = written(small_batches(documents.select(*names, text, *member)).mapInArrow(cut, StructType([*fields, *StructType.fromDDL("_text string, _background boolean, _target boolean, _slice long, _at int")])), "sliced")
+    asked = docs.select("_text", *marks, "_slice", "_at").mapInArrow(ask, "_slice long, _at int, rows int, part int, keys binary, background binary, target binary")
+    answers = written(asked.groupBy("part").applyInArrow(answer, "_slice long, _at int, rows int, part int, background binary, target binary, kinds long, n_background long, n_target long"), "answers")
+    kinds, *n = (float(x) for x in answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "n_background", "n_target"))).first())
+    scale = [min(n) / x if x else 0.0 for x in n]
+    size = kinds + 1  # one for what neither model has
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.sort_by("_at"), answers.sort_by([("_at", "ascending"), ("part", "ascending")])
+        n_words, mean = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        at = texts["_at"].to_numpy()
+        begins = answers["_at"].to_numpy()
+        for begin in np.unique(begins):
+            mine = answers.filter(pa.array(begins == begin))
+            lo = int(np.searchsorted(at, begin))
+            run = texts.slice(lo, mine["rows"][0].as_py())
+            (_, _, data, offsets), = slices(_text(run["_text"]), "_text", 1 << 62)
+            e = Events(data, offsets)
+            own, own_pair = e.own(e.which, e.row), e.own(e.pair, e.row[e.at])
+            length = np.bincount(e.row, minlength=len(run))
+            log = []
+            for k, c in enumerate(("background", "target")):
+                total = np.concatenate([_unpack(x) for x in mine[c].to_pylist()]).astype(np.float64)
+                inside = np.asarray(run[marks[k]].to_numpy(), dtype=np.float64)[e.row]
+                seen = scale[k] * (total[e.which] - own * inside)
+                p = (seen + PRIOR) / (scale[k] * (n[k] - length[e.row] * inside) + PRIOR * size)
+                together = scale[k] * (total[e.pair] - own_pair * inside[e.at])
+                p[e.at] = (together + HALF * p[e.at]) / (seen[e.at - 1] + HALF)
+                log.append(np.log(p))
+            n_words[lo : lo + len(run)] = e.n_words
+            mean[lo : lo + len(run)] = np.bincount(e.row, weights=log[1] - log[0], minlength=len(run)) / np.maximum(length, 1)
+        return pa.table([*(texts[f] for f in names), pa.array(n_words), pa.array(mean if min(n) else np.zeros(len(texts)))], names=[*names, "n_words", "score"])
+
+    return docs.groupBy("_slice").cogroup(answers.select("_slice", "_at", "rows", "part", "background", "target").groupBy("_slice")).applyInArrow(score, StructType([*fields, *StructType.fromDDL("n_words long, score double")]))

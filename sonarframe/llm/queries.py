@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, fingerprints, language_id, license_scan, line_dedup, lm_score, near_dedup, quality, toxicity
+from .shared import sized, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -51,10 +52,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good and not toxic; background: all documents."""
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")  # there may be as many labels as documents
-    models = lm_score.fit(marked, F.col("good"))
-    return lm_score.scored(docs, models, "doc_id")
+    good = written(table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True)), "good")
+    return lm_score.scored(docs.select("doc_id", "text").join(sized(good), "doc_id", "left"), F.col("good"), "doc_id")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys, of 8 bytes each, that are broadcast at most.
+FEW = 1 << 18
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -35,3 +41,21 @@ def delete(df: DataFrame) -> None:
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows are whole texts and go to Python next: Arrow batches, which are many times in memory there and on the way, get BATCH bytes at most, unless the session says otherwise."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) == "67108864b":  # Spark's default
+        conf.set(name, str(BATCH))
+    return df
+
+
+def sized(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table of keys, to be joined with: broadcast if it has `most` rows or fewer, else met in a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids, a written table, by an exact semi-join."""
+    return df.join(sized(ids.select(key).distinct()), key, "left_semi")

@@ -135,18 +135,20 @@ def test_contamination_equals_scanning(spark, block_chars):
     docs = [(k, prose(rng, 40)) for k in range(10)]
     docs += [(10 + k, f"{prose(rng, 15)} {items[k][1].upper()} -- {prose(rng, 15)}") for k in range(20)] + [(40, " ".join(t for _, t in items[:6])), (41, None), (42, "")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontaminate.contamination(clashing(table(spark, docs)), clashing(bench), block_chars=block_chars).collect()
+    got = decontaminate.contamination(clashing(table(spark, docs)), clashing(bench), "doc_id", block_chars=block_chars).collect()
     assert {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got} == {i: brute_contamination(t, items) for i, t in docs}
     for r in got:
         assert sum(s["last"] - s["first"] + 1 for s in r["spans"]) == r["n_hit"]
 
 
-def test_contamination_of_odd_rows(spark):
-    bench = spark.createDataFrame([(1, "one"), (None, "two")], "item_id bigint, text string")
-    got = decontaminate.contamination(table(spark, odd_rows()), bench).collect()
-    assert len(got) == len(odd_rows()) and {r["doc_id"] for r in got if r["contaminated"]} == {4, 5, 6}
-    assert not [r for r in decontaminate.contamination(table(spark, odd_rows()), bench.limit(0)).collect() if r["n_hit"]]
-    assert decontaminate.contamination(empty(spark), bench).count() == 0
+@pytest.mark.parametrize("block_chars", [1 << 25, 3])
+def test_contamination_of_odd_rows(spark, block_chars):
+    bench = spark.createDataFrame([(1, "one"), (None, "two"), (3, "the same"), (4, "id at")], "item_id bigint, text string")
+    got = decontaminate.contamination(table(spark, odd_rows()), bench, "doc_id", block_chars=block_chars).collect()
+    want = Counter((i, brute_contamination(t, [(1, "one"), (3, "the same"), (4, "id at")])) for i, t in odd_rows())
+    assert Counter((r["doc_id"], tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))) for r in got) == want
+    assert not [r for r in decontaminate.contamination(table(spark, odd_rows()), bench.limit(0), "doc_id").collect() if r["n_hit"]]
+    assert decontaminate.contamination(empty(spark), bench, "doc_id", block_chars=block_chars).count() == 0
 
 
 # -- lines
@@ -191,11 +193,12 @@ def test_line_classes_equal_all_pairs(spark):
 
 
 def test_lines_of_odd_rows(spark):
-    rows = [(i, t) for i, t in odd_rows() if i != 9]
+    rows = odd_rows()
     got = line_dedup.classes(table(spark, rows)).collect()
     assert len(got) == sum(t.count("\n") + 1 for _, t in rows if t is not None)
-    out = line_dedup.deduplicated(table(spark, rows))
-    assert out.columns == table(spark, rows).columns and {1, 2, 3, 4, 5, 7} <= {r["doc_id"] for r in out.collect()}
+    out = line_dedup.deduplicated(clashing(table(spark, rows)).withColumns({"gone": F.lit(1), "rest": F.lit(2), "a.b": F.lit(3)}))
+    assert out.columns == [*table(spark, rows).columns, *CLASH, "gone", "rest", "a.b"]
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _ in rows)
     assert line_dedup.classes(empty(spark)).count() == 0 and line_dedup.deduplicated(empty(spark)).count() == 0
 
 
@@ -205,6 +208,13 @@ def test_deduplicated_texts(spark):
     assert got == {1: (f"{a}\n{b}", len(a) + len(b) + 1), 2: ("new text, which nobody has seen\nshort", 37), 4: ("short", 5)}
 
 
+def test_no_line_is_lost_where_rows_share_a_doc_id(spark):
+    a, b = "a line that is long enough to count", "a second text that is quite another"
+    for rows in ([(3, b), (5, a), (5, b)], [(3, b), (5, a), (5, a)], [(3, b), (None, b), (None, a)]):
+        left = [r["text"] for r in line_dedup.deduplicated(table(spark, rows)).collect()]
+        assert set(left) == {a, b}, rows
+
+
 # -- fingerprints
 
 
@@ -215,10 +225,34 @@ def test_sketch_estimates_containment(spark):
     short = long[5000:7000]
     df = spark.createDataFrame([(" ".join(long), " ".join(short), " ".join(rng.choice(vocabulary, 2000)))], "a string, b string, c string")
     a, b, c = (fingerprints.fingerprint(F.col(x)) for x in "abc")
-    r = df.select(fingerprints.containment(b, a).alias("inside"), fingerprints.containment(a, b).alias("around"), fingerprints.containment(c, a).alias("other"), F.size(a).alias("n"), (fingerprints.merged(a, b) == a).alias("merged")).first()
+    r = df.select(fingerprints.containment(b, a).alias("inside"), fingerprints.containment(a, b).alias("around"), fingerprints.containment(c, a).alias("other"), F.size(a["kept"]).alias("n"), (fingerprints.merged(a, b) == a).alias("merged")).first()
     assert r["inside"] == 1.0 and abs(r["around"] - 0.1) < 0.03 and r["other"] < 0.02 and abs(r["n"] - 2500) < 250 and r["merged"]
 
 
+def test_sketches_by_definition(spark):
+    """Kept hashes, likeness, containment and unions against sets of Python; XXH64 of the shingles comes from Spark, word for word."""
+    rng = np.random.default_rng(16)
+    texts = [None, "", " ", "one", "one two", "ONE  two", *(prose(rng, int(n)) for n in rng.integers(1, 60, 12))]
+    split = [re.findall(r"\S+", (t or "").lower()) for t in texts]
+    grams = sorted({tuple(w[k : k + 5]) for w in split for k in range(len(w) - 4)})
+    word = {r["w"]: r["h"] for r in spark.createDataFrame([(x,) for x in sorted({x for w in split for x in w})], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    of_grams = spark.createDataFrame([(k, *(word[x] for x in g)) for k, g in enumerate(grams)], "k int, a long, b long, c long, d long, e long").select("k", F.xxhash64(*"abcde").alias("h"))
+    gram = {grams[r["k"]]: r["h"] for r in of_grams.collect()}
+    few = {t: h for t, h in spark.createDataFrame([(" ".join(str(word[x]) for x in w),) for w in split if 0 < len(w) < 5], "t string").select("t", F.xxhash64("t")).collect()}
+    sets = [{gram[tuple(w[k : k + 5])] for k in range(len(w) - 4)} if len(w) > 4 else {few[" ".join(str(word[x]) for x in w)]} if w else set() for w in split]
+    kept = lambda s: sorted(h for h in s if 0 <= h < (1 << 64) // fingerprints.SCALE)
+    sketched = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", fingerprints.fingerprint(F.col("t")).alias("s"))
+    pairs_ = sketched.alias("x").join(sketched.alias("y"), F.col("x.k") <= F.col("y.k")).select(F.col("x.k").alias("x"), F.col("y.k").alias("y"), F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+    for r in pairs_.select("x", "y", "a", fingerprints.merged("a", "b").alias("m"), fingerprints.likeness("a", "b").alias("l"), fingerprints.containment("a", "b").alias("c")).collect():
+        a, b = sets[r["x"]], sets[r["y"]]
+        assert r["a"]["kept"] == kept(a) and r["a"]["least"] == min(a, default=None)
+        assert r["m"]["kept"] == kept(a | b) and r["m"]["least"] == min(a | b, default=None)
+        ka, kb = set(kept(a)), set(kept(b))
+        same = min(a, default=None) == min(b, default=None)
+        assert math.isclose(r["l"], len(ka & kb) / len(ka | kb) if ka | kb else float(same))
+        assert math.isclose(r["c"], len(ka & kb) / len(ka) if ka else float(not a or same))
+
+
 def test_fingerprint_query(spark, tmp_path):
     rows = [(i, t) for i, t in odd_rows() if i is not None and (i, t) != (9, "the same id again")]
     clashing(table(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
@@ -272,10 +306,10 @@ def test_models_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.train(empty(spark)), "doc_id").collect()} == {"und"}
     assert len(quality.quality(docs).collect()) == len(odd_rows())
     assert quality.quality(empty(spark)).count() == 0
-    models = lm_score.fit(docs, F.col("doc_id") == 7)
-    scores = lm_score.scored(docs, models, "doc_id").collect()
-    assert len(scores) == len(odd_rows()) and all(math.isfinite(r["score"]) for r in scores)
-    assert lm_score.scored(empty(spark), lm_score.fit(empty(spark), F.lit(True)), "doc_id").count() == 0
+    scores = lm_score.scored(docs, F.col("doc_id") == 7, "doc_id").collect()
+    assert len(scores) == len(odd_rows()) and all(math.isfinite(r["score"]) for r in scores) and {r["score"] for r in scores if r["doc_id"] in (1, 2, 3)} == {0.0}
+    assert {r["score"] for r in lm_score.scored(docs, F.lit(False), "doc_id").collect()} == {0.0}
+    assert lm_score.scored(empty(spark), F.lit(True), "doc_id").count() == 0
 
 
 def test_language_on_held_out_rows(spark):
@@ -334,40 +368,62 @@ def test_labellers_are_estimated():
 def test_scores_prefer_what_is_like_the_target(spark):
     rng = np.random.default_rng(9)
     rows = [(k, " ".join(rng.choice(WORDS[:6] if k % 2 else WORDS[6:], 50))) for k in range(40)]
-    models = lm_score.fit(table(spark, rows), F.col("doc_id") % 2 == 1)
-    got = {r["doc_id"]: r for r in lm_score.scored(table(spark, rows), models, "doc_id").collect()}
+    got = {r["doc_id"]: r for r in lm_score.scored(table(spark, rows), F.col("doc_id") % 2 == 1, "doc_id").collect()}
     assert min(got[k]["score"] for k in range(1, 40, 2)) > max(got[k]["score"] for k in range(0, 40, 2)) and got[1]["n_words"] == 50
-    assert models.unigram[0].sum() == 40 * 50 and models.unigram[1].sum() == 20 * 50
 
 
-def test_scores_count_every_word_and_pair(spark):
-    """More words and pairs than any bounded table: scores equal those from exact counts of all."""
+END = object()
+
+
+class Model:
+    """The models as lm_score's docstring has them, by dictionaries, over the vocabulary of all texts."""
+
+    def __init__(self, texts, vocabulary, scale):
+        self.one, self.two = Counter(), Counter()
+        for t in texts:
+            self.one.update([*t, END] if t else [])
+            self.two.update(zip(t, [*t[1:], END]))
+        self.vocabulary, self.scale = vocabulary, scale
+
+    def p(self, word, before=None):
+        size = len(self.vocabulary) + 1
+        p = (self.scale * self.one[word] + lm_score.PRIOR) / (self.scale * self.one.total() + lm_score.PRIOR * size)
+        return p if before is None else (self.scale * self.two[before, word] + lm_score.HALF * p) / (self.scale * self.one[before] + lm_score.HALF)
+
+
+@pytest.mark.parametrize(("words", "length"), [(90_000, 3000), (40, 60)])
+def test_scores_equal_models_by_definition(spark, words, length):
+    """Every word and pair counts, whatever their number; each row is scored by the others; probabilities sum to 1."""
     rng = np.random.default_rng(11)
-    texts = [[f"w{x}" for x in rng.integers(0, 90_000, 6000) ** 2 // 90_000] for _ in range(40)]
+    texts = [[f"w{x}" for x in rng.integers(0, words, length) ** 2 // words] for _ in range(40)] + [[], ["w1"]]
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
-    got = {r["doc_id"]: r for r in lm_score.scored(table(spark, rows), lm_score.fit(table(spark, rows), F.col("doc_id") % 4 == 1), "doc_id").collect()}
-    one, two = ([Counter(), Counter()] for _ in range(2))
-    for k, t in enumerate(texts):
-        for m in (0, 1) if k % 4 == 1 else (0,):
-            one[m].update(t)
-            two[m].update(zip(t, t[1:]))
-    assert len(one[0]) > 50_000
-    for k in (0, 1, 17):
-        want = 0.0
-        for before, word in zip([None, *texts[k]], texts[k]):
-            for m, sign in ((0, -1), (1, 1)):
-                p = (one[m][word] + 0.5) / (one[m].total() + 0.5 * (len(one[0]) + 1))
-                if n := one[m][before]:
-                    p = n / (n + lm_score.HALF) * two[m][before, word] / n + lm_score.HALF / (n + lm_score.HALF) * p
-                want += sign * math.log(p)
-        assert got[k]["n_words"] == 6000 and math.isclose(got[k]["score"], want / 6000, rel_tol=1e-9, abs_tol=1e-12)
+    target = lambda k: k % 4 == 1
+    got = {r["doc_id"]: r for r in lm_score.scored(clashing(table(spark, rows)), F.col("doc_id") % 4 == 1, "doc_id").collect()}
+    vocabulary = {w for t in texts for w in t} | {END}
+    total = [sum(len(t) + 1 for t in texts if t), sum(len(t) + 1 for k, t in enumerate(texts) if t and target(k))]
+    for k in (0, 1, 17, 40, 41):
+        models = [Model([t for j, t in enumerate(texts) if j != k], vocabulary, total[1] / total[0]), Model([t for j, t in enumerate(texts) if j != k and target(j)], vocabulary, 1.0)]
+        if words == 40 and k == 1:
+            for m in models:
+                for before in (None, "w1", "w7"):
+                    assert math.isclose(sum(m.p(w, before) for w in vocabulary) + m.p("new", before), 1.0, rel_tol=1e-9)
+        want = [math.log(models[1].p(w, b)) - math.log(models[0].p(w, b)) for b, w in zip([None, *texts[k]], [*texts[k], END])] if texts[k] else [0.0]
+        assert got[k]["n_words"] == len(texts[k]) and math.isclose(got[k]["score"], np.mean(want), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_size_does_not_tell_in_the_score(spark):
+    """Target and background alike, the target a twentieth of it: scores are about 0."""
+    rng = np.random.default_rng(15)
+    rows = [(k, prose(rng, 80)) for k in range(400)]
+    got = [r["score"] for r in lm_score.scored(table(spark, rows), F.col("doc_id") % 20 == 1, "doc_id").collect()]
+    assert abs(np.mean(got)) < 0.1  # what is left is the noise of twenty texts
 
 
 def test_licences_are_found(spark):
     rng = np.random.default_rng(10)
     rows = [(k, prose(rng, 20) + "\n" + prose(rng, 20)) for k in range(60)]
     rows += [(100, prose(rng, 20) + "\nReleased under the MIT License."), (101, "Licensed under CC BY 4.0.\nLicensed under the Apache License, Version 2.0."), (102, "All rights reserved."), (103, None), (104, ""), (None, "All rights reserved.")]
-    got = {r["doc_id"]: r for r in license_scan.scan(clashing(table(spark, rows)).withColumnRenamed("w", "w2")).collect()}
+    got = {r["doc_id"]: r for r in license_scan.scan(clashing(table(spark, rows))).collect()}
     assert {k: r["families"] for k, r in got.items() if r["families"]} == {100: "mit", 101: "apache-2.0,cc-by-4.0", 102: "all-rights-reserved", None: "all-rights-reserved"}
     assert len(got) == 66
 
