@@ -8,7 +8,7 @@ Suffix positions are kept for every 16th word of a run, its first included, so t
 takes 15 steps at most and never leaves its run.  The occurrences of a document are merged to spans.
 
 The benchmark goes out in blocks of at most BLOCK_CHARS characters, each a broadcast of bounded size; with
-more than one block, the documents are read once for each and the spans of a document are merged after.
+more than one block, the documents are numbered and written, read once for each block, and the spans of a row are merged after.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .shared import small_batches, written
 from .textbytes import ALNUM, slices, words
 
 WINDOW = 13
@@ -207,18 +209,17 @@ class Phrases:
                 yield word_of[index.locate(rows)], phrases.shape[1], np.repeat(hit, count), items
 
 
-SPANS = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
-
-
-def spans(documents: DataFrame, items: list[tuple], window: int = WINDOW) -> DataFrame:
-    """Per document: its number of words, merged spans of hit words (first and last), items with an occurring window."""
+def spans(documents: DataFrame, items: list[tuple], *keep: str, window: int = WINDOW) -> DataFrame:
+    """Per row: the columns to keep, its number of words, merged spans of hit words (first and last), items with an occurring window."""
     sent = documents.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    fields = [f for f in documents.schema if f.name in keep]
+    out = StructType.fromDDL("n_words long, spans array<struct<first:long,last:long>>, items array<string>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
+        of_spans, of_items = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch, limit=SHARD_BYTES):
+            for lo, hi, data, offsets in slices(batch, "_text", limit=SHARD_BYTES):
                 hashes, _, first = words(data, offsets, ALNUM)
                 change = np.zeros(len(hashes) + 1, dtype=np.int64)
                 found: dict[int, set[str]] = {}
@@ -234,36 +235,38 @@ def spans(documents: DataFrame, items: list[tuple], window: int = WINDOW) -> Dat
                     own = np.concatenate([[False], hit[first[d] : first[d + 1]], [False]])
                     edges = np.flatnonzero(own[1:] != own[:-1]).tolist()
                     rows[d] = [{"first": a, "last": b - 1} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(rows, schema.field("spans").type), pa.array([sorted(found.get(d, ())) for d in range(hi - lo)], schema.field("items").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in fields), pa.array(np.diff(first)), pa.array(rows, of_spans), pa.array([sorted(found.get(d, ())) for d in range(hi - lo)], of_items)], names=[*(f.name for f in fields), *out.names])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SPANS)
+    return small_batches(documents.select(*(f.name for f in fields), F.col("text").cast("string").alias("_text"))).mapInArrow(scan, StructType([*fields, *out]))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, spans, items, n_hit, n_items, items_sha256, contaminated: a row for each row of documents.
+def contamination(documents: DataFrame, benchmark: DataFrame, *keep: str, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The columns to keep, n_words, spans, items, n_hit, n_items, items_sha256, contaminated: a row for each row of documents.
 
     A null or empty text has no words and is clean; so is everything if the benchmark is empty.  Items
-    without an id or words are left out.  Items that share a window all count.  With more blocks than
-    one, the rows of a doc_id are merged, so doc_id has to be unique there.
+    without an id or words are left out.  Items that share a window all count.  Rows that repeat a doc_id, or
+    have none, are rows of their own, however many blocks the benchmark has.
     """
+    docs = documents.select(*keep, "text")
     bench = benchmark.select(F.col("item_id"), F.col("text").cast("string")).where("item_id is not null")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     if blocks == 1:
-        found = spans(documents, bench.collect(), window)
+        found = spans(docs, bench.collect(), *keep, window=window)
     else:
+        docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         found = None
         for k in range(blocks):
-            part = spans(documents, bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect(), window)
+            part = spans(docs, bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect(), "_row", window=window)
             found = part if found is None else found.unionByName(part)
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merge = F.expr("""aggregate(array_sort(spans), cast(array() as array<struct<first:bigint,last:bigint>>), (a, s) ->
             CASE WHEN size(a) = 0 OR s.first > element_at(a, -1).last + 1 THEN concat(a, array(s))
             ELSE concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first AS first, greatest(element_at(a, -1).last, s.last) AS last))) END)""")
-        found = found.withColumn("spans", merge)
+        found = docs.drop("text").join(found.withColumn("spans", merge), "_row")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
     found = found.withColumn("n_hit", n_hit)
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        *keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), "spans", "items",
     )
