@@ -7,7 +7,8 @@ pair shares one.  Documents with the same set are one class before that.  Candid
 
 A key that many classes share does not make all their pairs.  First every class is compared with the least
 class of each of its keys, its centre; confirmed links join components.  Then, for keys whose classes are still
-in different components, all pairs across components follow, with a bound in the join's condition: two
+in different components, the pairs across components follow: those of the classes outside the key's largest
+component, so what that one has within it is never enumerated.  The join's condition has a bound: two
 sets have no more in common than their shares of the centre's set allow, plus what they have in common
 outside it, and those few shingles are known from the comparison with the centre.  The bound holds for every
 pair, so no link that would join two components is lost.
@@ -24,13 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import only, small_batches, written
 from .textbytes import NOT_SPACE, combine, mix, slices, words
 
 CHUNKS, LANES = 8, 32
 MAX_DISTANCE = 2 * CHUNKS - 1
-#: Bound of the broadcast that thins out rows before an exact join.
-BUCKETS = 1 << 18
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
@@ -91,17 +90,6 @@ def _sets(size: int):
     return scan, "doc_id long, shingles array<long>"
 
 
-def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is in ids.
-
-    A broadcast of at most BUCKETS hash buckets leaves out most rows while ids are few; the rest, or all
-    rows when ids are many, meet the ids in an exact join.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
-    few = F.broadcast(ids.select(bucket.alias("_bucket")).distinct())
-    return df.withColumn("_bucket", bucket).join(few, "_bucket", "left_semi").drop("_bucket").join(ids.select(key).distinct(), key, "left_semi")
-
-
 def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
     """a, b, linked, n (b's set size) and others (b's shingles that a lacks), for every pair or for those that sizes and signatures leave."""
     chunks = [f"c{k}" for k in range(CHUNKS)]
@@ -112,7 +100,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     near = written(near.select("a", "b"), "candidates")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     scan, schema = _sets(size)
-    sets = written(only(docs, ids, "doc_id").mapInArrow(scan, schema), "sets")
+    sets = written(small_batches(only(docs, ids, "doc_id")).mapInArrow(scan, schema), "sets")
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     others = F.array_except("sb", "sa")
     common = F.size("sb") - F.size("others")
@@ -130,7 +118,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scan, schema = _signatures(shingle)
-    signed = written(docs.mapInArrow(scan, schema), "signatures")
+    signed = written(small_batches(docs).mapInArrow(scan, schema), "signatures")
     chunks = [f"c{k}" for k in range(CHUNKS)]
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in chunks))
     reps = written(classes, "classes")
@@ -144,10 +132,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     label = F.coalesce("component", "rep").alias("component")
     labelled = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "centre", "rep", label)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("many"))
     own = star.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "n", "others")
-    member = written(labelled.where("centre <> rep").join(mixed, "key").join(own, ["centre", "rep"]).select("key", "rep", "component", "n", "others"), "members")
-    x, y = (member.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "others"))) for side in "xy")
+    member = labelled.where("centre <> rep").join(sizes.where("many > 1").select("key", "main"), "key").withColumn("out", F.col("component") != F.col("main"))
+    member = written(member.join(own, ["centre", "rep"]).select("key", "rep", "component", "out", "n", "others"), "members")
+    x, y = (side.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "component", "out", "n", "others"))) for side, name in ((member.where("out"), "x"), (member, "y")))
     outside_x, outside_y = F.size("others_x"), F.size("others_y")
     inside = F.least(F.col("n_x") - outside_x, F.col("n_y") - outside_y)
     sizes = F.col("n_x") + F.col("n_y")
@@ -155,8 +144,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     def possible(common: Column) -> Column:  # whether so many common shingles can make a link
         return common * (100 + percent) >= sizes * percent
 
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & possible(inside + F.least(outside_x, outside_y)) & possible(inside + F.size(F.array_intersect("others_x", "others_y"))))
-    more = _compared(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), docs, reps, shingle, percent, every=False).where("linked").select("a", "b")
+    rest = x.join(y, (x["key"] == y["key"]) & (~F.col("out_y") | (F.col("rep_x") < F.col("rep_y"))) & (F.col("component_x") != F.col("component_y")) & possible(inside + F.least(outside_x, outside_y)) & possible(inside + F.size(F.array_intersect("others_x", "others_y"))))
+    more = _compared(rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")), docs, reps, shingle, percent, every=False).where("linked").select("a", "b")
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
 
