@@ -3,8 +3,9 @@
 Whether a hash is kept does not depend on the document, so the sketch of a union is the union of sketches,
 and the share of a short document's kept hashes that a long one has estimates its containment.  Only
 DataFrame functions are used.  A text's words are its lower-cased runs of characters other than white
-space; a shingle is `size` words, and a text of fewer, but not none, is one shingle.  A sketch that would be
-empty though the text has shingles has the least hash instead.  Null and empty texts have empty sketches.
+space; a shingle is `size` words, and a text of fewer, but not none, is one shingle.  Beside the kept hashes
+a sketch has the least hash of all, which also unites by its rule (the lesser of two) and tells texts apart that are
+too short to have kept ones.  Null and empty texts have no hashes and a null least one.
 """
 
 from __future__ import annotations
@@ -34,35 +35,46 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
 
 
 def fingerprint(text: Column, size: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes h with 0 <= h < 2^64 / scale; scale is 2 at least."""
+    """kept: sorted distinct hashes h with 0 <= h < 2^64 / scale, where scale is 2 at least; least: the least hash."""
     below = (1 << 64) // scale
 
-    def kept(h: Column) -> Column:
-        few = F.array_sort(F.array_distinct(F.filter(h, lambda x: (x >= 0) & (x < below))))
-        return F.when((F.size(few) > 0) | (F.size(h) == 0), few).otherwise(F.array(F.array_min(h)))
+    def sketch(h: Column) -> Column:
+        return F.struct(F.array_sort(F.array_distinct(F.filter(h, lambda x: (x >= 0) & (x < below)))).alias("kept"), F.array_min(h).alias("least"))
 
-    return F.element_at(F.transform(F.array(shingle_hashes(text, size)), kept), 1)
+    return F.element_at(F.transform(F.array(shingle_hashes(text, size)), sketch), 1)
+
+
+def _both(a: str | Column, b: str | Column) -> tuple[Column, Column]:
+    return tuple(F.col(x) if isinstance(x, str) else x for x in (a, b))
 
 
 def as_text(sketch: str | Column) -> Column:
-    """Hexadecimal hashes joined by dots; equal sketches have equal texts."""
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.hex(x))), ".")
+    """Hexadecimal hashes joined by dots, those kept and, after a colon, the least; equal sketches have equal texts, and an empty one none."""
+    sketch, _ = _both(sketch, sketch)
+    return F.concat(F.array_join(F.transform(sketch["kept"], lambda x: F.lower(F.hex(x))), "."), F.coalesce(F.concat(F.lit(":"), F.lower(F.hex(sketch["least"]))), F.lit("")))
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
-    """Estimated share of the shingles of either text that both have; 1 for two empty sketches."""
-    common, both = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(both == 0, 1.0).otherwise(common / F.greatest(both, F.lit(1)))
+    """Estimated share of the shingles of either text that both have; without kept hashes, whether the least are the same (1 for two empty texts)."""
+    a, b = _both(a, b)
+    common, both = F.size(F.array_intersect(a["kept"], b["kept"])), F.size(F.array_union(a["kept"], b["kept"]))
+    return F.when(both == 0, a["least"].eqNullSafe(b["least"]).cast("double")).otherwise(common / F.greatest(both, F.lit(1)))
 
 
 def containment(a: str | Column, b: str | Column) -> Column:
-    """Estimated share of the shingles of a's text that b's has; 1 if there are none."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+    """Estimated share of the shingles of a's text that b's has; 1 if there are none.
+
+    Without kept hashes it is 1 if both have the same least one, else 0, as a's few shingles cannot be looked for.
+    """
+    a, b = _both(a, b)
+    few = F.when(a["least"].isNull() | a["least"].eqNullSafe(b["least"]), 1.0).otherwise(0.0)
+    return F.when(F.size(a["kept"]) == 0, few).otherwise(F.size(F.array_intersect(a["kept"], b["kept"])) / F.greatest(F.size(a["kept"]), F.lit(1)))
 
 
 def merged(a: str | Column, b: str | Column) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    a, b = _both(a, b)
+    return F.struct(F.array_sort(F.array_union(a["kept"], b["kept"])).alias("kept"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def with_next(documents: DataFrame, group: int = GROUP) -> DataFrame:
