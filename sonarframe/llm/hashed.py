@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import written
+from .shared import small_batches, written
 from .textbytes import ALNUM, combine, mix, slices, words
 
 BITS = 18
@@ -125,9 +125,14 @@ def scored(documents: DataFrame, weights: np.ndarray, *keep: str, features: Feat
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in fields), pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], names=[*(f.name for f in fields), "score"])
 
     text = F.col("text").cast("string").alias("_text")
-    return documents.select(*(f.name for f in fields), text).mapInArrow(scan, StructType([*fields, *StructType.fromDDL("score double")]))
+    return small_batches(documents.select(*(f.name for f in fields), text)).mapInArrow(scan, StructType([*fields, *StructType.fromDDL("score double")]))
 
 
-def drawn(key: str | Column, share: float) -> Column:
-    """A deterministic share of the keys."""
-    return F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)
+def smallest(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
+    """Of the n rows those with the smallest hashes of key, `most` of them: the same rows however df is partitioned.
+
+    A threshold on the hash leaves few more before the order is looked at; rows alike in key are taken together or not.
+    """
+    share = min(1.0, 1.2 * most / max(1, n) + 1e-4)
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    return df.where(hashed < F.lit(int(share * (1 << 40)) + 1)).orderBy(hashed, key).limit(most)

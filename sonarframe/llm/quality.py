@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .hashed import Ftrl, coordinate, drawn, scored, train
-from .shared import written
+from .hashed import Ftrl, coordinate, scored, smallest, train
+from .shared import small_batches, written
 from .textbytes import NOT_SPACE, combine, mix, slices, words
 
 #: Documents that train the scorer at most.
@@ -64,7 +64,7 @@ def statistics(documents: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in fields), *(pa.array(out[:, c]) for c in range(len(names)))], names=[*(f.name for f in fields), *names])
 
     schema = StructType([*fields, *StructType.fromDDL(", ".join(f"{n} double" for n in names))])
-    return documents.select(*(f.name for f in fields), F.col("text").cast("string").alias("_text")).mapInArrow(scan, schema)
+    return small_batches(documents.select(*(f.name for f in fields), F.col("text").cast("string").alias("_text"))).mapInArrow(scan, schema)
 
 
 def votes() -> dict[str, Column]:
@@ -164,8 +164,8 @@ def quality(documents: DataFrame, most: int = TRAINING) -> DataFrame:
     _, _, posterior = estimate(counts)
     table = documents.sparkSession.createDataFrame([(",".join(map(str, p)), x) for p, x in posterior.items()], "pattern string, weak double")
     total = sum(counts.values())
-    chosen = docs.where(drawn("doc_id", min(1.0, 0.9 * most / max(1, total)))).limit(most)
-    chosen = written(chosen, "sample")
+    once = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # repeated rows are told apart, but for those alike in both, which are the same to learn from
+    chosen = written(smallest(once, "key", most, total).drop("key"), "sample")
     sample = statistics(chosen, "doc_id", "text").select("doc_id", "text", pattern_of(labellers).alias("pattern"))
     weights = train(sample.join(F.broadcast(table), "pattern").select("doc_id", "text", F.col("weak").alias("target")), Ftrl(alpha=1.0, beta=1.0, l1=3.0, l2=0.1), shards=max(1, min(most, total) // 6000), features=features)
     return judged(documents, weights)
