@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import written
+from .shared import small_batches, written
 from .textbytes import slices
 
 ORDER = 3
@@ -59,7 +59,7 @@ def _grams(documents: DataFrame) -> DataFrame:
                     gram, n = np.unique(_contexts(data, offsets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], schema=schema)
 
-    return documents.select("lang", "text").mapInArrow(scan, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return small_batches(documents.select("lang", "text")).mapInArrow(scan, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def identify(documents: DataFrame, trees: Trees, *keep: str) -> DataFrame:
 
     text = F.col("text").cast("string")
     marked = documents.select(*(f.name for f in fields), text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    return marked.mapInArrow(scan, StructType([*fields, *StructType.fromDDL("lang_pred string, score double, bits double")]))
+    return small_batches(marked).mapInArrow(scan, StructType([*fields, *StructType.fromDDL("lang_pred string, score double, bits double")]))
 
 
 def accepted(foreign_bits: float = FOREIGN_BITS, sure: float = SURE) -> Column:
