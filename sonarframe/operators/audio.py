@@ -79,6 +79,11 @@ def voiced_from_log_mels(df: DataFrame, bins: int = 40, by: str = "stream", cont
     return frames.voiced(df.withColumn("energy", voice_energy(column, bins)), "energy", context, share, threshold, scale, by)
 
 
+def voiced_from_mfccs(df: DataFrame, by: str = "stream", context: int = 5, share: float = 0.6, threshold: float = 4.0, scale: float = 1.0, column: str = "mfcc") -> DataFrame:
+    """Adds energy, hot and voiced from cepstral coefficients, of which the first is the energy."""
+    return frames.voiced(df.withColumn("energy", F.get(F.col(column), F.lit(0))), "energy", context, share, threshold, scale, by)
+
+
 def voiced_from_wave(samples: DataFrame, sr: float = 16000, by: str = "stream", **options) -> DataFrame:
     """stream, frame, mel, energy, hot, voiced of a 16-bit recording: windows of 50 ms every 10 ms."""
     size, step = int(sr * 0.05), int(sr * 0.01)

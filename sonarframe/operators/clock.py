@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import numbers, whole
+from .blocks import previous, running
+
 EPS = 2.220446049250313e-16
 
 
-def huber_line(t: np.ndarray, y: np.ndarray, rho: float = 1.0, rounds: int = 1000) -> tuple[float, float]:
-    """(intercept, slope) that minimise the Huber loss, by ADMM; the normal equations are solved once."""
-    a = np.stack([np.ones(len(t)), t], axis=1)
-    left = np.linalg.pinv(a.T @ a)
-    z = u = np.zeros(len(y))
-    x = np.zeros(2)
+def huber_lines(t: np.ndarray, y: np.ndarray, starts: np.ndarray, tolerance: float = 1e-12, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """(intercepts, slopes) that minimise the Huber loss of residuals around 1 in each range of rows, from its start to the next.
+
+    Weighted least squares, where a residual beyond 1 weighs as much less as it is larger; all ranges are
+    weighed together, and a range whose line no longer moves is left out of the next rounds.
+    """
+    size = np.diff(np.append(starts, len(t)))
+    lines = np.zeros((2, len(starts)))
+    left = np.arange(len(starts))
+    rows, w = np.arange(len(t)), np.ones(len(t))
     for _ in range(rounds):
-        x = left @ (a.T @ (y + z - u))
-        d = a @ x - y + u
-        shrunk = np.maximum(0.0, 1 - (1 + 1 / rho) / np.maximum(np.abs(d), 1e-300)) * d
-        z = rho / (1 + rho) * d + shrunk / (1 + rho)
-        u = d - z
-    return float(x[0]), float(x[1])
+        if not len(left):
+            break
+        own, at = np.repeat(np.arange(len(left)), size[left]), np.cumsum(size[left]) - size[left]
+        x, z = t[rows], y[rows]
+        sums = np.add.reduceat(np.stack([w, w * x, w * z]), at, axis=1)
+        mx, mz = sums[1] / sums[0], sums[2] / sums[0]
+        dx = x - mx[own]
+        over, under = np.add.reduceat(np.stack([w * dx * (z - mz[own]), w * dx * dx]), at, axis=1)
+        slope = np.where(under > 0, over / np.where(under > 0, under, 1.0), 0.0)
+        new = np.stack([mz - slope * mx, slope])
+        moved = np.abs(new - lines[:, left]).max(0) > tolerance * (1 + np.abs(new).max(0))
+        lines[:, left] = new
+        w = 1 / np.maximum(1.0, np.abs(z - new[0][own] - slope[own] * x))
+        rows, w, left = rows[moved[own]], w[moved[own]], left[moved]
+    return lines[0], lines[1]
 
 
 def ranges(offsets: DataFrame, by: str = "stream", stds: float = 5, seconds: float = 5, offset_stds: float = 10, offset_seconds: float = 1) -> DataFrame:
@@ -31,8 +49,8 @@ def ranges(offsets: DataFrame, by: str = "stream", stds: float = 5, seconds: flo
     A reset is a jump both in the time between measurements, or a step back in time, and in the offset,
     far beyond the medians.
     """
-    w = Window.partitionBy(by).orderBy("seq")
-    d = offsets.withColumns({"_dt": F.col("t") - F.lag("t").over(w), "_do": F.abs(F.col("offset") - F.lag("offset").over(w))})
+    d = previous(offsets.withColumn("_now", F.struct("t", "offset")), "_now", "_last", by, "seq")
+    d = d.withColumns({"_dt": F.col("t") - F.col("_last.t"), "_do": F.abs(F.col("offset") - F.col("_last.offset"))}).drop("_now", "_last")
     middle = d.groupBy(by).agg(F.median("_dt").alias("_mt"), F.median("_do").alias("_mo"))
     d = d.join(middle, by)
     spread = d.groupBy(by).agg((F.median(F.abs(F.col("_dt") - F.col("_mt"))) + EPS).alias("_st"), (F.median(F.abs(F.col("_do") - F.col("_mo"))) + EPS).alias("_so"))
@@ -44,30 +62,33 @@ def ranges(offsets: DataFrame, by: str = "stream", stds: float = 5, seconds: flo
 
     glitch = ((F.col("_dt") < 0) | beyond("_dt", "_mt", "_st", stds, seconds)) & beyond("_do", "_mo", "_so", offset_stds, offset_seconds)
     d = d.withColumn("_cut", F.coalesce(glitch.cast("bigint"), F.lit(0)))
-    return d.withColumn("range", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*offsets.columns, "range")
+    return running(d, "_cut", "range", by, "seq").select(*offsets.columns, "range")
 
 
 def fitted(ranged: DataFrame, by: str = "stream", winsor: float = 1e-4) -> DataFrame:
     """stream, range, start (its first time), intercept and slope of the offsets; a single measurement is a constant.
 
-    Offset measurements come every few seconds, so a range is a small group.
+    Offset measurements come every few seconds, so a range fits into a task; a task fits all its ranges together.
     """
-    kind = dict(ranged.dtypes)[by]
-
-    def line(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        t, y = part["t"].to_numpy(dtype=float), part["offset"].to_numpy(dtype=float)
-        if len(t) > 1:
-            # the time is centred and scaled, which the loss does not see, for the equations' sake
-            mid, wide = t.mean(), max(t.std(), 1e-9)
-            a, b = huber_line((t - mid) / wide, y / winsor)
-            slope = b * winsor / wide
-            intercept = a * winsor - slope * mid
-        else:
-            intercept, slope = y[0], 0.0
-        return pd.DataFrame({by: part[by].iloc[:1].to_list(), "range": part["range"].iloc[:1].to_list(), "start": [t[0]], "intercept": [intercept], "slope": [slope]})
-
-    return ranged.select(by, "range", "seq", "t", "offset").groupBy(by, "range").applyInPandas(line, f"{by} {kind}, range bigint, start double, intercept double, slope double")
+    keys = [by, "range"]
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in whole(batches, keys):
+            t, y = numbers(table, "t"), numbers(table, "offset")
+            size = np.diff(np.append(begin, len(t)))
+            # times are centred and scaled, which the loss does not see, for the equations' sake
+            mid = np.add.reduceat(t, begin) / size
+            off = t - np.repeat(mid, size)
+            wide = np.maximum(np.sqrt(np.add.reduceat(off * off, begin) / size), 1e-9)
+            a, b = huber_lines(off / np.repeat(wide, size), y / winsor, begin)
+            slope = np.where(size > 1, b * winsor / wide, 0.0)
+            intercept = np.where(size > 1, a * winsor - slope * mid, y[begin])
+            first = table.take(pa.array(begin))
+            yield pa.RecordBatch.from_arrays([*(first[k].combine_chunks() for k in keys), *map(pa.array, (t[begin], intercept, slope))], names=[*keys, "start", "intercept", "slope"])
+
+    rows = ranged.select(by, F.col("range").cast("bigint").alias("range"), "seq", F.col("t").cast("double").alias("t"), F.col("offset").cast("double").alias("offset"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "seq")
+    return rows.mapInArrow(lines, f"`{by}` {ranged.schema[by].dataType.simpleString()}, range bigint, start double, intercept double, slope double")
 
 
 def corrected(stamps: DataFrame, lines: DataFrame, by: str = "stream", at: str = "t") -> DataFrame:

@@ -10,21 +10,27 @@ from pyspark.sql import DataFrame
 def path(query: np.ndarray, reference: np.ndarray) -> list[tuple[int, int]]:
     """The cheapest alignment under Euclidean distances, exact; of equal ones a diagonal step is taken, then one of the query.
 
-    The table is filled along its anti-diagonals, each of which is one array operation.
+    Costs are made along anti-diagonals, each of which is one array operation on the two before it; what stays of a
+    cell is a byte for the step that led to it.
     """
     n, m = len(query), len(reference)
-    cost = np.sqrt(np.maximum(((query[:, None, :] - reference[None, :, :]) ** 2).sum(2), 0)) if n and m else np.zeros((n, m))
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0.0
+    step = np.zeros((n, m), dtype=np.uint8)
+    edge = np.full(n + 1, np.inf)  # costs by query position, from 1, with the border before it
+    before, last = edge.copy(), edge.copy()  # of the last anti-diagonal but one, and of the last
+    before[0] = 0.0
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        best[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(best[i - 1, j - 1], best[i - 1, j]), best[i, j - 1])
+        ways = np.stack([before[i - 1], last[i - 1], last[i]])  # from (i - 1, j - 1), (i - 1, j) and (i, j - 1)
+        best = ways.argmin(0)
+        step[i - 1, j - 1] = best
+        new = edge.copy()
+        new[i] = ways[best, np.arange(len(i))] + np.sqrt(((query[i - 1] - reference[j - 1]) ** 2).sum(1))
+        before, last = last, new
     out, i, j = [], n, m
     while i and j:
         out.append((i - 1, j - 1))
-        steps = (best[i - 1, j - 1], best[i - 1, j], best[i, j - 1])
-        k = int(np.argmin(steps))
+        k = step[i - 1, j - 1]
         i, j = i - (k != 2), j - (k != 1)
     return out[::-1]
 

@@ -64,8 +64,9 @@ def select_features(df: DataFrame, k: int, x: str = "x", y: str = "y") -> list[i
     """Positions of the k features that correlate most by ranks with the mean of the target, in ascending order of that."""
     from ..functions import arrays
 
-    long = df.select("frame", arrays.mean(y).alias("target"), F.posexplode(x).alias("feature", "v"))
-    top = statistics.strongest(statistics.spearman(long, "feature", "v", "target"), "feature", k)
+    ranked = statistics.target_ranks(df.select(F.col(x).alias("x"), arrays.mean(y).alias("target")), "target", "rank")
+    long = ranked.select("rank", F.posexplode("x").alias("feature", "v"))
+    top = statistics.strongest(statistics.spearman(long, "feature", "v", "rank", ranked=True), "feature", k)
     return [r["feature"] for r in top.orderBy("pos").collect()]
 
 
@@ -98,6 +99,41 @@ def matching(decoded: DataFrame, training: DataFrame) -> DataFrame:
     return dtw.warped_correlation(sides, "word")
 
 
+def trial_frames(trials: DataFrame, sr: int, shift: float = 0.01, seconds: int = 2, at: str = "start") -> DataFrame:
+    """Adds first and end, the frames of a trial that begins at a sample: from the next whole shift on, for so many seconds."""
+    step = int(shift * sr)
+    return trials.withColumn("first", F.ceil(F.col(at) / step)).withColumn("end", F.col("first") + seconds * sr // step)
+
+
+def trial_mask(streams: DataFrame, trials: DataFrame, sr: int, shift: float = 0.01, context: int = 5, by: str = "stream") -> DataFrame:
+    """stream, idx, inside: whether each frame of a stream (stream, n samples) belongs to a trial (stream, start).
+
+    There are as many frames as whole shifts, less the context of the voice detection.
+    """
+    frames_ = F.floor(F.col("n") / int(shift * sr)) - context
+    grid = streams.where(frames_ > 0).select(by, F.explode(F.sequence(F.lit(0).cast("bigint"), frames_ - 1)).alias("idx"))
+    return joins.mask(grid, trial_frames(trials, sr, shift).select(by, "first", "end"), by)
+
+
+def chance(decoded: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """run, word and r: spectra decoded from random segments of unrelated recordings, each against a training word, in turn.
+
+    decoded is (run, frame, mel), words (item from 0, word, frame, mel); the words are warped to the segments.
+    """
+    runs = joins.cycled(decoded.select("run").distinct(), words.select("item", "word").distinct(), n_words)
+    sides = decoded.join(runs.select("run"), "run").select("run", F.lit(0).alias("side"), "frame", "mel")
+    other = runs.join(words.drop("word"), "item").select("run", F.lit(1).alias("side"), "frame", "mel")
+    return dtw.warped_correlation(sides.unionByName(other), "run").join(runs.select("run", "word"), "run")
+
+
+def resynthesised(reco: DataFrame, trials: DataFrame, sr: int = 16000, by: str = "stream", **options) -> DataFrame:
+    """name and content, a WAV file for each trial (stream, trial, word, first, end in samples), of spectra (stream, frame, mel) made audible."""
+    from ..sources import wav
+    from . import vocoder
+
+    return wav.trial_files(vocoder.griffin_lim(reco, by, streaming=True, **options), trials, sr, by)
+
+
 def shares_of_trials(r: DataFrame, keep: int = 5) -> DataFrame:
     """The trials of the highest mean correlation; undefined ones rank first, of equal ones the later."""
     mean = F.coalesce("r", F.lit(float("nan")))

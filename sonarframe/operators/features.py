@@ -46,6 +46,11 @@ def neural_batch(samples: DataFrame, o: Options, by: str = "stream") -> DataFram
     return frames.stacked(made, by=by, order=o.order, step=o.step, pad=False) if o.stack else made
 
 
+def names(channels: list[str], order: int = 4) -> list[str]:
+    """The names of the elements of vectors(): channel and lag, the oldest first."""
+    return [f"{c}-{lag}" for c in channels for lag in range(order, -1, -1)]
+
+
 def vectors(made: DataFrame, column: str = "features", session: str = "session", channel: str = "ch") -> DataFrame:
     """session, frame, x: the features of all channels behind one another, channel by channel, each oldest first."""
     rows = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(channel, column))), lambda s: s[column]))

@@ -1,84 +1,137 @@
 """Causal filtering of numbered samples, in chunks that many tasks share.
 
-A filter is a linear state machine.  Every chunk of a stream is first run from a state of zeros, which gives
-the state that its own samples leave behind; these few numbers for each chunk are put together along the
-stream (state after = transition * state before + own), and a second pass runs each chunk from its true state.
-So one stream, however long, is not in one task, and only states meet.
+A filter, or a cascade of them, is a linear state machine.  Every chunk of a stream is first run from a state of
+zeros, which gives the state that its own samples leave behind; these few numbers for each chunk are put together
+along the stream (state after = transition * state before + own), and a second pass runs each chunk from its
+true state.  So one stream, however long, is not in one task, and only states meet.  A task runs all its chunks
+side by side, as columns of one matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import filters
+from ..functions.groups import numbers, whole
 
 CHUNK = 1 << 14
 
+#: Filters that follow each other, each with its start: "rest" from zeros, "cold" as if its first sample had always been there, "warm" from the steady state of a 1 followed by a number of zeros.
+Stages = Sequence[tuple[filters.Sections, str]]
 
-def filtered(df: DataFrame, sections: filters.Sections, by: str = "stream", start: str = "cold", zeros: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """df (by, idx, v, others) with v filtered; idx is numbered from 0 without gaps.
 
-    start: "rest" from zeros, "cold" as if the first sample had always been there, "warm" from the steady state
-    of a 1 followed by a number of zeros.  The order of rows does not matter.  Null samples count as 0.
-    """
-    kind = dict(df.dtypes)[by]
-    marked = df.withColumn("_chunk", F.floor(F.col("idx") / chunk).cast("bigint"))
-    n_states = 2 * len(sections)
+def _run(stages: Stages, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(y, state) of samples (time x columns) and the states of all stages (numbers x columns)."""
+    ends, at = [], 0
+    for sections, _ in stages:
+        size = 2 * len(sections)
+        x, end = filters.run(sections, x, state[at : at + size].reshape(len(sections), 2, -1))
+        ends.append(end.reshape(size, -1))
+        at += size
+    return x, np.concatenate(ends)
 
-    def ends(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("idx")["v"].fillna(0.0).to_numpy(dtype=float)
-        _, end = filters.run(sections, x[:, None], np.zeros((len(sections), 2, 1)))
-        return pd.DataFrame({by: part[by].iloc[:1].to_list(), "_chunk": part["_chunk"].iloc[:1].to_list(), "n": [len(x)], "head": [x[0]], "own": [end.ravel().tolist()]})
 
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_chunk")
+def _begin(stages: Stages, zeros: int, head: float) -> np.ndarray:
+    """The state of all stages before a stream's first sample."""
+    out, x = [], np.array([[head]])
+    for sections, start in stages:
         if start == "cold":
-            state = filters.cold(sections, np.array([part["head"].iloc[0]])).ravel()
+            state = filters.cold(sections, x[0])
         else:
-            state = filters.warm(sections, 1, zeros).ravel() if start == "warm" else np.zeros(n_states)
-        known: dict[int, np.ndarray] = {}
-        states = []
-        for n, own in zip(part["n"], part["own"], strict=True):
-            states.append(state.tolist())
-            if n not in known:
-                known[n] = filters.transition(sections, n)
-            state = known[n] @ state + np.asarray(own)
-        return pd.DataFrame({by: part[by].to_list(), "_chunk": part["_chunk"].to_list(), "_state": states})
-
-    states = marked.select(by, "_chunk", "idx", F.col("v").cast("double").alias("v")).groupBy(by, "_chunk").applyInPandas(ends, f"{by} {kind}, _chunk bigint, n bigint, head double, own array<double>")
-    states = states.groupBy(by).applyInPandas(scan, f"{by} {kind}, _chunk bigint, _state array<double>")
-
-    def final(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("idx")
-        state = np.asarray(right["_state"].iloc[0]).reshape(len(sections), 2, 1) if len(right) else np.zeros((len(sections), 2, 1))
-        y, _ = filters.run(sections, left["v"].fillna(0.0).to_numpy(dtype=float)[:, None], state)
-        return left.drop(columns="_chunk").assign(v=y[:, 0])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            state = filters.warm(sections, 1, zeros) if start == "warm" else np.zeros((len(sections), 2, 1))
+        out.append(state.ravel())
+        x, _ = filters.run(sections, x, state)
+    return np.concatenate(out)
+
+
+def _columns(x: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray, height: int) -> np.ndarray:
+    """The groups `of` as columns, zeros below the shorter ones."""
+    at = begin[of] + np.arange(height)[:, None]
+    return np.where(np.arange(height)[:, None] < size[of], x[np.minimum(at, len(x) - 1)], 0.0)
+
 
+def cascade(df: DataFrame, stages: Stages, by: str = "stream", zeros: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """df (by, idx, v, others) with v run through the stages; idx is numbered from 0 without gaps.
+
+    The order of rows does not matter.  Null samples count as 0.
+    """
+    marked = df.withColumn("_chunk", F.floor(F.col("idx") / chunk).cast("bigint"))
+    of_stream = df.schema[by].dataType.simpleString()
+    n_states = sum(2 * len(s) for s, _ in stages)
+    keys, columns = [by, "_chunk"], df.columns
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each full chunk leaves behind; nothing comes after one that is not full."""
+        for table, begin in whole(batches, keys):
+            x = np.nan_to_num(numbers(table, "v"))
+            size = np.diff(np.append(begin, len(x)))
+            own = np.zeros((len(begin), n_states))
+            full = np.flatnonzero(size == chunk)
+            if len(full):
+                own[full] = _run(stages, _columns(x, begin, size, full, chunk), np.zeros((n_states, len(full))))[1].T
+            first = table.take(pa.array(begin))
+            yield pa.RecordBatch.from_arrays([*(first[k].combine_chunks() for k in keys), pa.array(x[begin]), pa.array(list(own), pa.list_(pa.float64()))], names=[*keys, "head", "own"])
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move = _run(stages, np.zeros((chunk, n_states)), np.eye(n_states))[1]
+        for table, begin in whole(batches, [by]):
+            heads, first, out = numbers(table, "head"), set(begin.tolist()), []
+            for k, own in enumerate(table["own"].to_pylist()):
+                if k in first:
+                    state = _begin(stages, zeros, heads[k])
+                out.append(state)
+                state = move @ state + own
+            yield pa.RecordBatch.from_arrays([*(table[k].combine_chunks() for k in keys), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "_state"])
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each chunk is its state."""
+        for table, begin in whole(batches, keys):
+            x = np.nan_to_num(numbers(table, "v"))
+            size = np.diff(np.append(begin, len(x))) - 1
+            state = np.array(table["_state"].take(pa.array(begin)).to_pylist(), dtype=float)
+            y = np.zeros(len(x))
+            step = min(chunk, 128)
+            height = -(-size // step) * step
+            for h in np.unique(height[size > 0]).tolist():
+                of = np.flatnonzero(height == h)
+                out, _ = _run(stages, _columns(x, begin + 1, size, of, h), state[of].T)
+                rows = np.concatenate([np.arange(size[k]) + begin[k] + 1 for k in of])
+                y[rows] = np.concatenate([out[: size[k], c] for c, k in enumerate(of)])
+            kept = np.ones(len(x), dtype=bool)
+            kept[begin] = False
+            rest = table.append_column("_y", pa.array(y)).filter(pa.array(kept)).combine_chunks()
+            yield from rest.select(["_y" if c == "v" else c for c in columns]).rename_columns(columns).to_batches()
+
+    def dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+        return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    found = dealt(marked.select(*keys, "idx", F.col("v").cast("double").alias("v")), keys, "idx").mapInArrow(ends, f"`{by}` {of_stream}, _chunk bigint, head double, own array<double>")
+    found = dealt(found, [by], "_chunk").mapInArrow(states, f"`{by}` {of_stream}, _chunk bigint, _state array<double>")
+    both = marked.withColumn("v", F.col("v").cast("double")).unionByName(found.withColumn("idx", F.lit(-1)), allowMissingColumns=True)
     schema = StructType([StructField("v", DoubleType()) if f.name == "v" else f for f in df.schema])
-    return marked.groupBy(by, "_chunk").cogroup(states.groupBy(by, "_chunk")).applyInPandas(final, schema)
+    return dealt(both.withColumn("idx", F.col("idx").cast(df.schema["idx"].dataType)), keys, "idx").mapInArrow(final, schema)
+
+
+def filtered(df: DataFrame, sections: filters.Sections, by: str = "stream", start: str = "cold", zeros: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """cascade() of a single filter."""
+    return cascade(df, [(sections, start)], by, zeros, chunk)
 
 
 def high_gamma(df: DataFrame, sr: float, line: int = 50, by: str = "stream", zeros: int = 0) -> DataFrame:
     """The band from 70 to 170 Hz without the mains' harmonics; the last stop starts warm, as in a stream."""
     stages = filters.high_gamma(sr, line)
-    for k, sections in enumerate(stages):
-        df = filtered(df, sections, by, "warm" if k == len(stages) - 1 else "cold", zeros)
-    return df
+    return cascade(df, [(s, "warm" if k == len(stages) - 1 else "cold") for k, s in enumerate(stages)], by, zeros)
 
 
 def first_order(df: DataFrame, a: float, by: str = "stream") -> DataFrame:
-    """y[n] = (1 - a) x[n] + a y[n-1] from rest, folded over each stream's sorted samples; for short streams, wholly in the JVM."""
-    rows = df.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("x"))
-    step = lambda acc, v: F.concat(acc, F.array(v * (1 - a) + F.coalesce(F.element_at(acc, -1), F.lit(0.0)) * a))
-    folded = rows.select(by, F.aggregate("x", F.array(F.lit(0.0)), step).alias("y"))
-    return folded.select(by, F.posexplode(F.slice("y", F.lit(2), F.size("y") - 1)).alias("idx", "v")).select(by, F.col("idx").cast("bigint").alias("idx"), "v")
+    """stream, idx, v: y[n] = (1 - a) x[n] + a y[n-1] from rest."""
+    return filtered(df.select(by, "idx", "v"), np.array([[1 - a, 0.0, 0.0, 1.0, -a, 0.0]]), by, "rest")
 
 
 def decimated(df: DataFrame, factor: int, sr: float, by: str = "stream") -> DataFrame:

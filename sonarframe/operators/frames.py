@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, last_known, previous, running, with_halo, without_halo
+
 
 def online_ends(n: str | Column, sr: float, length_ms: float, shift_ms: float) -> Column:
     """End positions of the frames that fit into n samples, as a stream emits them.
@@ -50,37 +52,37 @@ def log_energy(frames: DataFrame, by: str = "stream") -> DataFrame:
     return frames.groupBy(by, "frame").agg(F.log(F.sum(F.col("v") * F.col("v")) + 0.01).alias("energy"))
 
 
-def stacked(frames: DataFrame, value: str = "energy", by: str = "stream", order: int = 4, step: int = 5, pad: bool = True) -> DataFrame:
-    """Adds features: the values of the frames order * step, ..., step, 0 before, oldest first.
+def stacked(frames: DataFrame, value: str = "energy", by: str = "stream", order: int = 4, step: int = 5, pad: bool = True, block: int = BLOCK) -> DataFrame:
+    """Adds features: the values of the frames order * step, ..., step, 0 before, oldest first; frames are numbered without gaps.
 
     With pad, as a stream does it, frames before the first are 0; without, as in batch, frames with
     fewer before them than that are left out and the rest are numbered from 0.
     """
-    w = Window.partitionBy(by).orderBy("frame")
-    lags = [F.lag(value, step * k).over(w) if k else F.col(value) for k in range(order, -1, -1)]
-    if pad:
-        return frames.withColumn("features", F.array(*(F.coalesce(x, F.lit(0.0)) for x in lags)))
     skip = order * step
-    return frames.withColumn("features", F.array(*lags)).where(F.col("frame") >= skip).withColumn("frame", F.col("frame") - skip)
+    w = Window.partitionBy(by, "_block").orderBy("frame")
+    lags = [F.lag(value, step * k).over(w) if k else F.col(value) for k in range(order, -1, -1)]
+    lags = [F.coalesce(x, F.lit(0.0)) for x in lags] if pad else lags
+    out = without_halo(with_halo(frames, "frame", skip, 0, block).withColumn("features", F.array(*lags)), "frame", block)
+    return out if pad else out.where(F.col("frame") >= skip).withColumn("frame", F.col("frame") - skip)
 
 
-def voiced(frames: DataFrame, value: str, context: int, share: float, threshold: float, scale: float, by: str = "stream") -> DataFrame:
+def voiced(frames: DataFrame, value: str, context: int, share: float, threshold: float, scale: float, by: str = "stream", block: int = BLOCK) -> DataFrame:
     """Adds hot and voiced: a frame is hot above threshold + scale * mean, voiced if enough frames around it are hot.
 
-    Around are the `context` frames before it, itself, and context - 1 after it.
+    Around are the `context` frames before it, itself, and context - 1 after it; frames are numbered without gaps.
     """
-    level = F.lit(threshold) + scale * F.avg(value).over(Window.partitionBy(by))
-    out = frames.withColumn("hot", (F.col(value) > level).cast("int"))
-    around = Window.partitionBy(by).orderBy("frame").rowsBetween(-context, context - 1)
-    return out.withColumn("voiced", F.sum("hot").over(around) >= F.count("*").over(around) * share)
+    level = frames.groupBy(F.col(by).alias("_by")).agg((F.lit(threshold) + scale * F.avg(value)).alias("_level"))
+    out = frames.join(level, F.col(by).eqNullSafe(F.col("_by"))).withColumn("hot", (F.col(value) > F.col("_level")).cast("int")).drop("_by", "_level")
+    around = Window.partitionBy(by, "_block").orderBy("frame").rowsBetween(-context, context - 1)
+    out = with_halo(out, "frame", context, max(context - 1, 0), block).withColumn("voiced", F.sum("hot").over(around) >= F.count("*").over(around) * share)
+    return without_halo(out, "frame", block)
 
 
-def runs(frames: DataFrame, flag: str, by: str = "stream", idx: str = "frame") -> DataFrame:
+def runs(frames: DataFrame, flag: str, by: str = "stream", idx: str = "frame", block: int = BLOCK) -> DataFrame:
     """stream, first, end (exclusive) and the flag of each longest run of equal flags."""
-    w = Window.partitionBy(by).orderBy(idx)
-    changed = F.coalesce((F.col(flag) != F.lag(flag).over(w)).cast("int"), F.lit(1))
-    marked = frames.withColumn("_changed", changed)
-    marked = marked.withColumn("_run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = previous(frames.select(by, idx, flag), flag, "_last", by, idx, block)
+    marked = marked.withColumn("_changed", F.coalesce((F.col(flag) != F.col("_last")).cast("int"), F.lit(1)))
+    marked = running(marked, "_changed", "_run", by, idx, block)
     return marked.groupBy(by, "_run", flag).agg(F.min(idx).alias("first"), (F.max(idx) + 1).alias("end")).drop("_run")
 
 
@@ -133,25 +135,30 @@ def overlap_added(frames: DataFrame, hop: int, by: str = "stream") -> DataFrame:
     return sums.select(by, "idx", F.when(F.abs("w") > 1e-12, F.col("y") / F.when(F.abs("w") > 1e-12, F.col("w"))).otherwise(0.0).alias("v"))
 
 
-def stamps_filled(df: DataFrame, srate: float, by: str = "stream") -> DataFrame:
+def stamps_filled(df: DataFrame, srate: float, by: str = "stream", block: int = BLOCK) -> DataFrame:
     """Adds filled: the stamp, or the last one before it plus a sample's time for each row since."""
-    w = Window.partitionBy(by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("stamp").isNotNull(), F.struct("stamp", "idx")), ignorenulls=True).over(w)
-    return df.withColumn("_last", last).withColumn("filled", F.col("_last.stamp") + (F.col("idx") - F.col("_last.idx")) / srate).drop("_last")
+    found = last_known(df, F.when(F.col("stamp").isNotNull(), F.struct("stamp", "idx")), "_last", by, "idx", block)
+    return found.withColumn("filled", F.col("_last.stamp") + (F.col("idx") - F.col("_last.idx")) / srate).drop("_last")
 
 
-def dejittered(df: DataFrame, gap: float, by: str = "stream", at: str = "t") -> DataFrame:
+def dejittered(df: DataFrame, gap: float, by: str = "stream", at: str = "t", samples: float = 0, srate: float | None = None, block: int = BLOCK) -> DataFrame:
     """Adds segment and smooth: stamps are cut where a gap is larger, and each segment's are put on its least-squares line.
 
-    A segment of one row keeps its stamp.  Rows of a segment share nothing with the next.
+    A gap is larger than `gap` seconds and, at a known rate, than the time of so many samples.  A segment of one
+    row keeps its stamp.  Rows of a segment share nothing with the next.
     """
-    w = Window.partitionBy(by).orderBy("idx")
-    cut = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("bigint"), F.lit(0))
-    marked = df.withColumn("_cut", cut)
-    marked = marked.withColumn("segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-    part = Window.partitionBy(by, "segment")
+    most = max(gap, samples / srate) if srate else gap
+    marked = previous(df, at, "_last", by, "idx", block)
+    marked = marked.withColumn("_cut", F.coalesce((F.col(at) - F.col("_last") > most).cast("bigint"), F.lit(0))).drop("_last")
+    marked = running(marked, "_cut", "segment", by, "idx", block).drop("_cut")
     i, t = F.col("idx").cast("double"), F.col(at)
-    mi, mt = F.avg(i).over(part), F.avg(t).over(part)
-    centred = marked.withColumns({"_i": i - mi, "_t": t - mt, "_mt": mt})
-    slope = F.coalesce(F.try_divide(F.sum(F.col("_i") * F.col("_t")).over(part), F.sum(F.col("_i") * F.col("_i")).over(part)), F.lit(0.0))
-    return centred.withColumn("smooth", F.col("_mt") + slope * F.col("_i")).drop("_i", "_t", "_mt")
+    lines = marked.groupBy(F.col(by).alias("_by"), F.col("segment").alias("_s")).agg(F.avg(i).alias("_i"), F.avg(t).alias("_t"), F.coalesce(F.try_divide(F.covar_pop(t, i), F.var_pop(i)), F.lit(0.0)).alias("_slope"))
+    out = marked.join(lines, F.col(by).eqNullSafe(F.col("_by")) & (F.col("segment") == F.col("_s")))
+    return out.withColumn("smooth", F.col("_t") + F.col("_slope") * (i - F.col("_i"))).drop("_by", "_s", "_i", "_t", "_slope")
+
+
+def effective_rate(smoothed: DataFrame, srate: float, by: str = "stream") -> DataFrame:
+    """stream and rate from the rows of dejittered(): samples over seconds of all segments of two samples or more, each with a sample's time at its end; 0 without any."""
+    spans = smoothed.groupBy(by, "segment").agg(F.count("*").alias("_n"), (F.max_by("smooth", "idx") - F.min_by("smooth", "idx") + 1 / srate).alias("_s"))
+    some = F.col("_n") > 1
+    return spans.groupBy(by).agg(F.coalesce(F.try_divide(F.sum(F.when(some, F.col("_n"))), F.sum(F.when(some, F.col("_s")))), F.lit(0.0)).alias("rate"))

@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import carried
+from .statistics import PARTS
+
 
 def nearest(probes: DataFrame, grid: DataFrame, by: str = "stream", at: str = "t", keep: str = "t") -> DataFrame:
     """For each probe the nearest grid row of its stream as `hit`; of two as near ones the earlier.
 
-    A union of both sides, sorted once per stream, carries the last grid row before and the first after;
-    no pairs are made.  Probes of a stream without grid rows have a null hit.  `at` is a number.
+    A union of both sides, sorted within ranges of times that hold about as many grid rows each, carries the last
+    grid row before and the first after; what a range lacks comes from the ends of the ranges around it.  No
+    pairs are made and no stream is in one task.  Probes of a stream without grid rows have a null hit.  `at` is a number.
     """
-    a = probes.withColumn("_side", F.lit(1)).withColumn("hit", F.lit(None).cast(grid.schema[keep].dataType)).withColumn("_g", F.lit(None).cast(grid.schema[at].dataType))
-    b = grid.select(by, F.col(at), F.lit(0).alias("_side"), F.col(keep).alias("hit"), F.col(at).alias("_g"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    back = Window.partitionBy(by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(at, "_side").rowsBetween(0, Window.unboundedFollowing)
+    cuts = grid.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
+    a = probes.withColumn("_side", F.lit(1)).withColumn("_g", F.lit(None).cast(f"struct<at:{grid.schema[at].dataType.simpleString()},hit:{grid.schema[keep].dataType.simpleString()}>"))
+    b = grid.select(by, F.col(at), F.lit(0).alias("_side"), F.struct(F.col(at).alias("at"), F.col(keep).alias("hit")).alias("_g"))
+    both = a.unionByName(b, allowMissingColumns=True).join(cuts, F.col(by).eqNullSafe(F.col("_by")), "left")
+    both = both.withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(at))), F.lit(0))).drop("_by", "_cuts")
+    at_grid = F.when(F.col("_g").isNotNull(), F.col(at))
+    both = carried(both, "_before", F.max_by("_g", at_grid), lambda w: F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), by)
+    both = carried(both, "_after", F.min_by("_g", at_grid), lambda w: F.first("_after", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), by)
+    w = Window.partitionBy(by, "_block").orderBy(at, "_side")
     both = both.withColumns({
-        "_b": F.last("_g", ignorenulls=True).over(back), "_bh": F.last("hit", ignorenulls=True).over(back),
-        "_a": F.first("_g", ignorenulls=True).over(ahead), "_ah": F.first("hit", ignorenulls=True).over(ahead),
+        "_b": F.coalesce(F.last("_g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before")),
+        "_a": F.coalesce(F.first("_g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_after")),
     })
-    earlier = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col(at) - F.col("_b") <= F.col("_a") - F.col(at)))
-    return both.where("_side = 1").withColumn("hit", F.when(earlier, F.col("_bh")).otherwise(F.col("_ah"))).drop("_side", "_g", "_b", "_bh", "_a", "_ah")
+    earlier = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col(at) - F.col("_b.at") <= F.col("_a.at") - F.col(at)))
+    return both.where("_side = 1").withColumn("hit", F.when(earlier, F.col("_b.hit")).otherwise(F.col("_a.hit"))).drop("_side", "_g", "_b", "_a", "_block", "_before", "_after")
 
 
 def in_intervals(samples: DataFrame, intervals: DataFrame, by: str = "stream", bucket: int = 64) -> DataFrame:

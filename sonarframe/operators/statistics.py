@@ -49,14 +49,21 @@ def ranks(df: DataFrame, value: str, by: str, name: str = "rank") -> DataFrame:
     return df.join(ranked, [by, value], "left")
 
 
-def spearman(df: DataFrame, by: str, x: str, target: str) -> DataFrame:
-    """by and rho of x against the target; 0 where either does not vary.  Sums near zero count as no signal."""
-    with_target = ranks(df, target, by, "_rt")
-    both = ranks(with_target, x, by, "_rx")
+def spearman(df: DataFrame, by: str, x: str, target: str, ranked: bool = False) -> DataFrame:
+    """by and rho of x against the target; 0 where either does not vary.  Sums near zero count as no signal.
+
+    ranked: the target is ranks already, for a target that all groups share; see target_ranks().
+    """
+    both = ranks(df.withColumn("_rt", F.col(target)) if ranked else ranks(df, target, by, "_rt"), x, by, "_rx")
     rho = both.groupBy(by).agg(pearson("_rx", "_rt").alias("rho"), F.sum(x).alias("_s"))
     return rho.select(by, F.when(F.abs("_s") < 1e-8, 0.0).otherwise(F.coalesce("rho", F.lit(0.0))).alias("rho"))
 
 
+def target_ranks(df: DataFrame, target: str, name: str) -> DataFrame:
+    """df, a row for each target, with the target's rank: ranked once, before the features become rows."""
+    return ranks(df.withColumn("_one", F.lit(0)), target, "_one", name).drop("_one")
+
+
 def strongest(rho: DataFrame, by: str, k: int) -> DataFrame:
     """The k features of the largest |rho|, with pos from 0 in ascending order of it; of equal ones the later feature is stronger.
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import frames, joins, select
+from ..operators import experiment, frames, joins, select
+from ..sources import sessions
 from ..sources.views import signal, table, wide_frames
 from .registry import FRAMES, SIGNAL, SPEC, query
 
@@ -251,13 +252,32 @@ def reblock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SIGNAL}, b AS (SELECT stream, idx, idx // 16 AS block, v FROM signal), f AS (SELECT stream, block FROM b GROUP BY stream, block HAVING count(*) = 16)
-SELECT b.stream, b.idx, b.v AS left_, 0.0e0 AS right_ FROM b JOIN f ON b.stream = f.stream AND b.block = f.block AND b.block < 3""")
-def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sink that takes whole blocks, routes them to the left side and drops what comes when three wait."""
+SELECT b.stream, b.idx, b.v AS left_, 0.0e0 AS right_ FROM b JOIN f ON b.stream = f.stream AND b.block = f.block""")
+def routed_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole blocks as samples on the left side, and silence on the right."""
     from ..sources import playback
 
-    taken = playback.admitted(frames.blocks(signal(spark, sf_dir), 16), capacity=3)
-    return playback.routed(playback.samples(taken, 16), "left").select("stream", "idx", F.col("sides.left").alias("left_"), F.col("sides.right").alias("right_"))
+    whole = playback.samples(frames.blocks(signal(spark, sf_dir), 16), 16)
+    return playback.routed(whole, "left").select("stream", "idx", F.col("sides.left").alias("left_"), F.col("sides.right").alias("right_"))
+
+
+@query(f"""WITH {SIGNAL}, n AS (SELECT stream, count(*) AS n FROM signal GROUP BY stream), grid AS (SELECT stream, unnest(range(n // 2 - 5)) AS idx FROM n WHERE n // 2 > 5),
+t AS (SELECT stream, ceil(idx / 2.0e0)::BIGINT AS first FROM signal WHERE label = 'signup')
+SELECT stream, idx, EXISTS (SELECT 1 FROM t WHERE t.stream = grid.stream AND idx >= first AND idx < first + 200) AS inside FROM grid""")
+def trial_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 10 ms at 200 samples a second, and whether they are in the two seconds from a signup on."""
+    s = signal(spark, sf_dir)
+    sizes = s.groupBy("stream").agg(F.count("*").alias("n"))
+    starts = s.where("label = 'signup'").select("stream", F.col("idx").alias("start"))
+    return experiment.trial_mask(sizes, starts, 200)
+
+
+@query(f"""WITH {SIGNAL}, s AS (SELECT stream, idx, v FROM signal), m AS (SELECT stream % 2 AS kind, max(idx) + 1 AS n FROM s GROUP BY stream % 2), least AS (SELECT min(n / CASE WHEN kind = 0 THEN 100.0e0 ELSE 250.0e0 END) AS sec FROM m)
+SELECT stream, idx, v FROM s, least WHERE idx < floor(sec * CASE WHEN stream % 2 = 0 THEN 100 ELSE 250 END)""")
+def common_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds of streams, of 100 and of 250 samples a second, cut to the seconds that both have."""
+    s = signal(spark, sf_dir).select(F.lit("one").alias("session"), (F.col("stream") % 2).alias("kind"), F.when(F.col("stream") % 2 == 0, 100).otherwise(250).alias("sr"), "stream", "idx", "v")
+    return sessions.common_duration(s).select("stream", "idx", "v")
 
 
 @query(f"""WITH {_FRAMED}, w AS (SELECT stream, frame * 3 + (row_number() OVER (PARTITION BY stream, frame ORDER BY idx) - 1) AS idx, v, 0.5e0 - 0.5e0 * cos(2 * pi() * row_number() OVER (PARTITION BY stream, frame ORDER BY idx) / 13) AS w FROM framed)

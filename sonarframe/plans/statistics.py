@@ -54,8 +54,9 @@ rho AS (SELECT bin AS feature, corr(rx, rt) AS rho FROM ranked GROUP BY bin)"""
 
 
 def rho(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = wide_frames(spark, sf_dir).select("frame", arrays.mean("x").alias("target"), F.posexplode("x").alias("feature", "v"))
-    return statistics.spearman(long.withColumn("feature", F.col("feature").cast("bigint")), "feature", "v", "target")
+    ranked = statistics.target_ranks(wide_frames(spark, sf_dir).select("x", arrays.mean("x").alias("target")), "target", "rank")
+    long = ranked.select("rank", F.posexplode("x").alias("feature", "v"))
+    return statistics.spearman(long.withColumn("feature", F.col("feature").cast("bigint")), "feature", "v", "rank", ranked=True)
 
 
 @query(f"WITH {_RHO} SELECT feature, round(rho, 6) AS rho FROM rho")

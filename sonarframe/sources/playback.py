@@ -1,4 +1,4 @@
-"""What a sound card's sink does with blocks: a bounded queue, and sides."""
+"""What a sink does with blocks: samples again, and sides."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def admitted(blocks: DataFrame, capacity: int, played: int = 0, block: str = "block") -> DataFrame:
-    """Blocks that find a place when `capacity` can wait and `played` have been taken out; the rest is dropped, as the device drops it."""
-    return blocks.where(F.col(block) < capacity + played)
-
-
 def samples(blocks: DataFrame, size: int, by: str = "stream") -> DataFrame:
     """stream, idx, v of blocks (block, block_values)."""
     return blocks.select(by, "block", F.posexplode("block_values").alias("_k", "v")).select(by, (F.col("block") * size + F.col("_k")).alias("idx"), "v")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import wave
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -57,3 +59,22 @@ def trial_files(samples: DataFrame, trials: DataFrame, sr: int, by: str = "strea
     cut = in_intervals(samples.select(by, "idx", "v"), trials.select(by, "trial", "word", "first", "end"), by, sr)
     name = F.concat_ws("-", F.format_string("%03d", F.col("trial") + 1), "word")
     return encoded(cut.select(F.concat_ws("/", F.col(by).cast("string"), name).alias("name"), "idx", "v"), sr, "name")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write each row's content to folder/name.wav; the folder is one that all tasks share.
+
+    A file gets its name when it is whole, so a task that is run again leaves no half of one.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                target = Path(folder, f"{name}.wav")
+                target.parent.mkdir(parents=True, exist_ok=True)
+                part = target.with_suffix(f".{uuid.uuid4().hex}")
+                part.write_bytes(content)
+                part.replace(target)
+            yield batch[["name"]]
+
+    files.select("name", "content").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()

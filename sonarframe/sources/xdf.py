@@ -177,20 +177,72 @@ def clock(rows: DataFrame) -> DataFrame:
     return found.withColumn("seq", F.row_number().over(Window.partitionBy("path", "stream").orderBy("_at"))).drop("_at")
 
 
-def experiment(rows: DataFrame, neural: str = "Micromed", start: str = "experimentStarted", end: str = "experimentEnded") -> DataFrame:
-    """path, idx, t, x of the stream of that name between the markers, the nearest samples to which are the ends; idx begins at 0.
+def synchronised(rows: DataFrame, synchronise: bool = True, dejitter: bool = True, gap: float = 1.0, samples: float = 500.0) -> DataFrame:
+    """Rows of read() with the samples' stamps in the recording computer's clock and, for streams with a rate, on straight lines.
 
-    Files without a start have no rows; without a later end they run to their last sample.
+    Clock measurements correct each stream's stamps; then stamps between gaps of more than `gap` seconds and
+    `samples` samples are put on their least-squares line, which takes the jitter out.  Streams without
+    measurements, or without a rate, keep their stamps in that step.
+    """
+    from ..operators import clock as clocks
+    from ..operators import frames
+
+    key = F.concat_ws("#", F.col("path"), F.col("stream").cast("string"))
+    stamps = rows.where("kind = 'sample'").select(key.alias("key"), "idx", F.col("stamp").alias("t"))
+    if synchronise:
+        stamps = clocks.synchronised(stamps, clock(rows).select(key.alias("key"), "seq", "t", "offset"), "key")
+    if dejitter:
+        rated = streams(rows).where("srate > 0").select(key.alias("key"), F.greatest(F.lit(gap), F.lit(samples) / F.col("srate")).alias("most"))
+        own = stamps.join(rated, "key").withColumn("scaled", F.col("t") / F.col("most"))  # a gap is more than 1 of these
+        smooth = frames.dejittered(own, 1.0, "key", "scaled").select("key", "idx", (F.col("smooth") * F.col("most")).alias("t"))
+        stamps = stamps.join(rated.select("key"), "key", "left_anti").unionByName(smooth)
+    found = rows.where("kind = 'sample'").withColumn("key", key).join(stamps.select("key", "idx", "t"), ["key", "idx"])
+    found = found.withColumn("stamp", F.col("t")).select(*rows.columns)
+    return found.unionByName(rows.where("kind <> 'sample'"))
+
+
+def load(spark: SparkSession, path: str, **options) -> DataFrame:
+    """read() and synchronised(): how recordings are loaded unless one asks for the stored stamps."""
+    return synchronised(read(spark, path), **options)
+
+
+def named(rows: DataFrame, name: str) -> DataFrame:
+    """path, idx, t, x of the numeric samples of the stream of that name."""
+    own = streams(rows).where(F.col("name") == name).select("path", "stream")
+    return signals(rows).join(own, ["path", "stream"]).drop("stream")
+
+
+def experiment(rows: DataFrame, kinds: dict[str, str] | None = None, start: str = "experimentStarted", end: str = "experimentEnded") -> DataFrame:
+    """path, kind, idx, t, x of the recorded streams between the markers; idx begins at 0.
+
+    kinds names each kind's stream, the leading one first.  Its ends are its samples nearest to the markers; those of the
+    others are the samples nearest to the leading stream's ends.  The last sample is left out.  Files without a
+    start have no rows; without a later end they run to their last sample.
     """
     from ..operators.joins import nearest
 
-    names = streams(rows)
-    own = signals(rows).join(names.where(F.col("name") == neural).select("path", "stream"), ["path", "stream"])
+    kinds = kinds or {"sEEG": "Micromed", "Audio": "AudioCaptureWin"}
     m = markers(rows)
-    first = m.where(F.col("label") == start).groupBy("path").agg(F.min("t").alias("_s"))
-    last = m.where(F.col("label") == end).join(first, "path").where("t > _s").groupBy("path").agg(F.min("t").alias("_e"))
+    first = m.where(F.col("label") == start).groupBy("path").agg(F.min("t").alias("s"))
+    last = m.where(F.col("label") == end).join(first, "path").where("t > s").groupBy("path").agg(F.min("t").alias("e"))
     bounds = first.join(last, "path", "left")
-    points = bounds.select("path", F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit("s").alias("side")), F.struct(F.col("_e").alias("t"), F.lit("e").alias("side")))).alias("p")).select("path", "p.*").where("t is not null")
-    at = nearest(points, own.select("path", "t", "idx"), "path", "t", "idx").groupBy("path").agg(F.max(F.when(F.col("side") == "s", F.col("hit"))).alias("_first"), F.max(F.when(F.col("side") == "e", F.col("hit"))).alias("_end"))
-    cut = own.join(at, "path").where((F.col("idx") >= F.col("_first")) & (F.col("_end").isNull() | (F.col("idx") < F.col("_end"))))
-    return cut.select("path", (F.col("idx") - F.col("_first")).alias("idx"), "t", "x")
+    out = None
+    for kind, name in kinds.items():
+        own = named(rows, name)
+        points = bounds.select("path", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("t")) for c in "se"))).alias("p")).select("path", "p.*").where("t is not null")
+        at = nearest(points, own.select("path", "t", F.struct("idx", "t").alias("hit")), "path", "t", "hit").groupBy("path")
+        at = at.agg(*(F.max(F.when(F.col("side") == c, F.col("hit"))).alias(f"_{c}") for c in "se"))
+        cut = own.join(at, "path").where((F.col("idx") >= F.col("_s.idx")) & (F.col("_e").isNull() | (F.col("idx") < F.col("_e.idx"))))
+        cut = cut.select("path", F.lit(kind).alias("kind"), (F.col("idx") - F.col("_s.idx")).alias("idx"), "t", "x")
+        if out is None:
+            out, bounds = cut, at.select("path", F.col("_s.t").alias("s"), F.col("_e.t").alias("e"))
+        else:
+            out = out.unionByName(cut)
+    return out
+
+
+def experiment_markers(rows: DataFrame, end: str = "experimentEnded") -> DataFrame:
+    """path, idx, t, label of the markers before the end."""
+    m = markers(rows)
+    last = m.where(F.col("label") == end).groupBy("path").agg(F.min("idx").alias("_last"))
+    return m.join(last, "path", "left").where(F.col("_last").isNull() | (F.col("idx") < F.col("_last"))).select("path", "idx", "t", "label")

@@ -168,11 +168,29 @@ def test_robust_line_ignores_outliers():
     t = np.arange(100.0)
     y = 2 + 0.5 * t
     y[::17] += 500
-    a, b = clock.huber_line((t - t.mean()) / t.std(), y)
+    (a,), (b,) = clock.huber_lines((t - t.mean()) / t.std(), y, np.array([0]))
     assert b / t.std() == pytest.approx(0.5, abs=0.01)
     assert a - b / t.std() * t.mean() == pytest.approx(2, abs=1)
 
 
+def test_robust_lines_have_the_least_loss():
+    """Each range's line against a search around it; ranges do not see each other."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 40, 200]
+    t = np.concatenate([np.sort(rng.normal(size=n)) for n in sizes])
+    y = 3 * t + rng.standard_t(1, len(t)) * 2
+    starts = np.cumsum([0, *sizes[:-1]])
+    a, b = clock.huber_lines(t, y, starts)
+    for k, (lo, n) in enumerate(zip(starts, sizes)):
+        def loss(p, q):
+            r = np.abs(y[lo : lo + n] - p - q * t[lo : lo + n])
+            return np.where(r <= 1, r * r / 2, r - 0.5).sum()
+
+        least = loss(a[k], b[k])
+        assert all(least <= loss(a[k] + p, b[k] + q) + 1e-9 for p in (-1e-3, 0, 1e-3) for q in (-1e-3, 0, 1e-3)), n
+        assert (a[k], b[k]) == pytest.approx([x[0] for x in clock.huber_lines(t[lo : lo + n], y[lo : lo + n], np.array([0]))], rel=1e-6, abs=1e-6)
+
+
 def test_waves_have_the_spectra_they_were_made_from():
     rng = np.random.default_rng(0)
     window, hop = np.hanning(257)[:-1], 64
@@ -219,8 +237,11 @@ def header(stream, name, kind, fmt, channels, rate):
     return chunk(2, struct.pack("<I", stream) + xml.encode())
 
 
-def container(cut=0, broken=False):
+def container(cut=0, broken=False, sound=False):
     out = xdf.MAGIC + chunk(1, b"<info/>") + header(1, "Micromed", "EEG", "float32", 2, 100) + header(2, "words", "Markers", "string", 1, 0)
+    if sound:
+        out += header(3, "AudioCaptureWin", "Audio", "float32", 1, 200)
+        out += chunk(3, struct.pack("<I", 3) + bytes([1, 12]) + b"".join((bytes([8]) + struct.pack("<d", 10.001) if k == 0 else b"\0") + struct.pack("<f", 10 * k) for k in range(12)))
     some = b"".join((bytes([8]) + struct.pack("<d", 10.0) if k == 0 else b"\0") + struct.pack("<2f", k, -k) for k in range(5))
     out += chunk(3, struct.pack("<I", 1) + bytes([1, 5]) + some)
     if broken:
@@ -261,6 +282,19 @@ def test_read_experiment(spark, tmp_path):
     got = sorted((r["idx"], r["x"][0]) for r in xdf.experiment(rows).where("path like '%a.xdf'").collect())
     assert got == [(0, 1.0), (1, 2.0)]
     assert xdf.clock(rows).count() == 2
+    assert [r["label"] for r in xdf.experiment_markers(rows).where("path like '%a.xdf'").collect()] == ["experimentStarted"]
+
+
+def test_experiment_of_two_kinds_and_clocks(spark, tmp_path):
+    """The sound is cut at its samples nearest to those of the neural stream that are nearest to the markers; clock offsets move one stream."""
+    (tmp_path / "a.xdf").write_bytes(container(sound=True))
+    got = sorted((r["kind"], r["idx"], r["x"][0]) for r in xdf.experiment(xdf.read(spark, f"{tmp_path}/a.xdf")).collect())
+    # neural samples 10.01 to 10.03, sound from 10.011 (of two as near: 10.006 and 10.011 are not) to 10.031
+    assert got == [("Audio", k, 10.0 * (2 + k)) for k in range(4)] + [("sEEG", 0, 1.0), ("sEEG", 1, 2.0)]
+    loaded = xdf.load(spark, f"{tmp_path}/a.xdf")
+    t = {(r["stream"], r["idx"]): r["t"] for r in xdf.signals(loaded).collect()}
+    assert [t[1, k] for k in range(5)] == pytest.approx([10.25 + k / 100 for k in range(5)]) and t[3, 0] == pytest.approx(10.001)
+    assert len(t) == 17 and xdf.markers(loaded).count() == 2
 
 
 def test_wave_source_and_trial_files(spark, tmp_path):
