@@ -1,26 +1,30 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
 A multinomial logistic regression over words and word pairs tells the licence families apart from any other
-paragraph.  It is trained here, on the notices below and a bounded sample of the corpus' own paragraphs as the
-unknown class, by proximal gradient steps that are joins and aggregations; the L1 term leaves few weights.
-Half of the sample is kept from training and sets the probability from which a family is believed.  A
-prediction is then confirmed by comparing the paragraph's word pairs with those of the family's notices.
+paragraph.  It is trained here, on variants of the notices below and on a bounded sample of the corpus' own
+paragraphs as the unknown class, by proximal gradient steps that are joins and aggregations; the L1 term leaves
+few weights.  Half of the variants and of the sample are kept from training and set, for each family, the probability
+from which it is believed: few unknown paragraphs reach it and most of the family's do.  A prediction is then
+confirmed by comparing the paragraph's word pairs with those of the family's notices.
 
 A paragraph is a line, or the neighbourhood of a line break: what is around it up to the next empty lines, as
-many words to either side as the longest notice has.  So a notice is whole in one of them however it is wrapped.
-One that has no feature speaking for a family more than for the unknown class is unknown
-whatever else it has, so only paragraphs with a word of such a feature are scored in full.
+many words to either side as the longest notice has.  So a notice is whole in one of them however it is wrapped.  Lines of
+more than twice as many words are cut into overlapping pieces of that size, so a notice is whole in one of these too.
+
+To be confirmed, a paragraph needs a share of a notice's pairs, so it has at least one of any set of them that is larger
+than the rest.  Such a set is chosen for each notice, its rarest pairs by the words in them; only documents and
+paragraphs with one of these pairs are scored, and nothing is lost.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .near_dedup import BUCKETS
 from .shared import delete, written
 
 # Wordings in which works name their licence.
@@ -66,6 +70,11 @@ NOTICES = {
     ],
     "all-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this publication may be reproduced without permission. All rights reserved."],
 }
+#: What is written around notices, to make variants.
+BEFORE = ["", "Copyright (c) 2019 Jane Doe.", "Copyright 2011-2024 The Authors and contributors", "NOTE:", "This file is part of the project."]
+AFTER = ["", "See the LICENSE file for details.", "Version 1.2 of 2020"]
+# English words that are too common to tell a notice by.
+COMMON = frozenset("a an and any are as at be by can following for from if in is it its may not of on or other that the these this to under use used was which with you".split())
 UNKNOWN = "unknown"
 CLASSES = [*NOTICES, UNKNOWN]
 #: Paragraphs of the corpus that stand for the unknown class, half of them to train.
@@ -73,9 +82,37 @@ SAMPLE = 3000
 STEPS, RATE, L1 = 10, 2.0, 2e-4
 #: Share of a notice's word pairs, or words, that a confirmed paragraph has.
 CONFIRMED = 0.6
+#: Shares of held-out unknown paragraphs below a family's probability, and of its own variants above it; if both cannot be, the second counts.
+QUIET, FOUND = 0.999, 0.95
 BIAS = ""
+
+
+def _split(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
 #: Words of the longest notice.
-LONGEST = max(len([w for w in re.split(r"[\W_]+", text) if w]) for texts in NOTICES.values() for text in texts)
+LONGEST = max(len(_split(text)) for texts in NOTICES.values() for text in texts)
+
+
+def telling_pairs() -> list[str]:
+    """Word pairs of which each paragraph that can be confirmed has one."""
+    out: set[str] = set()
+    for texts in NOTICES.values():
+        for own in map(_split, texts):
+            both = sorted({f"{a} {b}" for a, b in zip(own, own[1:])} or set(own))
+            both.sort(key=lambda p: (sum(w in COMMON for w in p.split()), -len(p)))
+            needed = math.ceil(CONFIRMED * len(both) - 1e-9)
+            out.update(both[: len(both) - needed + 1])
+    return sorted(out)
+
+
+def may_have(text: Column) -> Column:
+    """Whether a text has one of the telling pairs, however they are parted."""
+    by_first: dict[str, list[str]] = {}
+    for pair in telling_pairs():
+        by_first.setdefault(pair[0], []).append(r"[^\p{L}\p{N}]+".join(map(re.escape, pair[1:].split(" "))))
+    return F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_first.items())) + r")(?![\p{L}\p{N}])")
 
 
 def words(line: Column) -> Column:
@@ -98,10 +135,15 @@ def ngrams(w: Column) -> Column:
 
 
 def paragraphs(documents: DataFrame, wrapped: bool = True) -> DataFrame:
-    """doc_id, pos (first and last line, from 0) and w, the words, of each line and, if wrapped, around each line break between lines with words."""
+    """doc_id, pos (first and last line, from 0) and w, the words, of each line, in pieces if it is long, and, if wrapped, around each line break between lines with words."""
     found = documents.where("text is not null").select("doc_id", F.transform(F.split(F.col("text").cast("string"), "\n"), words).alias("_lines"))
     place = lambda i, last: F.struct(i.cast("int").alias("first"), last.cast("int").alias("last"))
-    out = F.transform("_lines", lambda w, i: F.struct(place(i, i).alias("pos"), w.alias("w")))
+
+    def pieces(w: Column, i: Column) -> Column:
+        starts = F.when(F.size(w) <= 2 * LONGEST, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(w) - LONGEST - 1, F.lit(LONGEST)))
+        return F.transform(starts, lambda a: F.struct(place(i, i).alias("pos"), F.slice(w, a + 1, 2 * LONGEST).alias("w")))
+
+    out = F.flatten(F.transform("_lines", pieces))
     if wrapped:
         start = F.struct(F.array().cast("array<string>").alias("w"), F.lit(0).alias("n"), F.lit(False).alias("over"))
 
@@ -136,21 +178,30 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, text string").select("family", words(F.col("text")).alias("w"))
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]:
-    """(feature and a weight for each class, w0, w1, ...; probability from which a family is believed)"""
+def variants(spark: SparkSession) -> DataFrame:
+    """family and words w of each notice with what may be written around it."""
+    rows = [(family, f"{before} {text} {after}") for family, texts in NOTICES.items() for text in texts for before in BEFORE for after in AFTER]
+    return spark.createDataFrame(rows, "family string, text string").select("family", words(F.col("text")).alias("w"))
+
+
+def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, float]]:
+    """(feature and a weight for each class, w0, w1, ...; the probability from which each family is believed)
+
+    sample bounds how many paragraphs of the corpus are taken, those with the smallest hashes of a share of the documents.
+    """
     spark = documents.sparkSession
     n = len(CLASSES)
     total = max(1, documents.count())
     share = min(1.0, sample / total)
-    drawn = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1_000_000_007))
-    some = paragraphs(documents.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003) < share), wrapped=False).where(F.size("w").between(1, 400))
-    some = written(some.orderBy(drawn, "doc_id", "pos").limit(sample).withColumn("_pairs", pairs(F.col("w"))), "drawn")
+    drawn = F.pmod(F.xxhash64("doc_id", "pos", "w"), F.lit(1_000_000_007))
+    some = paragraphs(documents.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003) < share), wrapped=False).where(F.size("w") > 0)
+    some = written(some.orderBy(drawn, "doc_id", "pos", "w").limit(sample).withColumn("_pairs", pairs(F.col("w"))), "drawn")
     # lines that a notice's wording already confirms, or that are pieces of a notice, are no examples of other paragraphs
     wordings = [r[0] for r in notices(spark).select(F.array_distinct(pairs(F.col("w")))).collect()]
     some = some.where(~F.exists(F.array(*(F.array(*map(F.lit, x)) for x in wordings)), lambda x: F.size(F.array_intersect(x, "_pairs")) >= CONFIRMED * F.least(F.size(x), F.size("_pairs"))))
     unknown = some.select(F.lit(n - 1).alias("y"), "w", (drawn % 2 == 0).alias("held"))
     code = F.coalesce(*(F.when(F.col("family") == c, k) for k, c in enumerate(CLASSES)))
-    known = notices(spark).select(code.alias("y"), "w", F.lit(False).alias("held"))
+    known = variants(spark).select(code.alias("y"), "w", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("held"))
     rows = written(unknown.unionByName(known).withColumn("row", F.monotonically_increasing_id()), "paragraphs")
     size = rows.where("not held").groupBy("y").agg(F.count("*").alias("members"))
     weight = F.when(F.col("y") == n - 1, 1.0).otherwise(1.0 / (n - 1)) / F.col("members")
@@ -169,34 +220,35 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]
         before, model = model, written(new.select("feature", *(x.alias(c) for x, c in zip(shrunk, w, strict=True)), *(x.alias(c) for x, c in zip(grown, g, strict=True))), "model")
         delete(before)
     model = written(model.where(F.greatest(*(F.abs(c) for c in w)) > 0).select("feature", *w), "model")
-    calibration = scored(rows.where("held").select(F.col("row").alias("doc_id"), F.lit(0).alias("pos"), "w"), model).agg(F.percentile_approx("p", 0.999, 10_000)).first()
-    return model, max(0.5, calibration[0] or 0.0)
+    named = F.get(F.array(*map(F.lit, CLASSES)), F.col("y"))
+    held = scored(rows.where("held").withColumn("named", named), model, "row", "named")
+    held = held.select("named", "family", F.when((F.col("named") == UNKNOWN) | (F.col("named") == F.col("family")), F.col("p")).otherwise(0.0).alias("p"))
+    quiet = {r[0]: r[1] for r in held.where(F.col("named") == UNKNOWN).groupBy("family").agg(F.percentile_approx("p", QUIET, 10_000)).collect()}
+    found = {r[0]: r[1] for r in held.where(F.col("named") != UNKNOWN).groupBy("named").agg(F.percentile_approx("p", 1 - FOUND, 10_000)).collect()}
+    return model, {f: min(max(0.5, quiet.get(f, 0.0)), found.get(f, 1.0)) for f in NOTICES}
 
 
-def scored(found: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, pos, family (the most likely one, the first of equal ones) and its probability p of each paragraph."""
+def scored(found: DataFrame, model: DataFrame, *keys: str) -> DataFrame:
+    """The keys of the paragraphs, family (the most likely one, the first of equal ones) and its probability p."""
     n = len(CLASSES)
-    sums = features(found, "doc_id", "pos").join(model, "feature").groupBy("doc_id", "pos").agg(*(F.sum(F.col("x") * F.col(f"w{k}")).alias(f"w{k}") for k in range(n)))
+    sums = features(found, *keys).join(model, "feature").groupBy(*keys).agg(*(F.sum(F.col("x") * F.col(f"w{k}")).alias(f"w{k}") for k in range(n)))
     named = F.slice("p", 1, n - 1)
     best = _probabilities(sums).withColumn("best", F.array_max(named))
-    return best.select("doc_id", "pos", F.get(F.array(*map(F.lit, CLASSES)), (F.array_position(named, F.col("best")) - 1).cast("int")).alias("family"), F.col("best").alias("p"))
+    return best.select(*keys, F.get(F.array(*map(F.lit, CLASSES)), (F.array_position(named, F.col("best")) - 1).cast("int")).alias("family"), F.col("best").alias("p"))
 
 
-def licences(documents: DataFrame, model: DataFrame, believed: float) -> DataFrame:
-    """doc_id, pos, family, p of the paragraphs whose family is believed and confirmed."""
-    n = len(CLASSES)
-    speaks = F.greatest(*(F.col(f"w{k}") for k in range(n - 1))) > F.col(f"w{n - 1}")
-    cues = [r[0] for r in model.where(speaks & (F.col("feature") != BIAS)).select(F.explode(F.split("feature", " ")).alias("word")).distinct().collect()]
-    rows = paragraphs(documents).where(F.arrays_overlap("w", F.array(*map(F.lit, cues)))) if cues else paragraphs(documents).limit(0)
-    found = written(scored(rows, F.broadcast(model)).where(F.col("p") >= believed), "believed")
-    # the words of the few that are believed are made again; a broadcast of at most BUCKETS hash buckets leaves other documents out
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
-    few = F.broadcast(found.select(bucket).distinct())
-    again = paragraphs(documents.select("doc_id", "text", bucket).join(few, "_bucket", "left_semi")).select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), "w")
+def licences(documents: DataFrame, model: DataFrame, believed: dict[str, float]) -> DataFrame:
+    """doc_id, pos, family, p and share of the paragraphs whose family is believed and confirmed; paragraphs of rows that repeat a doc_id stay apart."""
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = paragraphs(docs.where(may_have(F.col("text")))).where(F.arrays_overlap(pairs(F.col("w")), F.array(*map(F.lit, telling_pairs()))))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "telling")
+    enough = F.coalesce(*(F.when(F.col("family") == f, F.lit(p)) for f, p in believed.items()))
+    found = scored(rows, F.broadcast(model), "row").where(F.col("p") >= enough)
     known = notices(documents.sparkSession).select("family", F.array_distinct(pairs(F.col("w"))).alias("notice"))
-    both = found.join(again, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos"))).join(F.broadcast(known), "family")
+    both = rows.join(found, "row").join(F.broadcast(known), "family")
     share = F.size(F.array_intersect("notice", pairs(F.col("w")))) / F.size("notice")
-    return both.groupBy("doc_id", "pos", "family", "p").agg(F.max(share).alias("share")).where(F.col("share") >= CONFIRMED)
+    both = both.select("row", "doc_id", "pos", "family", "p", share.alias("share")).where(F.col("share") >= CONFIRMED)
+    return both.groupBy("row", "doc_id", "pos", "family", "p").agg(F.max("share").alias("share")).drop("row")
 
 
 def scan(documents: DataFrame) -> DataFrame:
