@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .near_dedup import only
-from .shared import written
+from .shared import only, written
 
 DISTANCE = 2
 LEAST = 16
@@ -43,30 +42,32 @@ def segment(n: Column, k: Column, d: int) -> tuple[Column, Column]:
     return short * k + F.greatest(F.lit(0), k - (d + 1) + longer), short + (k >= (d + 1) - longer).cast("int")
 
 
-def index_keys(text: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
-    """Hashes of the segments; n is the text's length, as a column of its own."""
-    text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
+def probes(d: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the indexed form is, segment, shift): k edits at most left of the segment, d - k at most right of it.
 
-    def key(k: Column) -> Column:
-        start, size = segment(n, k, d)
-        return F.xxhash64(n, k, F.substring(text, start + 1, size))
+    The first of these for a segment, (0, k, 0), is the form's own entry in the index.
+    """
+    found = [(less, k, shift) for less in range(d + 1) for k in range(d + 1) for shift in range(max(-k, less - (d - k)), min(k, less + (d - k)) + 1)]
+    return sorted(found, key=lambda p: (p[0], abs(p[2]), p))
 
-    return F.transform(F.array(*map(F.lit, range(d + 1))), key)
 
+def keys(units: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
+    """An array of keys, one for each of probes(d): those under which forms within d edits, of the same length or up to d shorter, are indexed.
 
-def probe_keys(text: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
-    """Keys that an index entry of a form of the same length, or up to d shorter, can have if it is within d edits."""
-    text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
-    # k edits at most left of the segment, d - k at most right of it
-    probes = [(less, k, shift) for less in range(d + 1) for k in range(d + 1) for shift in range(max(-k, less - (d - k)), min(k, less + (d - k)) + 1)]
+    units is the form in UTF-32, so that a character's place is known without reading what is before it, and n its
+    number of characters; both are columns of their own.  The first d + 1 keys are the form's own entries in the
+    index.  Two forms meet if one has a key as an entry that the other has at all.  A probe that runs over
+    the form's ends has no key (null).
+    """
+    units, n = (F.col(c) if isinstance(c, str) else c for c in (units, n))
 
-    def key(p: Column) -> Column:
-        m = n - p["less"]
-        start, size = segment(m, p["k"], d)
-        at = start + p["shift"]
-        return F.when((at >= 0) & (at + size <= n), F.xxhash64(m, p["k"], F.substring(text, at + 1, size)))
+    def key(less: int, k: int, shift: int) -> Column:
+        m = n - less
+        start, size = segment(m, F.lit(k), d)
+        at = start + shift
+        return F.when((at >= 0) & (at + size <= n), F.xxhash64(m, F.lit(k), F.substring(units, at * 4 + 1, size * 4)))
 
-    return F.array_compact(F.transform(F.array(*(F.struct(F.lit(x).alias("less"), F.lit(k).alias("k"), F.lit(s).alias("shift")) for x, k, s in probes)), key))
+    return F.array(*(key(*p) for p in probes(d)))
 
 
 def letters(text: str | Column, n: str | Column) -> Column:
@@ -124,30 +125,29 @@ def within(a: Column, b: Column, d: int = DISTANCE) -> Column:
 
 
 def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> DataFrame:
-    """doc_id, pos, class_doc_id, class_pos, copies, n_links, kept: a row for each line of documents.
+    """doc_id, row, pos, class_doc_id, class_pos, copies, n_links, kept: a row for each line of documents.
 
     A class is made of the lines whose forms are linked, directly or over others, by at most d edits; its
-    first line in the order of doc_id and pos names it, copies is its number of lines and n_links how many
+    first line in the order of doc_id, row and pos names it, copies is its number of lines and n_links how many
     other forms the line's own form is linked with.  kept is false for a line of at least `least`
-    characters that is not the first of its class.  Shorter lines stay.  Rows that repeat a doc_id count as
-    one document; rows without a doc_id are first of all, and keep their lines.  Forms are told apart by
-    64-bit hashes of their text.
+    characters that is not the first of its class.  Shorter lines stay.  row, a hash of the text, tells rows apart
+    that share a doc_id; rows alike in both count as one document, so they keep the same lines.  Rows without a
+    doc_id are first of all, and keep their lines.  Forms are told apart by 64-bit hashes of their text.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    forms = lines(docs, "doc_id").select("doc_id", "pos", F.xxhash64("form").alias("id"), "form", (F.length("form") >= least).alias("long"))
-    lines_ = written(forms.select("doc_id", "pos", "id", "long"), "lines")
-    known = forms.where("long").withColumn("n", F.length("form"))
-    known = known.select("id", index_keys("form", "n", d).alias("has"), probe_keys("form", "n", d).alias("asks"))
-    known = written(known.groupBy("id").agg(*(F.first(c).alias(c) for c in ("has", "asks"))), "keys")
+    docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string"))
+    forms = lines(docs, "doc_id", "row").select("doc_id", "row", "pos", F.xxhash64("form").alias("id"), "form", (F.length("form") >= least).alias("long"))
+    lines_ = written(forms.select("doc_id", "row", "pos", "id", "long"), "lines")
+    known = forms.where("long").select("id", "form", F.length("form").alias("n"))
+    # the arrays are a column before they become rows, so that what the keys share is worked out once; none is empty, and outer keeps Spark from asking
+    keyed = known.select("id", F.encode("form", "UTF-32").alias("units"), "n").select("id", keys("units", "n", d).alias("keys"))
+    keyed = keyed.select("id", F.posexplode_outer("keys").alias("probe", "key")).where("key is not null").select("key", "id", (F.col("probe") <= d).alias("entry"))
     # keys on which different forms meet are few; only their forms go on
-    has, asks = (known.select("id", F.explode(c).alias("key")) for c in ("has", "asks"))
-    sides = has.select("key", F.col("id").alias("h"), F.lit(None).cast("bigint").alias("q")).union(asks.select("key", F.lit(None).cast("bigint"), "id"))
-    ends = sides.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("q").alias("q0"), F.max("q").alias("q1"))
-    met = written(ends.where("h0 is not null and q0 is not null and (h0 <> q1 or h1 <> q0)").select("key"), "met")
-    has, asks = written(only(has, met, "key"), "has"), written(only(asks, met, "key"), "asks")
-    texts = only(forms.where("long").select("id", "form"), has.select("id").union(asks.select("id")).distinct(), "id").groupBy("id").agg(F.first("form").alias("form"))
+    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("entry").alias("entry")).where("entry and lo <> hi")
+    met = written(met.select("key"), "met")
+    sides = written(only(keyed, met, "key").groupBy("key", "id").agg(F.max("entry").alias("entry")), "sides")
+    texts = only(known, sides, "id").groupBy("id").agg(F.first("form").alias("form"))
     texts = written(texts.withColumn("n", F.length("form")).select("id", letters("form", "n").alias("letters"), F.split("form", "").alias("chars")), "texts")
-    a, b = (side.join(texts.select("id", "letters"), "id").select("key", F.col("id").alias(name), F.col("letters").alias(f"l{name}")) for side, name in ((has, "a"), (asks, "b")))
+    a, b = (side.join(texts.select("id", "letters"), "id").select("key", F.col("id").alias(name), F.col("letters").alias(f"l{name}")) for side, name in ((sides.where("entry"), "a"), (sides, "b")))
     pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & may_be_near(F.col("la"), F.col("lb"), d))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("ca")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("cb")), "b")
@@ -156,25 +156,26 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = found.join(degree, "id")
 
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    first = F.min(F.struct("doc_id", "row", "pos")).alias("first")
     own = written(lines_.groupBy("id").agg(first, F.count("*").alias("copies")), "forms")
     joint = own.join(linked, "id").groupBy("component").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_copies"))
     of_form = own.join(linked.join(joint, "component").select("id", "class_first", "class_copies", "n_links"), "id", "left")
     of_form = written(of_form.select("id", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_copies", "copies").alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "forms")
     out = lines_.join(of_form, "id")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
-    return out.select("doc_id", "pos", F.col("first.doc_id").alias("class_doc_id"), F.col("first.pos").alias("class_pos"), "copies", "n_links", (~F.col("long") | is_first | F.col("doc_id").isNull()).alias("kept"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
+    return out.select("doc_id", "row", "pos", F.col("first.doc_id").alias("class_doc_id"), F.col("first.pos").alias("class_pos"), "copies", "n_links", (~F.col("long") | is_first | F.col("doc_id").isNull()).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> DataFrame:
     """documents with the lines left out that classes() does not keep; n_chars, if there, is counted anew.
 
     A document of which nothing but white space is left, though there was more, is a copy and goes.
+    Other columns stay as they are, whatever their names.
     """
-    gone = classes(documents, d, least).where("not kept").groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
-    out = documents.join(gone, "doc_id", "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).where(F.col("_gone").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    gone = classes(documents, d, least).where("not kept").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
+    docs = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("row"))
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = docs.join(gone, ["doc_id", "row"], "left").withColumn("rest", F.when(F.col("gone").isNotNull(), rest))
+    out = out.where(F.col("gone").isNull() | F.col("rest").rlike(r"\S"))
+    new = {"text": F.coalesce("rest", "text"), "n_chars": F.coalesce(F.length("rest").cast("long"), F.col("doc.n_chars")) if "n_chars" in documents.columns else None}
+    return out.select(*(new[c].cast(documents.schema[c].dataType).alias(c) if c in new else F.col(f"doc.`{c}`") for c in documents.columns))
