@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dtw, frames, joins, lda, quantize, statistics
@@ -28,8 +28,9 @@ def speech_seconds(voiced: DataFrame, trials: DataFrame, shift: float, by: str =
 def reconstructed(df: DataFrame, x: str, y: str, k: int = 10, levels: int = 9, run: int = 0, seed: int = 0, features: int | None = None) -> DataFrame:
     """frame, fold, run, orig, reco of a cross-validation in k contiguous folds of frames (frame, x, y; numbered from 0).
 
-    Each fold's codebook, feature choice and models come from the other folds.  With run > 0 the features are
-    rotated against the targets by a seeded number of frames, which breaks what they have in common.
+    Each fold's codebook, feature choice and models come from the other folds; a job each makes those of all
+    folds together.  With run > 0 the features are rotated against the targets by a seeded number of frames, which
+    breaks what they have in common.
     """
     n = df.count()
     both = df.select("frame", F.col(x).alias("x"), F.col(y).alias("y"))
@@ -38,36 +39,46 @@ def reconstructed(df: DataFrame, x: str, y: str, k: int = 10, levels: int = 9, r
         moved = frames.rotated(both.select("frame", "x"), turn, F.lit(n), "frame")
         both = moved.join(both.select("frame", "y"), "frame")
     both = frames.folds(both, k)
-    out = None
-    for fold in range(k):
-        own = both.where(F.col("fold") == fold)
-        rest = both.where(F.col("fold") != fold)
-        long = rest.select("frame", F.posexplode("y").alias("bin", "v"))
-        book = quantize.logistic_codebook(long, levels)
-        book_rows = sorted(book.collect(), key=lambda r: r["bin"])  # a row for each bin
-        borders = F.array(*(F.array(*map(F.lit, r["borders"])) for r in book_rows))
-        medians = F.array(*(F.array(*map(F.lit, r["medians"])) for r in book_rows))
-        coded = rest.withColumn("levels", F.transform("y", lambda v, i: quantize.level(v, F.get(borders, i))))
-        chosen = rest if features is None else None
-        if features is not None:
-            chosen = select_features(rest, features)
-            pick = F.transform(F.array(*map(F.lit, chosen)), lambda i: F.get("x", i))
-            coded, own = coded.withColumn("x", pick), own.withColumn("x", pick)
-        models = lda.fit(coded, "x", "levels")
-        reco = F.transform("predicted", lambda c, i: F.get(F.get(medians, i), c.cast("int")))
-        part = lda.predicted(own.select("frame", "fold", "x", "y"), "x", models).select("frame", "fold", F.lit(run).alias("run"), F.col("y").alias("orig"), reco.alias("reco"))
-        out = part if out is None else out.unionByName(part)
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: p != F.col("fold"))).alias("part")
+
+    ranges = both.select("fold", F.posexplode("y").alias("bin", "v")).groupBy("fold", "bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cells = ranges.select(others, "bin", "lo", "hi").groupBy(F.struct("part", "bin").alias("cell")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    book = sorted(quantize.logistic_from_ranges(cells, levels, "cell").collect())  # a row for each fold and bin
+
+    def by_part(column: str) -> Column:
+        return F.array(*(F.array(*(F.array(*map(F.lit, r[column])) for r in book if r["cell"]["part"] == p)) for p in range(k)))
+
+    rest = both.select("frame", "x", "y", others)
+    if features is not None:
+        chosen = select_features_by(rest, "part", features)
+        picks = F.array(*(F.array(*map(F.lit, chosen.get(p, []))).cast("array<int>") for p in range(k)))
+        picked = lambda df, part: df.withColumn("x", F.transform(F.get(picks, F.col(part).cast("int")), lambda i: F.get("x", i)))
+        rest, both = picked(rest, "part"), picked(both, "fold")
+    borders, medians = (by_part(c) for c in ("borders", "medians"))
+    coded = rest.withColumn("levels", F.transform("y", lambda v, i: quantize.level(v, F.get(F.get(borders, F.col("part")), i))))
+    models = lda.fit_by(coded, "part", "x", "levels")
+    found = lda.predicted(both.select("frame", "fold", "x", "y"), "x", models, "fold")
+    reco = F.transform("predicted", lambda c, i: F.get(F.get(F.get(medians, F.col("fold").cast("int")), i), c.cast("int")))
+    return found.select("frame", "fold", F.lit(run).alias("run"), F.col("y").alias("orig"), reco.alias("reco"))
+
+
+def select_features_by(df: DataFrame, by: str, k: int, x: str = "x", y: str = "y") -> dict[int, list[int]]:
+    """For each `by` the positions of the k features that correlate most by ranks with the mean of the target, in ascending order of that; of equal ones the later is stronger."""
+    from ..functions import arrays
+
+    ranked = statistics.ranks(df.select(by, F.col(x).alias("x"), arrays.mean(y).alias("target")), "target", by, "rank")
+    long = ranked.select(by, "rank", F.posexplode("x").alias("feature", "v")).select(F.struct(by, "feature").alias("cell"), "rank", "v")
+    rho = statistics.spearman(long, "cell", "v", "rank", ranked=True).select("cell.*", "rho")
+    order = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.abs("rho")), F.desc("feature")))
+    out: dict[int, list[int]] = {}
+    for r in rho.withColumn("order", order).where(F.col("order") <= k).orderBy(by, F.desc("order")).collect():  # k rows each
+        out.setdefault(r[by], []).append(r["feature"])
     return out
 
 
 def select_features(df: DataFrame, k: int, x: str = "x", y: str = "y") -> list[int]:
-    """Positions of the k features that correlate most by ranks with the mean of the target, in ascending order of that."""
-    from ..functions import arrays
-
-    ranked = statistics.target_ranks(df.select(F.col(x).alias("x"), arrays.mean(y).alias("target")), "target", "rank")
-    long = ranked.select("rank", F.posexplode("x").alias("feature", "v"))
-    top = statistics.strongest(statistics.spearman(long, "feature", "v", "rank", ranked=True), "feature", k)
-    return [r["feature"] for r in top.orderBy("pos").collect()]
+    """select_features_by() of all rows."""
+    return select_features_by(df.withColumn("_one", F.lit(0)), "_one", k, x, y).get(0, [])
 
 
 def correlations(reco: DataFrame, *by: str) -> DataFrame:
@@ -84,7 +95,8 @@ def over_runs(r: DataFrame, *by: str) -> DataFrame:
 def random_segments(streams: DataFrame, runs: int, length: int, seed: int = 0, by: str = "stream") -> DataFrame:
     """run, stream, first, end: for each run and stream (stream, n samples) a segment of `length` samples from a seeded place; too short streams have none."""
     spread = streams.where(F.col("n") > length).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    first = F.pmod(F.xxhash64(by, "run", F.lit(seed)), F.col("n") - length)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("run").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    first = drawn % (F.col("n") - length)
     return spread.select("run", by, first.alias("first"), (first + length).alias("end"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .statistics import matrix, moments
+from .statistics import matrix
 
 MODEL = "bin bigint, classes array<bigint>, coef array<array<double>>, intercept array<double>"
 
@@ -74,39 +74,72 @@ def solve(n: int, s: np.ndarray, g: np.ndarray, classes: np.ndarray, counts: np.
 
 
 def fit(df: DataFrame, x: str, levels: str) -> list[Model]:
-    """A model for each position of the array of levels; every frame counts.
+    """A model for each position of the array of levels; every frame counts."""
+    return fit_by(df.withColumn("_key", F.lit(0)), "_key", x, levels).get(0, [])
 
-    Two passes: means first, so that the products are of small numbers, then the sums.
+
+def fit_by(df: DataFrame, key: str, x: str, levels: str) -> dict[int, list[Model]]:
+    """fit() for the frames of each key, a whole number, all in two passes: the mean of all, so that products are of small numbers, then sums.
+
+    A task sends sums for each key, so keys are the folds of an evaluation, not the rows of a table.
     """
-    n, s, _ = moments(df.where(F.col(levels).isNotNull()), x)
-    if not n:
-        return []
-    shift = s / n
-    n, s, g = moments(df.where(F.col(levels).isNotNull()), x, shift)
-    rows = class_sums(df, x, levels).collect()  # targets x classes x features numbers
-    found: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
-    for r in rows:
-        found.setdefault(r["bin"], {}).setdefault(r["level"], (r["n"], np.zeros(len(s))))[1][r["at"]] = r["s"]
-    models = []
-    for b in sorted(found):
-        classes = np.array(sorted(found[b]))
-        counts = np.array([found[b][c][0] for c in classes], dtype=float)
-        sums = np.array([found[b][c][1] for c in classes]) - counts[:, None] * shift
-        m = solve(n, s, g, classes, counts, sums)
-        models.append(Model(m.classes, m.coef, m.intercept - m.coef @ shift))
-    return models
-
-
-def predicted(df: DataFrame, x: str, models: list[Model]) -> DataFrame:
-    """df with predicted, the array of the targets' classes; the models are small and go to every task."""
-    sent = df.sparkSession.sparkContext.broadcast(models)
+    rows = df.where(F.col(x).isNotNull() & F.col(levels).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(x).cast("array<double>").alias("x"), F.col(levels).cast("array<double>").alias("y"))
+    means = rows.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("v")).collect()
+    if not means:
+        return {}
+    shift = np.zeros(len(means))
+    for r in means:
+        shift[r["at"]] = r["v"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}  # (key, target, class); -1 and -1 for the whole
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, m, y = np.asarray(batch.column(0)), matrix(batch.column(1)) - shift, matrix(batch.column(2)).astype(np.int64)
+            for p in np.unique(keys).tolist():
+                own, classes = m[keys == p], y[keys == p]
+                found = [((p, -1, -1), len(own), np.concatenate([own.sum(0), (own.T @ own).ravel()]))]
+                found += [((p, b, c), int((classes[:, b] == c).sum()), own[classes[:, b] == c].sum(0)) for b in range(y.shape[1]) for c in np.unique(classes[:, b]).tolist()]
+                for at, n, v in found:
+                    before = sums.get(at, (0, 0.0))
+                    sums[at] = before[0] + n, before[1] + v
+        if sums:
+            columns = [pa.array([at[k] for at in sums], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([v.tolist() for _, v in sums.values()], pa.list_(pa.float64()))], names=["key", "bin", "level", "n", "v"])
+
+    parts = rows.mapInArrow(scan, "key bigint, bin bigint, level bigint, n bigint, v array<double>")
+    cells = parts.select("key", "bin", "level", "n", F.posexplode("v").alias("at", "v")).groupBy("key", "bin", "level", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
+    d = len(shift)
+    totals: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}
+    for at, part in cells.groupby(["key", "bin", "level"]):
+        totals[at] = int(part["n"].iloc[0]), part.sort_values("at")["v"].to_numpy()
+    out: dict[int, list[Model]] = {}
+    for key_ in sorted({at[0] for at in totals}):
+        n, flat = totals[key_, -1, -1]
+        out[key_] = []
+        for b in sorted({at[1] for at in totals if at[0] == key_ and at[1] >= 0}):
+            own = sorted((at[2], *totals[at]) for at in totals if at[:2] == (key_, b))
+            m = solve(n, flat[:d], flat[d:].reshape(d, d), np.array([c for c, *_ in own]), np.array([k for _, k, _ in own], dtype=float), np.array([v for *_, v in own]))
+            out[key_].append(Model(m.classes, m.coef, m.intercept - m.coef @ shift))
+    return out
+
+
+def predicted(df: DataFrame, x: str, models: list[Model] | dict[int, list[Model]], key: str | None = None) -> DataFrame:
+    """df with predicted, the array of the targets' classes; the models, those of the row's key if there is one, are small and go to every task."""
+    sent = df.sparkSession.sparkContext.broadcast({0: models} if key is None else models)
     fields = list(df.schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = matrix(batch.column(x))
-            out = np.stack([k.predict(m) for k in sent.value], axis=1) if sent.value and len(m) else np.zeros((len(m), 0), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.astype(np.int64).tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "predicted"])
+            keys = np.zeros(len(m), dtype=np.int64) if key is None else np.asarray(batch.column(key))
+            out: list[list[int]] = [[]] * len(m)
+            for p in np.unique(keys).tolist():
+                rows = np.flatnonzero(keys == p)
+                for k, found in zip(rows, zip(*(model.predict(m[rows]).tolist() for model in sent.value.get(p, [])), strict=True), strict=False):
+                    out[k] = list(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "predicted"])
 
     return df.mapInArrow(scan, StructType([*fields, *StructType.fromDDL("predicted array<bigint>")]))
 

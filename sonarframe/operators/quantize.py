@@ -16,12 +16,16 @@ def logistic_codebook(spec: DataFrame, levels: int = 9, by: str = "bin", value:
     borders: its values at levels + 1 even steps from -10 to 10 without the first and the last, then the
     maximum; medians: at `levels` even steps from -9.5 to 9.5.
     """
+    return logistic_from_ranges(spec.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), levels, by)
+
+
+def logistic_from_ranges(ranges: DataFrame, levels: int = 9, by: str = "bin") -> DataFrame:
+    """logistic_codebook() from the least and greatest value, lo and hi, of each bin."""
 
     def sigmoid(ts: np.ndarray) -> Column:
         scale = F.abs("lo") + F.col("hi")
         return F.transform(F.array(*(F.lit(float(t)) for t in ts)), lambda t: scale / (1 + F.exp(-0.5 * t)) - F.abs("lo"))
 
-    ranges = spec.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     inner = sigmoid(np.linspace(-10, 10, levels + 1)[1:-1])
     return ranges.select(by, F.concat(inner, F.array("hi")).alias("borders"), sigmoid(np.linspace(-9.5, 9.5, levels)).alias("medians"))
 

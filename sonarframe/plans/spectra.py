@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, filters, mel
-from ..operators import audio, filtering, quantize, vocoder
+from ..operators import audio, filtering, frames, quantize, vocoder
 from ..sources.views import signal, spectrogram, wide_frames
-from .registry import FRAMES, SIGNAL, SPEC, query
+from .registry import FRAMES, SIGNAL, SPEC, cascade_sql, query
 
 LEVELS = 9
 #: The embeddings' 64 numbers as a spectrum of a signal of 16 kHz, and its mel filters.
@@ -143,21 +143,36 @@ def sos_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtering.filtered(s, filters.butterworth(2, "low", (40.0,), 250.0), start="rest", chunk=16).select("stream", "idx", F.round("v", 6).alias("v"))
 
 
-@query()
+def high_gamma_sql(sr: float, zeros: int) -> str:
+    """CTEs of which the last, high_gamma (stream, idx, v), is filtering.high_gamma() of signal."""
+    stages = filters.high_gamma(sr)
+    starts = [filters.steady_state(s) if k < len(stages) - 1 else filters.warm(s, 1, zeros)[:, :, 0] for k, s in enumerate(stages)]
+    kinds = ["cold"] * (len(stages) - 1) + ["warm"]
+    return cascade_sql("signal", [(s.tolist(), kind) for s, kind in zip(stages, kinds, strict=True)], [x.tolist() for x in starts], "high_gamma")
+
+
+@query(f"WITH RECURSIVE {SIGNAL.replace('AS (', 'AS MATERIALIZED (', 1)}, {high_gamma_sql(1024.0, 41)} SELECT stream, idx, round(v, 5) AS v FROM high_gamma")
 def high_gamma_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtering.high_gamma(signal(spark, sf_dir).select("stream", "idx", "v"), 1024.0, zeros=41)
+    return filtering.high_gamma(signal(spark, sf_dir).select("stream", "idx", "v"), 1024.0, zeros=41).select("stream", "idx", F.round("v", 5).alias("v"))
 
 
-@query()
+_LOW = filters.butterworth(8, "low", (0.8 * 48000.0 / 2 / 3,), 48000.0)
+_LOW_STAGE = [(_LOW.tolist(), "cold")]
+_LOW_START = [filters.steady_state(_LOW).tolist()]
+
+
+@query(f"""WITH RECURSIVE {SIGNAL.replace('AS (', 'AS MATERIALIZED (', 1)}, {cascade_sql("signal", _LOW_STAGE, _LOW_START, "forth")}, n AS (SELECT stream, max(idx) AS last FROM signal GROUP BY stream),
+turned AS MATERIALIZED (SELECT stream, last - idx AS idx, v FROM forth JOIN n USING (stream)), {cascade_sql("turned", _LOW_STAGE, _LOW_START, "back")}
+SELECT stream, (last - idx) // 3 AS idx, round(v, 5) AS v FROM back JOIN n USING (stream) WHERE (last - idx) % 3 = 0""")
 def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtering.decimated(signal(spark, sf_dir), 3, 48000.0)
+    return filtering.decimated(signal(spark, sf_dir), 3, 48000.0).select("stream", "idx", F.round("v", 5).alias("v"))
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-mel frames of ten utterances: frames of the same label, numbered in their order."""
+    """Log-mel frames of utterances: a hundred frames of the same label each, in their order."""
     logs = spectrum(spark, sf_dir).join(wide_frames(spark, sf_dir).select("frame", "y"), "frame")
-    n = (F.row_number().over(Window.partitionBy("y").orderBy("frame")) - 1).cast("bigint")
-    return logs.select(F.col("y").alias("stream"), n.alias("frame"), mel.to_log_mels("spectrum", mel.matrix(BINS, MELS, SR)).alias("mel"))
+    parts = frames.utterances(logs, "y", 100)
+    return parts.select(F.concat_ws("-", F.col("y").cast("string"), F.col("utterance").cast("string")).alias("stream"), F.col("place").cast("bigint").alias("frame"), mel.to_log_mels("spectrum", mel.matrix(BINS, MELS, SR)).alias("mel"))
 
 
 @query()

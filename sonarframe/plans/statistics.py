@@ -77,12 +77,17 @@ def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.mann_whitney(long, "v", F.col("y") < 5, "bin").select("bin", "n1", "n2", "u1", "u2")
 
 
-@query()
+@query(f"""WITH {SPEC}, g AS (SELECT bin, v, y < 5 AS a, rank() OVER (PARTITION BY bin ORDER BY v) + (count(*) OVER (PARTITION BY bin, v) - 1) / 2.0e0 AS r FROM spec JOIN frames USING (frame)),
+s AS (SELECT bin, count(*) FILTER (a)::DOUBLE AS n1, count(*) FILTER (NOT a)::DOUBLE AS n2, sum(r) FILTER (a) AS r1 FROM g GROUP BY bin), t AS (SELECT bin, sum(n * n * n - n) AS ties FROM (SELECT bin, count(*)::DOUBLE AS n FROM g GROUP BY bin, v) GROUP BY bin),
+z AS (SELECT bin, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5e0, 0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s JOIN t USING (bin)),
+e AS (SELECT bin, z, z / sqrt(2.0e0) AS x, 1 / (1 + z / sqrt(2.0e0) / 2) AS t FROM z),
+p AS (SELECT bin, z, least(t * exp(-x * x - 1.26551223e0 + t * (1.00002368e0 + t * (0.37409196e0 + t * (0.09678418e0 + t * (-0.18628806e0 + t * (0.27886807e0 + t * (-1.13520398e0 + t * (1.48851587e0 + t * (-0.82215223e0 + t * 0.17087277e0))))))))), 1) AS p FROM e)
+SELECT bin, round(z, 6) AS z, round(p, 6) AS p, round(least(p * 64, 1), 6) AS p_corrected FROM p""")
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided probabilities, and corrected for the number of bins."""
-    long = wide_frames(spark, sf_dir).select("y", F.posexplode("x").alias("bin", "v"))
+    long = wide_frames(spark, sf_dir).select("y", F.posexplode("x").alias("bin", "v")).withColumn("bin", F.col("bin").cast("bigint"))
     found = statistics.mann_whitney(long, "v", F.col("y") < 5, "bin")
-    return found.select("bin", "z", "p", statistics.corrected("p", 64).alias("p_corrected"))
+    return found.select("bin", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), F.round(statistics.corrected("p", 64), 6).alias("p_corrected"))
 
 
 @query(f"WITH {SPEC} SELECT a.bin AS i, b.bin AS j, round(covar_samp(a.v, b.v), 6) AS c FROM spec a JOIN spec b ON a.frame = b.frame GROUP BY a.bin, b.bin")
