@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = written(decontaminate.contamination(docs, items).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return decontaminate.contamination(rows, items, "row").where("not contaminated").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
