@@ -72,17 +72,32 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def prepared(texts: list[str | None], features: Features) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its coordinates, the intercept's last, and their values; texts are taken some at a time."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    raw = [(t or "").encode() for t in texts]
+    size = np.cumsum([0, *map(len, raw)])
+    lo = 0
+    while lo < len(raw):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + SLICE, side="right")) - 1)
+        row, at, x = features(np.frombuffer(b"".join(raw[lo:hi]), dtype=np.uint8), size[lo : hi + 1] - size[lo])
+        both, inverse = np.unique(row << BITS | at, return_inverse=True)
+        x = np.ones(len(both)) if x is None else np.bincount(inverse, weights=x, minlength=len(both))
+        ends = np.searchsorted(both >> BITS, np.arange(hi - lo + 1))
+        at = both & ((1 << BITS) - 1)
+        out += [(np.append(at[a:b], 1 << BITS), np.append(x[a:b], 1.0)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        lo = hi
+    return out
+
+
 def _shard(rates: tuple, sent, epochs: range, features: Features):
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         own = Ftrl(*rates, sent.value[0].copy(), sent.value[1].copy())
         part = part.sort_values("doc_id", kind="stable")
+        rows, target = prepared(part["text"].to_list(), features), part["target"].to_numpy()
         for epoch in epochs:
             for i in np.random.default_rng(epoch).permutation(len(part)):
-                data = np.frombuffer((part["text"].iat[i] or "").encode(), dtype=np.uint8)
-                _, at, x = features(data, np.array([0, len(data)]))
-                at, inverse = np.unique(at, return_inverse=True)
-                x = np.ones(len(at)) if x is None else np.bincount(inverse, weights=x, minlength=len(at))
-                own.learn(np.append(at, len(own.z) - 1), np.append(x, 1.0), part["target"].iat[i])
+                own.learn(*rows[i], target[i])
         return pd.DataFrame({"z": [own.z.tobytes()], "n": [own.n.tobytes()]})
 
     return learn

@@ -55,7 +55,7 @@ def _grams(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for lang in batch.column("lang").unique().to_pylist():
                 own = batch.filter(pc.equal(batch.column("lang"), lang))
-                for _, _, data, offsets in slices(own):
+                for _, _, data, offsets in slices(own, limit=SLICE):
                     gram, n = np.unique(_contexts(data, offsets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], schema=schema)
 

@@ -1,8 +1,8 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
 A multinomial logistic regression over words and word pairs tells the licence families apart from any other
-paragraph.  It is trained here, on variants of the notices below and on a bounded sample of the corpus' own
-paragraphs as the unknown class, by proximal gradient steps that are joins and aggregations; the L1 term leaves
+paragraph.  It is trained here, on variants of the notices below, also amidst other words, and on a bounded sample of the
+corpus' own paragraphs as the unknown class, by proximal gradient steps that are joins and aggregations; the L1 term leaves
 few weights.  Half of the variants and of the sample are kept from training and set, for each family, the probability
 from which it is believed: few unknown paragraphs reach it and most of the family's do.  A prediction is then
 confirmed by comparing the paragraph's word pairs with those of the family's notices.
@@ -201,7 +201,12 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[s
     some = some.where(~F.exists(F.array(*(F.array(*map(F.lit, x)) for x in wordings)), lambda x: F.size(F.array_intersect(x, "_pairs")) >= CONFIRMED * F.least(F.size(x), F.size("_pairs"))))
     unknown = some.select(F.lit(n - 1).alias("y"), "w", (drawn % 2 == 0).alias("held"))
     code = F.coalesce(*(F.when(F.col("family") == c, k) for k, c in enumerate(CLASSES)))
-    known = variants(spark).select(code.alias("y"), "w", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("held"))
+    named = [(k, family, text) for k, (family, text) in enumerate((f, t) for f, texts in NOTICES.items() for t in texts)]
+    table = spark.createDataFrame(named, "notice int, family string, own string").select("notice", "family", words(F.col("own")).alias("own"))
+    half = (F.size("w") / 2).cast("int")
+    inside = some.where(F.pmod(F.xxhash64("w", F.lit("inside")), F.lit(4)) == 0).withColumn("notice", F.pmod(F.xxhash64("w"), F.lit(len(named))).cast("int")).join(F.broadcast(table), "notice")
+    inside = inside.select("family", F.concat(F.slice("w", F.greatest(F.lit(1), half - LONGEST + 1), F.least(half, F.lit(LONGEST))), "own", F.slice("w", half + 1, LONGEST)).alias("w"))
+    known = variants(spark).unionByName(inside).select(code.alias("y"), "w", (F.pmod(F.xxhash64("w"), F.lit(2)) == 0).alias("held"))
     rows = written(unknown.unionByName(known).withColumn("row", F.monotonically_increasing_id()), "paragraphs")
     size = rows.where("not held").groupBy("y").agg(F.count("*").alias("members"))
     weight = F.when(F.col("y") == n - 1, 1.0).otherwise(1.0 / (n - 1)) / F.col("members")

@@ -26,6 +26,15 @@ TRAINING = 12_000
 PRIOR = 20.0
 
 
+def distinct(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many different hashes each row has."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, row))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
+    return np.bincount(row[order][new], minlength=len(first) - 1)
+
+
 def statistics(documents: DataFrame, *keep: str) -> DataFrame:
     """The columns to keep and numbers that the labellers look at; all are 0 for a null or empty text.
 
@@ -56,11 +65,9 @@ def statistics(documents: DataFrame, *keep: str) -> DataFrame:
                     out[:, k] = total[offsets[1:]] - total[offsets[:-1]]
                 bare = np.concatenate([[0], np.cumsum(~letter[data[start]])]) if len(start) else np.zeros(1)
                 out[:, 8] = bare[first[1:]] - bare[first[:-1]]
-                for k in range(hi - lo):
-                    own = h[first[k] : first[k + 1]]
-                    out[k, 6] = len(np.unique(own))
-                    out[k, 7] = np.count_nonzero(own[1:] == own[:-1])
-                    out[k, 10] = len(np.unique(lines[line_first[k] : line_first[k + 1]]))
+                row = np.repeat(np.arange(hi - lo), np.diff(first))
+                out[:, 6], out[:, 10] = distinct(h, first), distinct(lines, line_first)
+                out[:, 7] = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, hi - lo) for f in fields), *(pa.array(out[:, c]) for c in range(len(names)))], names=[*(f.name for f in fields), *names])
 
     schema = StructType([*fields, *StructType.fromDDL(", ".join(f"{n} double" for n in names))])

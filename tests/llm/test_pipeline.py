@@ -54,3 +54,21 @@ def test_tokens_are_of_the_texts_that_are_left(out):
 def test_run_on_the_smallest_tables(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert 0 < len(rows) < 200 and all(r["exact"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, clashing columns and empty tables: each stage keeps the columns, and what it keeps is of its input."""
+    spark.createDataFrame([(1, "one two three"), (None, "x")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "a line of english words that is long enough\nand a second one that nobody else has"
+    rows = [(1, text, "en"), (1, text, "en"), (1, "another text under the same id, and quite a different one", None), (None, text, "en"), (None, None, None), (2, None, "en"), (3, "", "en"), (4, "one two three", "en"), (None, "one two three", "en"), (5, "x" * 5000, "de")]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wide = docs.selectExpr("*", "1 as row", "2 as gone", "3 as rest", "4 as _text", "5 as doc", "6 as component_id", "7 as kept")
+    for table in (wide, wide.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            got = out.collect()
+            assert len(got) <= table.count(), name
+            if name != "byte_bpe":
+                assert out.columns == wide.columns, name
+    left = corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()
+    assert not [r for r in left if r["text"] == "one two three"] and len(left) == len(rows) - 2

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sonarframe.llm import byte_bpe, decontaminate, fingerprints, language_id, license_scan, line_dedup, lm_score, near_dedup, quality, queries, toxicity
 from sonarframe.llm.graph import components
+from sonarframe.llm.hashed import Ftrl, smallest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use themselves.
@@ -91,6 +92,28 @@ def test_near_duplicates_equal_all_pairs(spark, size, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_near_duplicates_of_one_crowded_key(spark):
+    """A template with other words in it each time: groups that share keys, first centres that stand apart, links across, and many that are none."""
+    rng = np.random.default_rng(20)
+    base = [f"t{k}" for k in range(120)]
+
+    def text(cuts, seed):
+        own, r = list(base), np.random.default_rng(seed)
+        for k in cuts:
+            own[k] = f"x{r.integers(10_000)}"
+        return " ".join(own)
+
+    rows = [(0, text(range(0, 60, 6), 0))]  # the least id is far from most others
+    rows += [(1 + k, text([int(rng.integers(120))], k)) for k in range(60)]  # near the template
+    rows += [(100 + k, text(sorted(rng.choice(120, 9, replace=False).tolist()), 1000 + k)) for k in range(60)]  # about at the threshold
+    rows += [(200 + k, text(range(3, 120, 9), k % 4)) for k in range(20)]  # another group
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = closure(sets, links)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert len(set(want.values())) > 3 and got == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(table(spark, odd_rows())).collect()
     assert len(got) == len(odd_rows())
@@ -356,6 +379,43 @@ def test_quality_tells_junk_from_prose(spark):
     assert np.mean([got[k] for k in range(60)]) > np.mean([got[100 + k] for k in range(30)]) + 0.3
 
 
+def auc(good, bad):
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
+def test_quality_agrees_with_labels_it_has_never_seen(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, sf).collect()}
+    good, bad = ([got[k] for k, q in labels.items() if q == v and k in got] for v in (1, 0))
+    assert len(got) == 1000 and auc(good, bad) > 0.9
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).withColumnRenamed("id", "key")
+    one, two = ({r["key"] for r in smallest(df.repartition(n), "key", 300, 5000).collect()} for n in (2, 7))
+    assert one == two and len(one) == 300
+
+
+def test_ftrl_by_definition():
+    """A step at a time over dense vectors, as the method is published: z, n and weights of each coordinate."""
+    rng = np.random.default_rng(17)
+    f = Ftrl(alpha=0.5, beta=1.0, l1=0.3, l2=0.2, z=np.zeros(6), n=np.zeros(6))
+    z, n = np.zeros(6), np.zeros(6)
+    for _ in range(200):
+        at = np.append(np.sort(rng.choice(5, 3, replace=False)), 5)
+        x, target = np.append(rng.random(3), 1.0), float(rng.random() < 0.4)
+        l1 = np.where(np.arange(6) == 5, 0.0, 0.3)
+        w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1.0 + np.sqrt(n)) / 0.5 + 0.2))
+        dense = np.zeros(6)
+        dense[at] = x
+        g = (1 / (1 + np.exp(-w @ dense)) - target) * dense
+        z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.5 * w
+        n += g * g
+        f.learn(at, x, target)
+    assert np.allclose(f.z, z) and np.allclose(f.n, n)
+
+
 def test_labellers_are_estimated():
     rng = np.random.default_rng(8)
     truth = rng.random(20_000) < 0.8
@@ -428,6 +488,48 @@ def test_licences_are_found(spark):
     assert len(got) == 66
 
 
+def test_telling_pairs_lose_nothing():
+    """Any share of a notice's pairs that is enough to confirm it has one of the telling pairs."""
+    rng = np.random.default_rng(18)
+    telling = set(license_scan.telling_pairs())
+    for texts in license_scan.NOTICES.values():
+        for own in map(license_scan._split, texts):
+            both = sorted({f"{a} {b}" for a, b in zip(own, own[1:])})
+            for _ in range(50):
+                some = rng.permutation(both)[: math.ceil(license_scan.CONFIRMED * len(both) - 1e-9)]
+                assert telling & set(some.tolist())
+
+
+def test_planted_licences_of_the_tables_are_found(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: set(filter(None, r["families"].split(","))) for r in license_scan.scan(docs).collect()}
+    assert set(got) == set(texts)
+    planted = [(k, f) for k, t in texts.items() for f, notices in license_scan.NOTICES.items() if any(line.strip() in notices for line in t.split("\n"))]
+    assert len(planted) > 20 and np.mean([f in got[k] for k, f in planted]) > 0.9
+    clean = [k for k, t in texts.items() if not re.search("licen|copyright|rights|spdx|permission|redistribut|creative", t, re.I)]
+    assert np.mean([not got[k] for k in clean]) > 0.99
+
+
+def test_notices_in_long_lines_and_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(19)
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    first, second = notice[: len(notice) // 2], notice[len(notice) // 2 :]
+    rows = [(k, prose(rng, 500)) for k in range(40)] + [(100, f"{prose(rng, 300)} {notice} {prose(rng, 300)}"), (101, first), (101, second), (102, "_" + notice), (None, notice)]
+    got = {r["doc_id"]: r["families"] for r in license_scan.scan(table(spark, rows)).collect() if r["families"]}
+    assert got == {100: "mit", 102: "mit", None: "mit"}
+
+
+def test_scans_of_odd_rows_and_empty_tables(spark, tmp_path):
+    got = license_scan.scan(clashing(table(spark, odd_rows()))).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in odd_rows()} and not any(r["families"] for r in got)
+    for name, df in {"documents": empty(spark), "labels": spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id bigint, text string")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
 # -- tokens
 
 
