@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import experiment, features
 from ..sources.views import signal, wide_frames
-from .registry import SIGNAL, query
+from .models import warped_sql
+from .registry import FRAMES, SIGNAL, query
 from .spectra import high_gamma_sql
 
 #: Forty-eight features and sixteen targets from the 64 numbers of a frame; RUNS is a parameter of the evaluation, of which published ones take a hundred.
@@ -35,13 +36,17 @@ def experiment_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.over_runs(experiment.correlations(reco, "run"), "bin")
 
 
-@query()
+_TRIALS = f"{FRAMES}, named AS (SELECT frame // 10 AS trial, y AS word FROM frames WHERE frame % 10 = 0), trials AS MATERIALIZED (SELECT word, trial, frame % 10 + 1 AS place, x FROM frames JOIN named ON frame // 10 = trial)"
+_SESSION = "SELECT word AS pair, 0 AS utterance, place, x FROM trials WHERE trial % 2 = {0} AND trial = (SELECT min(trial) FROM named b WHERE b.word = trials.word AND b.trial % 2 = {0})"
+
+
+@query(f"WITH RECURSIVE {_TRIALS}, {warped_sql(_SESSION.format(0), _SESSION.format(1))} SELECT n.pair AS word, round(avg(bins.r), 6) AS r FROM n LEFT JOIN bins ON bins.pair = n.pair WHERE n.n > 0 GROUP BY n.pair")
 def experiment_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of two sessions, warped to each other: the labels of the frames, in trials of ten frames."""
     f = wide_frames(spark, sf_dir).select(F.floor(F.col("frame") / 10).alias("trial"), (F.col("frame") % 10).alias("frame"), F.col("x").alias("mel"), "y")
     word = f.where("frame = 0").select("trial", F.col("y").alias("word"))
     f = f.join(word, "trial").select("word", "trial", "frame", "mel")
-    return experiment.matching(f.where("trial % 2 = 0"), f.where("trial % 2 = 1"))
+    return experiment.matching(f.where("trial % 2 = 0"), f.where("trial % 2 = 1")).select("word", F.round("r", 6).alias("r"))
 
 
 @query(f"""WITH {SIGNAL}, n AS (SELECT stream, count(*) AS n FROM signal GROUP BY stream)

@@ -90,9 +90,32 @@ def clock_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clock.synchronised(o.select("stream", F.col("seq").alias("idx"), "t"), o).select("stream", "idx", "t")
 
 
-@query()
+def warped_sql(query_side: str, reference_side: str) -> str:
+    """CTEs of which n (pair, utterance, n) has all pairs of two selects (pair, utterance, place from 1, x) and bins (pair, utterance, bin, r) the correlations after warping.
+
+    Costs go along anti-diagonals with the step that led to each cell, then the way back from the last one.
+    """
+    return f"""q AS MATERIALIZED ({query_side}), r AS MATERIALIZED ({reference_side}),
+n AS MATERIALIZED (SELECT pair, utterance, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS n FROM (SELECT pair, utterance, 0 AS side FROM q UNION ALL SELECT pair, utterance, 1 FROM r) GROUP BY pair, utterance),
+cost AS MATERIALIZED (SELECT pair, utterance, n, list(list_distance(q.x, r.x) ORDER BY q.place, r.place) AS c FROM n JOIN q USING (pair, utterance) JOIN r USING (pair, utterance) WHERE n > 1 AND q.place <= n AND r.place <= n GROUP BY pair, utterance, n),
+dp AS (SELECT pair, utterance, n, c, 1 AS d, [CASE WHEN i = 0 THEN 0e0 ELSE 'inf'::DOUBLE END FOR i IN range(n + 1)] AS before, ['inf'::DOUBLE FOR i IN range(n + 1)] AS last, []::BIGINT[][] AS steps FROM cost
+UNION ALL SELECT pair, utterance, n, c, d + 1, last, [CASE WHEN i >= greatest(1, d + 1 - n) AND i <= least(n, d) THEN c[(i - 1) * n + d + 1 - i] + least(before[i], last[i], last[i + 1]) ELSE 'inf'::DOUBLE END FOR i IN range(n + 1)],
+list_append(steps, [CASE WHEN i < 1 THEN 0 WHEN before[i] <= least(last[i], last[i + 1]) THEN 0 WHEN last[i] <= last[i + 1] THEN 1 ELSE 2 END::BIGINT FOR i IN range(n + 1)]) FROM dp WHERE d < 2 * n),
+walk AS (SELECT pair, utterance, steps, n AS i, n AS j FROM dp WHERE d = 2 * n
+UNION ALL SELECT pair, utterance, steps, i - (steps[i + j - 1][i + 1] <> 2)::BIGINT, j - (steps[i + j - 1][i + 1] <> 1)::BIGINT FROM walk WHERE i - (steps[i + j - 1][i + 1] <> 2)::BIGINT > 0 AND j - (steps[i + j - 1][i + 1] <> 1)::BIGINT > 0),
+way AS (SELECT pair, utterance, i, CASE WHEN i = 1 THEN 1 ELSE max(j) END AS j FROM walk GROUP BY pair, utterance, i),
+matched AS (SELECT w.pair, w.utterance, unnest(range(64)) AS bin, unnest(q.x) AS a, unnest(r.x) AS b FROM way w JOIN q ON q.pair = w.pair AND q.utterance = w.utterance AND q.place = w.i JOIN r ON r.pair = w.pair AND r.utterance = w.utterance AND r.place = w.j),
+bins AS (SELECT pair, utterance, bin, CASE WHEN stddev_pop(a) * stddev_pop(b) * count(*) > 1e-12 THEN corr(a, b) END AS r FROM matched GROUP BY pair, utterance, bin)"""
+
+
+_PARTS = f"{FRAMES}, u AS (SELECT y, x, row_number() OVER (PARTITION BY y ORDER BY frame) - 1 AS k FROM frames), parts AS MATERIALIZED (SELECT y, k // 30 AS utterance, k % 30 + 1 AS place, x FROM u)"
+_WARPED = warped_sql("SELECT y AS pair, utterance, place, x FROM parts", "SELECT (y + 9) % 10 AS pair, utterance, place, x FROM parts")
+
+
+@query(f"WITH RECURSIVE {_PARTS}, {_WARPED} SELECT n.pair, n.utterance, round(avg(bins.r), 6) AS r FROM n LEFT JOIN bins ON bins.pair = n.pair AND bins.utterance = n.utterance GROUP BY n.pair, n.utterance")
 def dtw_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All utterances of a label, of thirty frames, against those of the same number of the next label; r is null where one has none."""
     f = frames.utterances(wide_frames(spark, sf_dir), "y").select(F.col("y").alias("pair"), "utterance", F.col("place").alias("frame"), F.col("x").alias("mel"))
     other = f.withColumn("pair", F.pmod(F.col("pair") - 1, F.lit(10))).withColumn("side", F.lit(1))
-    return dtw.warped_correlation(f.withColumn("side", F.lit(0)).unionByName(other), "pair", "utterance")
+    found = dtw.warped_correlation(f.withColumn("side", F.lit(0)).unionByName(other), "pair", "utterance")
+    return found.select("pair", "utterance", F.round("r", 6).alias("r"))
