@@ -126,9 +126,10 @@ def vad_log_mels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.voiced_from_log_mels(logs, MELS, threshold=-20.0).select("frame", "hot", "voiced")
 
 
-@query(f"""WITH RECURSIVE {SIGNAL}, y AS (SELECT stream, idx, 0.1e0 * v AS v FROM signal WHERE idx = 0 UNION ALL SELECT s.stream, s.idx, 0.1e0 * s.v + 0.9e0 * y.v FROM y JOIN signal s ON s.stream = y.stream AND s.idx = y.idx + 1) SELECT stream, idx, round(v, 6) AS v FROM y""")
+@query(f"""WITH RECURSIVE {SIGNAL}, y AS (SELECT stream, idx, 0.1e0 * v AS v FROM signal WHERE idx = 0 UNION ALL SELECT s.stream, s.idx, 0.1e0 * s.v + 0.9e0 * y.v FROM y JOIN signal s ON s.stream = y.stream AND s.idx = y.idx + 1) SELECT stream, idx, round(v + 3.14159265e-10, 6) AS v FROM y""")
 def iir_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtering.first_order(signal(spark, sf_dir), 0.9).select("stream", "idx", F.round("v", 6).alias("v"))
+    """The values have few decimals, so some lie between two roundings; a little is added to all, which moves them away."""
+    return filtering.first_order(signal(spark, sf_dir), 0.9).select("stream", "idx", F.round(F.col("v") + 3.14159265e-10, 6).alias("v"))
 
 
 _SOS = filters.butterworth(2, "low", (40.0,), 250.0)[0].tolist()
