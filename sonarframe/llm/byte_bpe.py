@@ -6,7 +6,9 @@ only asks which token that ends there fits the last token before it.  A state of
 emitted token and the bytes after it.  Where a token could still run over the end of what was read, the
 encoding is open; the tokens that all such continuations share are emitted.  The bytes that wait are fewer
 than a few token lengths.  States and transitions come into being when a text first needs them and are then
-looked up; if there are more than MAX_STATES, the tables start anew, so memory is bounded.
+looked up.  The first KEPT transitions stay; later ones are kept beside them until there are LATER of those, when
+they make room for others, also within a piece of text, where the state that has been reached is kept.  A new
+transition makes one state and one verdict at most, so this bounds all tables.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES = 400_000
-CACHED_PIECES = 150_000
+from .shared import small_batches
+
+KEPT, LATER = 200_000, 50_000
+#: Pieces that are remembered in a generation; there are two of them.
+CACHED_PIECES = 75_000
 #: With more tokens that go on from the waiting bytes than this, states are not merged.
 LONGER = 48
 
@@ -73,14 +79,23 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.verdicts: dict[tuple[int, bytes], int] = {}
         #: Last emitted token, bytes after it, last token of each prefix of those, where a token may still be open.
         self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.number: dict[tuple, int] = {}
+        self.first = None  # the number of the first state that does not stay
+        self._forget()
         self._state(-1, b"", (), (0,))
 
+    def _forget(self) -> None:
+        """Take out what does not stay."""
+        if self.first is not None:
+            del self.states[self.first :]
+        self.later: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.new: dict[tuple, int] = {}
+        self.verdicts: dict[tuple[int, bytes], int] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
+
     def _state(self, before: int, pending: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
         """The state's number.  States that only differ in a last emitted token that no token to come is held against are one."""
         matters: object = before
@@ -92,10 +107,14 @@ class Transducer:
             if matters is None:
                 matters = self.verdicts[key] = -2 - sum(self._pair(before, t) << k for k, t in enumerate(longer))
         found = (pending, last, matters)
-        if found not in self.number:
-            self.number[found] = len(self.states)
-            self.states.append((before, pending, last, live))
-        return self.number[found]
+        at = self.number.get(found)
+        if at is None:
+            at = self.new.get(found)
+            if at is None:
+                at = len(self.states)
+                (self.number if self.first is None else self.new)[found] = at
+                self.states.append((before, pending, last, live))
+        return at
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether b can follow a; a is -1 at the beginning.
@@ -151,16 +170,27 @@ class Transducer:
         emitted = self._chain(last, shared)
         return self._state(emitted[-1], pending[shared:], last[shared:], tuple(j - shared for j in live)), emitted
 
+    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """A transition that is not there yet."""
+        if self.first is None:
+            move = self.moves[state << 8 | byte] = self._move(state, byte)
+            if len(self.moves) >= KEPT:
+                self.first = len(self.states)
+            return move
+        if len(self.later) >= LATER:
+            kept = self.states[state]
+            self._forget()
+            state = self._state(*kept)
+        move = self.later[state << 8 | byte] = self._move(state, byte)
+        return move
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece of text."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
         state, out, moves = 0, [], self.moves
         for b in piece:
-            key = state << 8 | b
-            move = moves.get(key)
+            move = moves.get(state << 8 | b)
             if move is None:
-                move = moves[key] = self._move(state, b)
+                move = self.later.get(state << 8 | b) or self._make(state, b)
             state, emitted = move
             out += emitted
         if state not in self.ends:
@@ -210,7 +240,7 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         if not self.pending:  # as long as tokens are whole characters, the state stays the first one
-            text = [self.whole.get(i) for i in ids]
+            text = list(map(self.whole.get, ids))
             if None not in text:
                 return "".join(text)
         out, pending, steps = [], self.pending, self.steps
@@ -240,19 +270,27 @@ class Tokenizer:
         self.transducer = Transducer(ranks, half)
         self.decoder = Decoder(self.transducer.token)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> array:
-        out, cache = array("I"), self.cache
-        for piece in self.split(text):
-            ids = cache.get(piece)
-            if ids is None:
-                if len(cache) >= CACHED_PIECES:
-                    cache.clear()
-                ids = self.transducer.encode(piece.encode())
-                if len(piece) <= 64:
-                    cache[piece] = ids
-            out.extend(ids)
-        return out
+        pieces = self.split(text)
+        found = list(map(self.cache.get, pieces))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._piece(pieces[at])
+        return array("I", chain.from_iterable(found))
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """The tokens of a piece that is not in the newest part of the cache, or was not when the text was begun."""
+        ids = self.cache.get(piece) or self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
+        if len(piece) <= 64:
+            if len(self.cache) >= CACHED_PIECES:  # what was asked for since the last time lives on
+                self.cache, self.older = {}, self.cache
+            self.cache[piece] = ids
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decoder.feed(ids) + self.decoder.finish()
@@ -288,7 +326,7 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 flat = np.frombuffer(b"".join(i.tobytes() for i in ids), dtype=np.uint32).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(exact)], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, ids array<int>, exact boolean")
+    return small_batches(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(scan, "doc_id long, ids array<int>, exact boolean")
 
 
 def decoded(ids: DataFrame, ranks_path: str) -> DataFrame:
@@ -303,7 +341,7 @@ def decoded(ids: DataFrame, ranks_path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([decoder.feed(x or ()) + decoder.finish() for x in part.column("ids").to_pylist()], pa.string())], schema=schema)
 
-    return ids.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(scan, "doc_id long, text string")
+    return small_batches(ids.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))).mapInArrow(scan, "doc_id long, text string")
 
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -321,4 +359,4 @@ def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows.append((doc, len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
