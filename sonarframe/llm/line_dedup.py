@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import only, written
+from .shared import delete, fresh, only, written
 
 DISTANCE = 2
 LEAST = 16
@@ -152,6 +152,7 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("ca")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("cb")), "b")
     links = written(both.where(within(F.col("ca"), F.col("cb"), d)).select("a", "b"), "links")
+    delete(met, sides, texts, pairs)
     found = written(components(links), "components")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = found.join(degree, "id")
@@ -172,10 +173,13 @@ def deduplicated(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) ->
     A document of which nothing but white space is left, though there was more, is a copy and goes.
     Other columns stay as they are, whatever their names.
     """
-    gone = classes(documents, d, least).where("not kept").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
-    docs = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("row"))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = docs.join(gone, ["doc_id", "row"], "left").withColumn("rest", F.when(F.col("gone").isNotNull(), rest))
-    out = out.where(F.col("gone").isNull() | F.col("rest").rlike(r"\S"))
-    new = {"text": F.coalesce("rest", "text"), "n_chars": F.coalesce(F.length("rest").cast("long"), F.col("doc.n_chars")) if "n_chars" in documents.columns else None}
-    return out.select(*(new[c].cast(documents.schema[c].dataType).alias(c) if c in new else F.col(f"doc.`{c}`") for c in documents.columns))
+    doc, row, gone, rest = (fresh(c, documents.columns) for c in ("doc", "row", "gone", "rest"))
+    lost = classes(documents, d, least).where("not kept").groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone))
+    text = F.col("text").cast("string")
+    out = documents.withColumns({doc: F.col("doc_id").cast("long"), row: F.xxhash64(text)}).join(lost, [doc, row], "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = out.withColumn(rest, F.when(F.col(gone).isNotNull(), left)).where(F.col(gone).isNull() | F.col(rest).rlike(r"\S"))
+    new = {"text": F.coalesce(rest, text)}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.coalesce(F.length(rest).cast("long"), "n_chars")
+    return out.select(*(new[c].cast(documents.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns))

@@ -35,12 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(df: DataFrame) -> None:
-    """Remove a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -51,6 +52,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A name that no column has; names of columns do not differ by case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sized(df: DataFrame, most: int = FEW) -> DataFrame:
     """A written table of keys, to be joined with: broadcast if it has `most` rows or fewer, else met in a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
