@@ -29,7 +29,7 @@ ORDER = 3
 PER_LANGUAGE = 2000
 #: Bits a byte from which a text is in none of the learned languages, and the least posterior probability.
 FOREIGN_BITS, SURE = 6.5, 0.5
-SLICE = 1 << 20
+SLICE = 1 << 18
 UNKNOWN = "und"
 
 
