@@ -216,7 +216,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[s
     for _ in range(STEPS):
         logits = used.join(model, "feature").groupBy("row", "y", "weight").agg(*(F.sum(F.col("x") * F.col(c)).alias(c) for c in w))
         off = _probabilities(logits).select("row", *(((F.get("p", F.lit(k)) - (F.col("y") == k).cast("double")) * F.col("weight")).alias(f"d{k}") for k in range(n)))
-        step = used.join(off, "row").groupBy("feature").agg(*(F.sum(F.col("x") * F.col(f"d{k}")).alias(f"s{k}") for k in range(n)))
+        step = used.join(F.broadcast(off), "row").groupBy("feature").agg(*(F.sum(F.col("x") * F.col(f"d{k}")).alias(f"s{k}") for k in range(n)))
         new = model.join(step, "feature")
         grown = [F.col(f"g{k}") + F.col(f"s{k}") * F.col(f"s{k}") for k in range(n)]
         rate = [RATE / (F.sqrt(x) + 1e-4) for x in grown]
