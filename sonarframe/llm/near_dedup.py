@@ -6,12 +6,15 @@ signatures differ in at most MAX_DISTANCE = 2 * chunks - 1 lanes, some chunk dif
 pair shares one.  Documents with the same set are one class before that.  Candidates are confirmed on the full sets.
 
 A key that many classes share does not make all their pairs.  First every class is compared with the least
-class of each of its keys, its centre; confirmed links join components.  Then, for keys whose classes are still
-in different components, the pairs across components follow: those of the classes outside the key's largest
-component, so what that one has within it is never enumerated.  The join's condition has a bound: two
-sets have no more in common than their shares of the centre's set allow, plus what they have in common
-outside it, and those few shingles are known from the comparison with the centre.  The bound holds for every
-pair, so no link that would join two components is lost.
+class of each of its keys, its centre; confirmed links join components.  What is left are keys whose classes
+are in different components.  Their classes' sets are written as what they have beyond the centre's set and what they
+lack of it, from which the overlap of any two follows exactly:
+
+    |x & y| = |c| - |c - x| - |c - y| + |(c - x) & (c - y)| + |(x - c) & (y - c)|
+
+The least class outside the key's largest component is a second centre, for a group whose first one stands apart.
+Then the pairs across components follow, those of the classes outside the largest one; the join's condition
+is the link itself, so only links come out of it, and what the largest component has within it is never enumerated.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import only, small_batches, written
+from .shared import delete, only, small_batches, written
 from .textbytes import NOT_SPACE, combine, mix, slices, words
 
 CHUNKS, LANES = 8, 32
@@ -90,22 +93,32 @@ def _sets(size: int):
     return scan, "doc_id long, shingles array<long>"
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
-    """a, b, linked, n (b's set size) and others (b's shingles that a lacks), for every pair or for those that sizes and signatures leave."""
-    chunks = [f"c{k}" for k in range(CHUNKS)]
-    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in chunks))
-    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in chunks))
-    same = [F.when(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")).bitwiseAND(F.lit(0xFFFF << s if s < 48 else -(1 << 48))) == 0, 1).otherwise(0) for c in chunks for s in (0, 16, 32, 48)]
-    near = pairs.distinct() if every else pairs.distinct().join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (reduce(lambda x, y: x + y, same) >= LANES - MAX_DISTANCE))
-    near = written(near.select("a", "b"), "candidates")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    scan, schema = _sets(size)
-    sets = written(small_batches(only(docs, ids, "doc_id")).mapInArrow(scan, schema), "sets")
-    both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    others = F.array_except("sb", "sa")
-    common = F.size("sb") - F.size("others")
-    linked = common * 100 >= (F.size("sa") + F.size("others")) * percent
-    return written(both.withColumn("others", others).select("a", "b", linked.alias("linked"), F.size("sb").alias("n"), "others"), "compared")
+def _pairs_of_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (centre, rep) with the shingles of both, sc and sr."""
+    return pairs.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("sc")), "centre").join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("sr")), "rep")
+
+
+def _links(common: Column, sizes: Column, percent: int) -> Column:
+    """Whether so many common shingles, of sets of so many together, make a link."""
+    return common * (100 + percent) >= sizes * percent
+
+
+def _crossing(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (key, rep, others) of the keys with classes of several components, with component and whether it is not the key's largest."""
+    labelled = rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("many"))
+    return labelled.join(sizes.where("many > 1").select("key", "main"), "key").withColumn("out", F.col("component") != F.col("main")).drop("main")
+
+
+def _across(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links between two sides of _crossing() rows with what they have beyond their key's centre, others, and lack of it, missing."""
+    x, y = (side.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "component", "out", "n", "nc", "missing", "others"))) for side, name in ((x, "x"), (y, "y")))
+    base, sizes = F.col("nc_x") - F.size("missing_x") - F.size("missing_y"), F.col("n_x") + F.col("n_y")
+    most = base + F.least(F.size("missing_x"), F.size("missing_y")) + F.least(F.size("others_x"), F.size("others_y"))
+    exact = base + F.size(F.array_intersect("missing_x", "missing_y")) + F.size(F.array_intersect("others_x", "others_y"))
+    once = ~F.col("out_y") | (F.col("rep_x") < F.col("rep_y"))
+    both = x.join(y, (x["key"] == y["key"]) & once & (F.col("component_x") != F.col("component_y")) & _links(most, sizes, percent) & _links(exact, sizes, percent))
+    return both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -126,32 +139,35 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     keys = reps.select("rep", F.explode(F.array(*lanes)).alias("key"))
     centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many")
     shared = written(keys.join(centres, "key"), "keys")
-    star = _compared(shared.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")), docs, reps, shingle, percent, every=True)
-    links = star.where("linked").select("a", "b")
+    near = written(shared.where("centre <> rep").select("centre", "rep").distinct(), "candidates")
+    scan, schema = _sets(shingle)
+    ids = written(near.select("centre").union(near.select("rep")).distinct().withColumnRenamed("centre", "doc_id"), "ids")
+    sets = written(small_batches(only(docs, ids, "doc_id").distinct()).mapInArrow(scan, schema), "sets")
+    linked = _links(F.size(F.array_intersect("sc", "sr")), F.size("sc") + F.size("sr"), percent)
+    links = written(_pairs_of_sets(near, sets).where(linked).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
     found = written(components(links), "components")
 
-    label = F.coalesce("component", "rep").alias("component")
-    labelled = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "centre", "rep", label)
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("many"))
-    own = star.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "n", "others")
-    member = labelled.where("centre <> rep").join(sizes.where("many > 1").select("key", "main"), "key").withColumn("out", F.col("component") != F.col("main"))
-    member = written(member.join(own, ["centre", "rep"]).select("key", "rep", "component", "out", "n", "others"), "members")
-    x, y = (side.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "component", "out", "n", "others"))) for side, name in ((member.where("out"), "x"), (member, "y")))
-    outside_x, outside_y = F.size("others_x"), F.size("others_y")
-    inside = F.least(F.col("n_x") - outside_x, F.col("n_y") - outside_y)
-    sizes = F.col("n_x") + F.col("n_y")
-
-    def possible(common: Column) -> Column:  # whether so many common shingles can make a link
-        return common * (100 + percent) >= sizes * percent
-
-    rest = x.join(y, (x["key"] == y["key"]) & (~F.col("out_y") | (F.col("rep_x") < F.col("rep_y"))) & (F.col("component_x") != F.col("component_y")) & possible(inside + F.least(outside_x, outside_y)) & possible(inside + F.size(F.array_intersect("others_x", "others_y"))))
-    more = _compared(rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")), docs, reps, shingle, percent, every=False).where("linked").select("a", "b")
-    if not more.isEmpty():
-        found = written(components(links.union(more)), "components")
+    mixed = written(_crossing(shared, found).where("centre <> rep").select("key", "centre", "rep"), "mixed")
+    some = written(mixed.select("centre").union(mixed.select("rep")).distinct().withColumnRenamed("centre", "doc_id"), "ids")
+    apart = _pairs_of_sets(mixed.select("centre", "rep").distinct(), only(sets, some, "doc_id"))
+    apart = apart.select("centre", "rep", F.size("sr").alias("n"), F.size("sc").alias("nc"), F.array_except("sc", "sr").alias("missing"), F.array_except("sr", "sc").alias("others"))
+    member = written(mixed.join(apart, ["centre", "rep"]).drop("centre"), "members")
+    for centre in (True, False):
+        rows = _crossing(member, found)
+        side = rows.where("out")
+        if centre:
+            least = side.groupBy("key").agg(F.min("rep").alias("rep"))
+            side = side.join(least, ["key", "rep"])
+            rows = rows.join(least.withColumnRenamed("rep", "lead"), "key").where(F.col("rep") != F.col("lead")).withColumn("out", F.lit(False))
+        more = written(_across(side, rows, percent).distinct(), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = written(components(links), "components")
+    delete(shared, near, ids, sets, mixed, some, member)
 
     known = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     ids = reps.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep")
-    ids = ids.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", label)
+    ids = ids.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = known.join(ids, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
