@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, license_scan, line_dedup, lm_score, near_dedup, quality, toxicity
+from . import byte_bpe, decontaminate, fill_in_middle, fingerprints, language_id, license_scan, line_dedup, lm_score, near_dedup, quality, toxicity
 from .shared import sized, written
 
 
@@ -72,6 +72,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op9_license_scan, op10_byte_bpe)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.transformed(table(spark, sf_dir, "documents"), "doc_id")
+    restored = F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256")
+    lengths = (F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle"))
+    return found.select("doc_id", "n", "form", *lengths, F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op9_license_scan, op10_byte_bpe, op11_fill_in_middle)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": """
+WITH hashed AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+    SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d FROM hashed),
+formed AS (
+    SELECT *, CASE WHEN text = '' OR c >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form,
+           substr(text, 1, least(a, b)) AS prefix, substr(text, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle, substr(text, greatest(a, b) + 1) AS suffix FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed""",
+}
