@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fill_in_middle, fingerprints, language_id, license_scan, line_dedup, lm_score, near_dedup, quality, toxicity
+from . import byte_bpe, decontaminate, fill_in_middle, fingerprints, language_id, license_scan, line_dedup, lm_score, mixture, near_dedup, quality, spelling, toxicity
 from .shared import sized, written
 
 
@@ -79,7 +79,21 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", *lengths, F.sha2("output", 256).alias("output_sha256"), restored)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op9_license_scan, op10_byte_bpe, op11_fill_in_middle)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one run in 31, told by its hash, a letter is left out."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"), "doc_id")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    without = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, without).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.counted(words))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(mixture.mixed(table(spark, sf_dir, "documents"))).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_decontaminate, op4_toxicity, op5_line_dedup, op6_fingerprints, op7_lm_score, op8_language_id, op9_license_scan, op10_byte_bpe, op11_fill_in_middle, op12_spelling, op13_mixture)}
 
 ORACLE_SQL: dict[str, str] = {
     "op11_fill_in_middle": """
@@ -96,4 +110,29 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM formed""",
+    "op12_spelling": """
+WITH RECURSIVE steps AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS step FROM range(256) AS r(i)),
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+hexed AS (SELECT id, run, count(*) AS n, hex(encode(id || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_transform(range(1, length(x), 2), lambda k: CAST('0x' || substr(x, k, 2) AS BIGINT)), lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h FROM hexed, steps),
+words AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS (SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+pairs AS (
+    SELECT a.word, b.word AS other FROM cut AS a JOIN cut AS b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM cut AS a JOIN words AS b ON a.rest = b.word
+    UNION SELECT b.word, a.word FROM cut AS a JOIN words AS b ON a.rest = b.word),
+best AS (
+    SELECT p.word, count(*) AS n_near, max(o.n) AS form_n, list(p.other ORDER BY -o.n, encode(p.other))[1] AS form FROM pairs AS p JOIN words AS o ON o.word = p.other GROUP BY 1),
+forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words AS w LEFT JOIN best AS b ON w.word = b.word),
+chain(word, last) AS (
+    SELECT word, word FROM forms
+    UNION ALL SELECT c.word, f.form FROM chain AS c JOIN forms AS f ON c.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms AS f JOIN chain AS c ON f.word = c.word JOIN forms AS e ON c.last = e.word WHERE e.form IS NULL""",
 }
