@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarframe.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup
-from sonarframe.llm.shared import written
+from sonarframe.llm.shared import fresh, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    copies = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    The row of the least doc_id stays, one without a doc_id only where there is no other.  Where a doc_id is repeated or
+    null, the rows get numbers of their own, so each is judged by its own text: of rows alike one stays, and a row that
+    shares its doc_id with a copy is no copy for that.
+    """
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if often.isEmpty():
+        copies = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    row, own = fresh("row", docs.columns), fresh("own", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    first = F.min(F.struct(F.col(own).isNull(), own, row)).alias("_first")
+    kept = groups.join(rows.select(row, F.col("doc_id").alias(own)), row).groupBy("_group").agg(first).select(F.col(f"_first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
