@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.groups import numbers, whole
 from .blocks import previous, running
+from .selection import medians
+from .staging import sized, staged
 
 EPS = 2.220446049250313e-16
 
@@ -51,10 +54,12 @@ def ranges(offsets: DataFrame, by: str = "stream", stds: float = 5, seconds: flo
     """
     d = previous(offsets.withColumn("_now", F.struct("t", "offset")), "_now", "_last", by, "seq")
     d = d.withColumns({"_dt": F.col("t") - F.col("_last.t"), "_do": F.abs(F.col("offset") - F.col("_last.offset"))}).drop("_now", "_last")
-    middle = d.groupBy(by).agg(F.median("_dt").alias("_mt"), F.median("_do").alias("_mo"))
-    d = d.join(middle, by)
-    spread = d.groupBy(by).agg((F.median(F.abs(F.col("_dt") - F.col("_mt"))) + EPS).alias("_st"), (F.median(F.abs(F.col("_do") - F.col("_mo"))) + EPS).alias("_so"))
-    d = d.join(spread, by)
+    d = staged(d, "steps")
+    middle = every = d.select(by).distinct()
+    middle = staged(every.join(medians(d, [by], _mt="_dt", _mo="_do"), by, "left"), "middle")
+    d = d.join(sized(middle), by)
+    spread = medians(d, [by], _st=F.abs(F.col("_dt") - F.col("_mt")), _so=F.abs(F.col("_do") - F.col("_mo")))
+    d = d.join(sized(staged(every.join(spread, by, "left"), "spread")), by).withColumns({c: F.col(c) + EPS for c in ("_st", "_so")})
 
     def beyond(x: str, m: str, s: str, most_stds: float, most: float) -> Column:
         off = F.col(x) - F.col(m)
@@ -65,12 +70,73 @@ def ranges(offsets: DataFrame, by: str = "stream", stds: float = 5, seconds: flo
     return running(d, "_cut", "range", by, "seq").select(*offsets.columns, "range")
 
 
-def fitted(ranged: DataFrame, by: str = "stream", winsor: float = 1e-4) -> DataFrame:
+#: Measurements of a range that a task fits by itself.
+WHOLE = 1 << 20
+
+
+def fitted(ranged: DataFrame, by: str = "stream", winsor: float = 1e-4, whole_: int = WHOLE) -> DataFrame:
     """stream, range, start (its first time), intercept and slope of the offsets; a single measurement is a constant.
 
-    Offset measurements come every few seconds, so a range fits into a task; a task fits all its ranges together.
+    A task fits many ranges of up to `whole_` measurements together; larger ones are fitted by sums over all tasks.
     """
     keys = [by, "range"]
+    rows = ranged.select(by, F.col("range").cast("bigint").alias("range"), "seq", F.col("t").cast("double").alias("t"), F.col("offset").cast("double").alias("offset"))
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by("t", "seq").alias("start"), F.avg("t").alias("_mid"), F.greatest(F.stddev_pop("t"), F.lit(1e-9)).alias("_wide")).where(F.col("_n") > whole_)
+    large = staged(large, "large")
+    if large.isEmpty():
+        return _fitted_whole(rows, ranged.schema[by].dataType.simpleString(), by, winsor)
+    few = large.select(F.col(by).alias("_by"), F.col("range").alias("_range"), "start", "_mid", "_wide")
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("range") == F.col("_range"))
+    small = _fitted_whole(rows.join(sized(few), same, "left_anti"), ranged.schema[by].dataType.simpleString(), by, winsor)
+    scaled = rows.join(sized(few), same).select(*keys, ((F.col("t") - F.col("_mid")) / F.col("_wide")).alias("x"), (F.col("offset") / winsor).alias("y"))
+    lines = huber_sums(scaled, keys).join(few, same)
+    slope = F.col("b") * winsor / F.col("_wide")
+    return small.unionByName(lines.select(*keys, "start", (F.col("a") * winsor - slope * F.col("_mid")).alias("intercept"), slope.alias("slope")))
+
+
+def huber_sums(rows: DataFrame, keys: list[str], tolerance: float = 1e-12, rounds: int = 200) -> DataFrame:
+    """keys, a and b: what huber_lines() finds for rows (keys, x, y), by rounds of sums over all tasks; residuals stay where they are.
+
+    From the better of two lines a round's sums give the next two: weighted least squares, which never makes the loss
+    larger, and the line that is best if residuals stay on their side of 1, which ends the search once they do.
+    A group rests when neither moves.  Only the sums of groups, a row each, come together.
+    """
+    same = lambda: _all(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
+    at = staged(rows.groupBy(*keys).agg(F.avg("y").alias("a")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.array(F.struct("a", F.lit(0.0).alias("b"))).alias("lines"), F.lit(True).alias("moves")), "lines")
+    rested = None
+    for _ in range(rounds):
+        r = F.col("y") - F.col("l.a") - F.col("l.b") * F.col("x")
+        w, inside, sign = 1 / F.greatest(F.lit(1.0), F.abs("r")), F.abs("r") <= 1, F.signum("r")
+        tried = rows.join(sized(at.select(*(f"_{k}" for k in keys), F.posexplode("lines").alias("which", "l"))), same()).withColumn("r", r)
+        zero = lambda c: F.when(inside, c).otherwise(0.0)
+        sums = {"loss": F.when(inside, F.col("r") * F.col("r") / 2).otherwise(F.abs("r") - 0.5), "w": w, "wx": w * F.col("x"), "wxx": w * F.col("x") * F.col("x"), "wy": w * F.col("y"), "wxy": w * F.col("x") * F.col("y"),
+                "n": zero(F.lit(1.0)), "nx": zero(F.col("x")), "nxx": zero(F.col("x") * F.col("x")), "ny": zero(F.col("y")), "nxy": zero(F.col("x") * F.col("y")), "s": F.when(inside, 0.0).otherwise(sign), "sx": F.when(inside, 0.0).otherwise(sign * F.col("x"))}
+        found = tried.groupBy(*keys, "which").agg(F.first("l").alias("l"), *(F.sum(c).alias(name) for name, c in sums.items()))
+        best = found.groupBy(*keys).agg(F.min_by(F.struct(*found.columns[len(keys) + 1 :]), F.struct("loss", "which")).alias("m"))
+
+        def solved(n: str, x: str, xx: str, y: Column, xy: Column) -> Column:
+            det = F.col(n) * F.col(xx) - F.col(x) * F.col(x)
+            flat = F.struct(F.coalesce(F.try_divide(y, F.col(n)), F.col("l.a")).alias("a"), F.lit(0.0).alias("b"))
+            line = F.struct(((y * F.col(xx) - xy * F.col(x)) / det).alias("a"), ((F.col(n) * xy - F.col(x) * y) / det).alias("b"))
+            return F.when(det > 1e-12 * F.col(n) * F.col(n), line).otherwise(flat)
+
+        best = best.select(*keys, "m.*").withColumn("next", F.array(solved("n", "nx", "nxx", F.col("ny") + F.col("s"), F.col("nxy") + F.col("sx")), solved("w", "wx", "wxx", F.col("wy"), F.col("wxy"))))
+        far = lambda l: F.greatest(F.abs(l["a"] - F.col("l.a")), F.abs(l["b"] - F.col("l.b"))) > tolerance * (1 + F.greatest(F.abs(F.col("l.a")), F.abs(F.col("l.b"))))  # noqa: E731, E741
+        at = staged(best.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("l"), F.concat("next", F.array("l")).alias("lines"), far(F.get("next", F.lit(1))).alias("moves")), "lines")
+        ends = at.where("not moves").select(*(F.col(f"_{k}").alias(k) for k in keys), "l.a", "l.b")
+        rested = ends if rested is None else rested.unionByName(ends)
+        at = at.where("moves")
+        if at.isEmpty():
+            return rested
+    return rested.unionByName(at.select(*(F.col(f"_{k}").alias(k) for k in keys), "l.a", "l.b"))
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _fitted_whole(rows: DataFrame, kind: str, by: str, winsor: float) -> DataFrame:
+    keys = [by, "range"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begin in whole(batches, keys):
@@ -86,9 +152,8 @@ def fitted(ranged: DataFrame, by: str = "stream", winsor: float = 1e-4) -> DataF
             first = table.take(pa.array(begin))
             yield pa.RecordBatch.from_arrays([*(first[k].combine_chunks() for k in keys), *map(pa.array, (t[begin], intercept, slope))], names=[*keys, "start", "intercept", "slope"])
 
-    rows = ranged.select(by, F.col("range").cast("bigint").alias("range"), "seq", F.col("t").cast("double").alias("t"), F.col("offset").cast("double").alias("offset"))
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "seq")
-    return rows.mapInArrow(lines, f"`{by}` {ranged.schema[by].dataType.simpleString()}, range bigint, start double, intercept double, slope double")
+    return rows.mapInArrow(lines, f"`{by}` {kind}, range bigint, start double, intercept double, slope double")
 
 
 def corrected(stamps: DataFrame, lines: DataFrame, by: str = "stream", at: str = "t") -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import arrays
+from .selection import order_statistics, powers
 
 
 def logistic_codebook(spec: DataFrame, levels: int = 9, by: str = "bin", value: str = "v") -> DataFrame:
@@ -33,34 +34,52 @@ def logistic_from_ranges(ranges: DataFrame, levels: int = 9, by: str = "bin") ->
 def median_cut_codebook(spec: DataFrame, levels: int = 9, by: str = "bin", value: str = "v") -> DataFrame:
     """bin, borders, medians: the longest interval is cut at its median until there are enough.
 
-    Cutting needs the counts of distinct values only, so those are what a group gathers.  An interval of one
-    value is not cut; if all are, the codebook has fewer levels.
+    An interval of one value is not cut; if all are, the codebook has fewer levels.  Rounds of exact selection find
+    the middle values of all bins' intervals together, so no bin's values are gathered; what the driver
+    keeps has the size of the codebook.
     """
-    kind = dict(spec.dtypes)[by]
-    counts = spec.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("v")
-        v, n = part["v"].to_numpy(), part["n"].to_numpy()
-        before = np.concatenate([[0], np.cumsum(n)])
-        at = lambda k: int(np.searchsorted(before, k, side="right")) - 1  # noqa: E731  which value the k-th sample has
-        spans, done = [(0, len(v))], []
-        while spans and len(spans) + len(done) < levels:
-            spans.sort(key=lambda s: before[s[1]] - before[s[0]])
-            a, b = spans.pop()
-            size = before[b] - before[a]
-            middle = at(before[a] + size // 2) + 1
-            if middle < b:
-                spans += [(a, middle), (middle, b)]
+    kind = spec.schema[by].dataType
+    spark, ask = spec.sparkSession, StructType([StructField(by, kind), StructField("k", LongType())])
+    first = powers(spec, [by], value)
+    plans = {r[0]: Cuts(r[1], levels) for r in first.groupBy(by).agg(F.sum("_n")).collect()}
+    while wanted := [(b, k) for b, plan in plans.items() for k in plan.wanted()]:
+        for r in order_statistics(spec, [by], value, spark.createDataFrame(wanted, ask), first).collect():
+            plans[r[by]].known[r["k"]] = (r["v"], r["less"] + r["equal"])
+    rows = [(b, *plan.book()) for b, plan in plans.items()]
+    return spark.createDataFrame(rows, StructType([StructField(by, kind), *(StructField(c, ArrayType(DoubleType())) for c in ("borders", "medians"))]))
+
+
+class Cuts:
+    """The intervals of a group of n values, as places in their order, as far as the values at some places are known."""
+
+    def __init__(self, n: int, levels: int):
+        self.levels, self.spans, self.whole = levels, [(0, n)], []
+        #: By place in the order: the value there, and how many values are not above it.
+        self.known: dict[int, tuple[float, int]] = {}
+
+    def wanted(self) -> list[int]:
+        """Places whose values tell what comes next; none if the intervals are final."""
+        size = lambda s: s[1] - s[0]
+        while self.spans and len(self.spans) + len(self.whole) < self.levels:
+            self.spans.sort(key=size)  # of equally long ones the last made is cut
+            a, b = self.spans[-1]
+            if a + (b - a) // 2 not in self.known:
+                break
+            self.spans.pop()
+            cut = self.known[a + (b - a) // 2][1]
+            if cut < b:
+                self.spans += [(a, cut), (cut, b)]
             else:
-                done.append((a, b))
-        rows = []
-        for a, b in sorted(spans + done):
-            size = before[b] - before[a]
-            rows.append((v[b - 1], (v[at(before[a] + (size - 1) // 2)] + v[at(before[a] + size // 2)]) / 2))
-        return pd.DataFrame({by: part[by].iloc[:1].to_list(), "borders": [[r[0] for r in rows]], "medians": [[r[1] for r in rows]]})
-
-    return counts.groupBy(by).applyInPandas(cut, f"{by} {kind}, borders array<double>, medians array<double>")
+                self.whole.append((a, b))
+        return sorted({k for a, b in self.spans + self.whole for k in self._places(a, b)} - set(self.known))
+
+    @staticmethod
+    def _places(a: int, b: int) -> tuple[int, int, int]:
+        return a + (b - a - 1) // 2, a + (b - a) // 2, b - 1
+
+    def book(self) -> tuple[list[float], list[float]]:
+        ends = [[self.known[k][0] for k in self._places(a, b)] for a, b in sorted(self.spans + self.whole)]
+        return [last for _, _, last in ends], [(low + high) / 2 for low, high, _ in ends]
 
 
 def level(v: str | Column, borders: str | Column) -> Column:

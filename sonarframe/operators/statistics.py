@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import medians
+
 #: Value ranges into which ranking cuts each group.
 PARTS = 64
 
@@ -28,8 +30,13 @@ def by_bin(df: DataFrame, a: str, b: str, by: str = "bin") -> DataFrame:
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """mean, population std and median of the values that are there; NaN counts as missing."""
     x = F.when(~F.isnan(value), F.col(value))
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.median(x).alias("median"))
+    grouped = (df.groupBy(*by) if by else df.groupBy()).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    middle = medians(df, by, median=x)
+    if not by:
+        return grouped.join(F.broadcast(middle), how="left")
+    middle = middle.select(*(F.col(k).alias(f"_{k}") for k in by), "median")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by))
+    return grouped.join(middle, same, "left").drop(*(f"_{k}" for k in by))
 
 
 def ranks(df: DataFrame, value: str, by: str, name: str = "rank") -> DataFrame:

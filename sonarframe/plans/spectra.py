@@ -71,7 +71,14 @@ def missing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize.missing_levels(coded(spark, sf_dir)[0], LEVELS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPEC}, sorted AS MATERIALIZED (SELECT bin, list(v ORDER BY v) AS l FROM spec GROUP BY bin),
+cut AS (SELECT bin, l, [{{'size': len(l), 'a': 0::BIGINT, 'b': len(l)}}] AS spans, 1 AS k FROM sorted
+UNION ALL SELECT bin, l, CASE WHEN upto < last.b THEN rest || [{{'size': upto - last.a, 'a': last.a, 'b': upto}}, {{'size': last.b - upto, 'a': upto, 'b': last.b}}] ELSE rest || [{{'size': 0::BIGINT, 'a': last.a, 'b': last.b}}] END, k + 1
+FROM (SELECT *, len(list_filter(l, lambda x: x <= l[last.a + last.size // 2 + 1])) AS upto
+FROM (SELECT bin, l, k, list_transform(ordered[:-2], lambda s: {{'size': s.size, 'a': s.a, 'b': s.b}}) AS rest, ordered[-1] AS last
+FROM (SELECT *, list_sort(list_transform(spans, lambda s, i: {{'size': s.size, 'i': i, 'a': s.a, 'b': s.b}})) AS ordered FROM cut WHERE k < {LEVELS})))),
+ends AS (SELECT bin, l, list_sort(list_transform(spans, lambda s: {{'a': s.a, 'b': s.b}})) AS s FROM cut WHERE k = {LEVELS})
+SELECT bin, list_transform(s, lambda x: l[x.b]) AS borders, list_transform(s, lambda x: (l[x.a + (x.b - x.a - 1) // 2 + 1] + l[x.a + (x.b - x.a) // 2 + 1]) / 2) AS medians FROM ends""")
 def codebook_median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize.median_cut_codebook(spectrogram(spark, sf_dir), LEVELS)
 

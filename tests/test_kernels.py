@@ -227,14 +227,8 @@ def test_wave_files_come_back():
     assert sr == 16000 and (back[:, 0] == x).all()
 
 
-def chunk(tag, content):
-    body = struct.pack("<H", tag) + content
-    return bytes([4]) + struct.pack("<I", len(body)) + body
-
-
-def header(stream, name, kind, fmt, channels, rate):
-    xml = f"<info><name>{name}</name><type>{kind}</type><channel_count>{channels}</channel_count><nominal_srate>{rate}</nominal_srate><channel_format>{fmt}</channel_format></info>"
-    return chunk(2, struct.pack("<I", stream) + xml.encode())
+from .xdf_plain import chunk  # noqa: E402
+from .xdf_plain import head as header  # noqa: E402
 
 
 def container(cut=0, broken=False, sound=False):
@@ -254,23 +248,6 @@ def container(cut=0, broken=False, sound=False):
     return out[: len(out) - cut]
 
 
-def test_container_rows():
-    rows = list(xdf.parse(container()))
-    samples = [r for r in rows if r[1] == "sample" and r[0] == 1]
-    assert [r[3] for r in samples] == pytest.approx([10.0, 10.01, 10.02, 10.03, 10.04])
-    assert samples[3][5] == [3.0, -3.0]
-    assert [r[6] for r in rows if r[0] == 2 and r[1] == "sample"] == [["experimentStarted"], ["experimentEnded"]]
-    assert [r[3:5] for r in rows if r[1] == "clock"] == [(9.0, 0.25)]
-    assert len([r for r in rows if r[1] in ("header", "footer")]) == 3
-
-
-def test_broken_and_cut_containers():
-    assert [r for r in xdf.parse(container(broken=True))] == [r for r in xdf.parse(container())]
-    assert [r[1] for r in xdf.parse(container(cut=10))].count("footer") == 0
-    with pytest.raises(ValueError):
-        list(xdf.parse(b"RIFF"))
-
-
 def test_read_experiment(spark, tmp_path):
     import gzip
 
