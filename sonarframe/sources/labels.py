@@ -11,11 +11,11 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="recorded_at string, monotonic_time double, label string")
 
 
-def trial_starts(markers: DataFrame, first_timestamp: Column | float, sr: float, prefix: str = "start;") -> DataFrame:
-    """word, seconds (two digits, half to even) and first (its sample) of the markers that begin a trial."""
+def trial_starts(markers: DataFrame, first_timestamp: Column | float, sr: float, prefix: str = "start;", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to keep, word, seconds (two digits, half to even) and first (its sample) of the markers that begin a trial."""
     at = F.col("monotonic_time") - (first_timestamp if isinstance(first_timestamp, Column) else F.lit(first_timestamp))
     found = markers.where(F.col("label").startswith(prefix)).withColumn("seconds", F.bround(at, 2))
-    return found.select(F.expr(f"substring(label, {len(prefix) + 1})").alias("word"), "seconds", F.floor(F.col("seconds") * sr).cast("bigint").alias("first"))
+    return found.select(*keep, F.expr(f"substring(label, {len(prefix) + 1})").alias("word"), "seconds", F.floor(F.col("seconds") * sr).cast("bigint").alias("first"))
 
 
 def two(x: Column) -> Column:

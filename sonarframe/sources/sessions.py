@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,40 @@ def session(samples: DataFrame, downsample: bool = True, noise: float = 1e-4, se
     return neural.unionByName(audio.with_noise(sound, noise, seed).select(*neural.columns))
 
 
+def _name(path: str = "path"):
+    """The folder that a file is in."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def session_folder(spark: SparkSession, folder: str, file: str = "speech1.hdf", **options) -> tuple[DataFrame, DataFrame]:
+    """(session(), trials()) of a session's folder; with a pattern, of all that it matches, each under its folder's name."""
+    rows = recordings.read_hdf5(spark, f"{folder}/{file}").select(_name().alias("session"), "kind", "sr", "idx", "x")
+    marks = recordings.markers(spark, f"{folder}/{file}").select(_name().alias("session"), "idx", "label")
+    return session(signal(rows), **options), trials(marks)
+
+
+def run_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(signal() of what was decoded and received; session, trial, word, seconds) of a decoding run's folder, or of all that a pattern matches.
+
+    The folder has audio.wav, sEEG.hdf, markers.csv and first_timestamp.npy, whose one number is the time at which the received signal begins.
+    """
+    from ..operators.blocks import running
+
+    sound = wav.read(spark, f"{folder}/audio.wav").select(_name().alias("session"), F.lit("Audio").alias("kind"), "sr", "idx", F.array(F.col("v").cast("double")).alias("x"))
+    received = recordings.read_hdf5(spark, f"{folder}/sEEG.hdf").select(_name().alias("session"), "kind", "sr", "idx", "x")
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "begin": [float(np.load(io.BytesIO(c)).ravel()[0]) for c in batch["content"]]})
+
+    stamps = spark.read.format("binaryFile").load(f"{folder}/first_timestamp.npy").select(F.col("_metadata.file_path").alias("path"), "content").mapInPandas(begin, "path string, begin double")
+    marks = labels.read_markers(spark, f"{folder}/markers.csv").withColumn("path", F.col("_metadata.file_path"))
+    marks = marks.select(_name().alias("session"), "recorded_at", "monotonic_time", "label").join(stamps.select(_name().alias("session"), "begin"), "session")
+    starts = labels.trial_starts(marks, F.col("begin"), 1.0, keep=("session",)).withColumn("_one", F.lit(1))
+    found = running(starts, "_one", "_n", "session", "seconds")
+    return signal(sound.unionByName(received)), found.select("session", (F.col("_n") - 1).alias("trial"), "word", "seconds")
+
+
 def trials(markers: DataFrame, seconds: int = 3, prefix: str = "start;", by: str = "session") -> DataFrame:
     """session, trial (from 0), word and seconds at which it begins, from markers (session, idx, label): each trial takes so long."""
     from ..operators.blocks import running
