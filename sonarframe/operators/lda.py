@@ -7,12 +7,14 @@ one pass each over the frames, in which a task sends no more than these sums.  T
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,13 +85,25 @@ def fit_by(df: DataFrame, key: str, x: str, levels: str) -> dict[int, list[Model
 
     A task sends sums for each key, so keys are the folds of an evaluation, not the rows of a table.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(levels).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(x).cast("array<double>").alias("x"), F.col(levels).cast("array<double>").alias("y"))
-    means = rows.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("v")).collect()
-    if not means:
+    rows = _rows(df, x, levels, F.col(key).cast("bigint"))
+    shift = _mean(rows)
+    if not len(shift):
         return {}
-    shift = np.zeros(len(means))
-    for r in means:
-        shift[r["at"]] = r["v"]
+    cells = _sums(rows, shift).toPandas()
+    return {k: _models(part, shift) for k, part in cells.groupby("key")}
+
+
+def _rows(df: DataFrame, x: str, levels: str, key: Column) -> DataFrame:
+    return df.where(F.col(x).isNotNull() & F.col(levels).isNotNull()).select(key.alias("key"), F.col(x).cast("array<double>").alias("x"), F.col(levels).cast("array<double>").alias("y"))
+
+
+def _mean(rows: DataFrame) -> np.ndarray:
+    means = rows.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(means, key=lambda r: r["at"])])
+
+
+def _sums(rows: DataFrame, shift: np.ndarray) -> DataFrame:
+    """key, bin, level, at, n, v: the sums of x less the shift, and of its products, of each key (bin and level -1), and the sums of each class."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}  # (key, target, class); -1 and -1 for the whole
@@ -109,22 +123,55 @@ def fit_by(df: DataFrame, key: str, x: str, levels: str) -> dict[int, list[Model
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([v.tolist() for _, v in sums.values()], pa.list_(pa.float64()))], names=["key", "bin", "level", "n", "v"])
 
     parts = rows.mapInArrow(scan, "key bigint, bin bigint, level bigint, n bigint, v array<double>")
-    cells = parts.select("key", "bin", "level", "n", F.posexplode("v").alias("at", "v")).groupBy("key", "bin", "level", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
+    return parts.select("key", "bin", "level", "n", F.posexplode("v").alias("at", "v")).groupBy("key", "bin", "level", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+
+
+def _models(cells: pd.DataFrame, shift: np.ndarray) -> list[Model]:
+    """From the sums of one key."""
     d = len(shift)
-    totals: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}
-    for at, part in cells.groupby(["key", "bin", "level"]):
+    totals: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    for at, part in cells.groupby(["bin", "level"]):
         totals[at] = int(part["n"].iloc[0]), part.sort_values("at")["v"].to_numpy()
-    out: dict[int, list[Model]] = {}
-    for key_ in sorted({at[0] for at in totals}):
-        n, flat = totals[key_, -1, -1]
-        out[key_] = []
-        for b in sorted({at[1] for at in totals if at[0] == key_ and at[1] >= 0}):
-            own = sorted((at[2], *totals[at]) for at in totals if at[:2] == (key_, b))
-            m = solve(n, flat[:d], flat[d:].reshape(d, d), np.array([c for c, *_ in own]), np.array([k for _, k, _ in own], dtype=float), np.array([v for *_, v in own]))
-            out[key_].append(Model(m.classes, m.coef, m.intercept - m.coef @ shift))
+    n, flat = totals[-1, -1]
+    out = []
+    for b in sorted({at[0] for at in totals if at[0] >= 0}):
+        own = sorted((at[1], *totals[at]) for at in totals if at[0] == b)
+        m = solve(n, flat[:d], flat[d:].reshape(d, d), np.array([c for c, *_ in own]), np.array([k for _, k, _ in own], dtype=float), np.array([v for *_, v in own]))
+        out.append(Model(m.classes, m.coef, m.intercept - m.coef @ shift))
     return out
 
 
+def store_sums(df: DataFrame, path: str, recording: str, x: str, levels: str) -> None:
+    """Put the sums of a recording beside those of others below path; a recording that is there already is replaced.
+
+    levels are by a codebook that all recordings share.  The first recording's mean is the shift of all sums, which
+    makes products small; it is stored, so that later ones use it too.
+    """
+    spark, rows = df.sparkSession, _rows(df, x, levels, F.lit(0).cast("bigint"))
+    try:
+        shift = _shift(spark, path)
+    except AnalysisException:  # nothing is there yet
+        shift = _mean(rows)
+        if not len(shift):
+            return
+        spark.createDataFrame([(shift.tolist(),)], "shift array<double>").coalesce(1).write.mode("ignore").parquet(f"{path}/shift")
+        shift = _shift(spark, path)
+    _sums(rows, shift).drop("key").write.mode("overwrite").parquet(f"{path}/sums/recording={recording}")
+
+
+def _shift(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array(spark.read.parquet(f"{path}/shift").first()["shift"])
+
+
+def fit_stored(spark: SparkSession, path: str, recordings: Sequence[str] | None = None) -> list[Model]:
+    """fit() of all frames of the stored recordings, or of some of them, from their sums alone."""
+    cells = spark.read.parquet(f"{path}/sums")
+    if recordings is not None:
+        cells = cells.where(F.col("recording").cast("string").isin(list(recordings)))
+    cells = cells.groupBy("bin", "level", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()  # a matrix's size
+    return _models(cells, _shift(spark, path)) if len(cells) else []
+
+
 def predicted(df: DataFrame, x: str, models: list[Model] | dict[int, list[Model]], key: str | None = None) -> DataFrame:
     """df with predicted, the array of the targets' classes; the models, those of the row's key if there is one, are small and go to every task."""
     sent = df.sparkSession.sparkContext.broadcast({0: models} if key is None else models)
@@ -167,3 +214,12 @@ def activations(models: list[Model], cov: np.ndarray) -> np.ndarray:
         pattern = cov @ w @ np.linalg.pinv(w.T @ cov @ w)
         total += np.abs(pattern).sum(1)
     return total / max(1, most * len(models))
+
+
+def activation_rows(spark: SparkSession, found: np.ndarray, selected: Sequence[str], channels: Sequence[str], lags: int = 5) -> DataFrame:
+    """channel, lag, activation: activations() of the selected features, which are named channel-lag, on the grid of all channels and lags; features that were not selected have 0."""
+    grid = {(c, k): 0.0 for c in channels for k in range(lags)}
+    for name, a in zip(selected, found, strict=True):
+        channel, _, lag = name.rpartition("-")
+        grid[channel, int(lag)] = float(a)
+    return spark.createDataFrame([(c, k, a) for (c, k), a in grid.items()], "channel string, lag int, activation double")
