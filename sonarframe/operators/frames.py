@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, last_known, previous, running, with_halo, without_halo
+from .staging import beside, staged
 
 
 def online_ends(n: str | Column, sr: float, length_ms: float, shift_ms: float) -> Column:
@@ -20,6 +21,11 @@ def online_ends(n: str | Column, sr: float, length_ms: float, shift_ms: float) -
     return F.filter(ends, lambda e: (e <= n))
 
 
+def lengths(samples: DataFrame, by: str, name: str = "_n") -> DataFrame:
+    """by and how many samples, numbered from 0, each stream has: a row for each, summed inside tasks."""
+    return staged(samples.groupBy(by).agg((F.max("idx") + 1).alias(name)), "lengths")
+
+
 def framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float = 10, by: str = "stream") -> DataFrame:
     """stream, frame, idx, v: each sample once for each frame that holds it.
 
@@ -28,10 +34,9 @@ def framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float
     """
     size = int(length_ms / 1000 * sr)
     shift = shift_ms / 1000 * sr
-    last = F.max("idx").over(Window.partitionBy(by)) + 1
     low = F.greatest(F.floor((F.col("idx") - size) / shift) - 1, F.lit(0))
     high = F.floor(F.col("idx") / shift) + 1
-    out = samples.withColumn("_n", last).withColumn("frame", F.explode(F.sequence(low, high)))
+    out = beside(samples, lengths(samples, by), [by]).withColumn("frame", F.explode(F.sequence(low, high)))
     end = F.bround((F.col("frame") * shift_ms + size / sr * 1000) / 1000 * sr, 0).cast("bigint")
     out = out.withColumn("_end", F.when(F.col("frame") == 0, size).otherwise(end))
     return out.where((F.col("idx") < F.col("_end")) & (F.col("idx") >= F.col("_end") - size) & (F.col("_end") <= F.col("_n"))).drop("_n", "_end")
@@ -40,9 +45,8 @@ def framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float
 def batch_framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float = 10, by: str = "stream") -> DataFrame:
     """As framed(), with the frames of the batch twin: frame k begins at round(k * shift) and there are floor((n - size) / shift) + 1."""
     size, shift = length_ms / 1000 * sr, shift_ms / 1000 * sr
-    last = F.max("idx").over(Window.partitionBy(by)) + 1
     low = F.greatest(F.floor((F.col("idx") - size) / shift) - 1, F.lit(0))
-    out = samples.withColumn("_n", last).withColumn("frame", F.explode(F.sequence(low, F.floor(F.col("idx") / shift) + 1)))
+    out = beside(samples, lengths(samples, by), [by]).withColumn("frame", F.explode(F.sequence(low, F.floor(F.col("idx") / shift) + 1)))
     begin = F.bround(F.col("frame") * shift, 0)
     return out.where((F.col("frame") < F.floor((F.col("_n") - size) / shift) + 1) & (F.col("idx") >= begin) & (F.col("idx") < begin + int(size))).drop("_n")
 
@@ -91,12 +95,10 @@ def folds(df: DataFrame, k: int, idx: str = "frame", by: str | None = None) -> D
 
     The rows are numbered without gaps, so a fold is arithmetic on the number and on n; nothing is sorted.
     """
-    n = F.count("*").over(Window.partitionBy(by)) if by else None
-    if n is None:
-        total = df.agg(F.count("*").alias("_n"))
-        df = df.join(F.broadcast(total))
+    if by is None:
+        df = df.join(F.broadcast(df.agg(F.count("*").alias("_n"))))
     else:
-        df = df.withColumn("_n", n)
+        df = beside(df, staged(df.groupBy(by).agg(F.count("*").alias("_n")), "lengths"), [by])
     short, more = F.floor(F.col("_n") / k), F.col("_n") % k
     border = more * (short + 1)
     fold = F.when(F.col(idx) < border, F.floor(F.col(idx) / (short + 1))).otherwise(more + F.floor((F.col(idx) - border) / F.greatest(short, F.lit(1))))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import beside, staged
+
 
 def exclude_channels(df: DataFrame, channels: Sequence, by: str = "ch") -> DataFrame:
     """The rows of all other channels; the predicate reaches the scan."""
@@ -31,17 +33,19 @@ def crop_between(df: DataFrame, start: str, end: str, by: str = "stream", label:
 
     Streams without a start have no rows; without a later end they run to their last row.
     """
-    w = Window.partitionBy(by)
-    first = F.min(F.when(F.col(label) == start, F.col("idx"))).over(w)
-    marked = df.withColumn("_first", first)
-    last = F.min(F.when((F.col(label) == end) & (F.col("idx") > F.col("_first")), F.col("idx"))).over(w)
-    return marked.withColumn("_last", last).where((F.col("idx") >= F.col("_first")) & (F.col("_last").isNull() | (F.col("idx") < F.col("_last")))).drop("_first", "_last")
+    begins = df.where(F.col(label) == start).groupBy(by).agg(F.min("idx").alias("_first"))
+    begins = staged(begins, "begins")
+    later = beside(df.where(F.col(label) == end).select(by, "idx"), begins, [by]).where(F.col("idx") > F.col("_first"))
+    ends = staged(later.groupBy(by).agg(F.min("idx").alias("_last")), "ends")
+    return beside(df, beside(begins, ends, [by], "left"), [by]).where((F.col("idx") >= F.col("_first")) & (F.col("_last").isNull() | (F.col("idx") < F.col("_last")))).drop("_first", "_last")
 
 
 def parse_markers(df: DataFrame, prefix: str, by: str = "stream") -> DataFrame:
     """Markers that begin with a prefix: the label without it, and seconds since the stream's first row to two digits, half to even."""
-    hundredths = F.expr(f"timestampdiff(MICROSECOND, min(ts) over (partition by {by}), ts)") / 1e4
-    return df.withColumn("seconds", F.bround(hundredths, 0) / 100).where(F.col("label").startswith(prefix)).withColumn("word", F.trim(F.expr(f"substring(label, {len(prefix) + 1})")))
+    begins = staged(df.groupBy(by).agg(F.min("ts").alias("_begin")), "begins")
+    found = beside(df.where(F.col("label").startswith(prefix)), begins, [by])
+    hundredths = F.expr("timestampdiff(MICROSECOND, _begin, ts)") / 1e4
+    return found.withColumn("seconds", F.bround(hundredths, 0) / 100).drop("_begin").withColumn("word", F.trim(F.expr(f"substring(label, {len(prefix) + 1})")))
 
 
 def common_duration(df: DataFrame, by: str = "stream") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import sized, staged
+from .staging import beside, staged
 
 #: Parts of a range, and values that are looked at together.
 BINS, SMALL = 1024, 4096
@@ -25,15 +25,6 @@ def _power(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
 
-def _with(rows: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rows joined with a small table on keys, null being a key as well."""
-    right = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(sized(right), same).drop(*(f"_{k}" for k in keys))
-
-
 def _counts(rows: DataFrame, by: Sequence[str], bin_: Column) -> DataFrame:
     return rows.groupBy(*by, bin_.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
@@ -77,7 +68,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str | Column, wa
 
     def within(at: DataFrame) -> DataFrame:
         nodes = at.select(*keys, "_off", "_lo", "_hi").distinct()
-        return _with(rows, nodes, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        return beside(rows, nodes, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
     while not large.isEmpty():
         part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))

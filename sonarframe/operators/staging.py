@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +36,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def sized(df: DataFrame, most: int = FEW) -> DataFrame:
     """A small or staged table to be joined with: broadcast if it has `most` rows or fewer, else met in a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def beside(rows: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of a small table, staged or cheap, that has a row for each of keys; null is a key as well."""
+    right = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rows.join(sized(right), same, how).drop(*(f"_{k}" for k in keys))

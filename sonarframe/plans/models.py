@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import clock, dtw, frames, lda, quantize, statistics
+from ..operators.staging import beside
 from ..sources.views import signal, wide_frames
 from .registry import FRAMES, SIGNAL, query
 
@@ -67,8 +68,8 @@ def activation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock measurements of each stream: an offset that drifts, with outliers, and a clock that starts anew half-way."""
     s = signal(spark, sf_dir)
-    n = F.count("*").over(Window.partitionBy("stream"))
-    late = F.col("idx") * 2 >= n
+    s = beside(s, frames.lengths(s, "stream"), ["stream"])
+    late = F.col("idx") * 2 >= F.col("_n")
     t = F.when(late, F.col("idx") * 5.0 - 10_000).otherwise(F.col("idx") * 5.0)
     offset = t * 1e-5 + F.when(late, 500.0).otherwise(2.0) + F.when(F.col("label") == "error", 0.05).otherwise(0.0)
     return s.select("stream", F.col("idx").alias("seq"), t.alias("t"), offset.alias("offset"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import experiment, frames, joins, select
+from ..operators.staging import beside
 from ..sources import sessions
 from ..sources.views import signal, table, wide_frames
 from .registry import FRAMES, SIGNAL, SPEC, query
@@ -238,10 +239,8 @@ def kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SIGNAL}, n AS (SELECT stream, count(*) AS n FROM signal GROUP BY stream) SELECT stream, ((idx - 17) % n + n) % n AS idx, v FROM signal JOIN n USING (stream)")
 def circular_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("stream"))
-    return frames.rotated(signal(spark, sf_dir).withColumn("n", n), 17, F.col("n")).select("stream", "idx", "v")
+    s = signal(spark, sf_dir)
+    return frames.rotated(beside(s, frames.lengths(s, "stream", "n"), ["stream"]), 17, F.col("n")).select("stream", "idx", "v")
 
 
 @query(f"WITH {SIGNAL} SELECT stream, idx // 16 AS block, round(sum(v), 6) AS total, first(v ORDER BY idx) AS head, last(v ORDER BY idx) AS tail FROM signal GROUP BY stream, idx // 16 HAVING count(*) = 16")
