@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,41 +27,61 @@ def speech_seconds(voiced: DataFrame, trials: DataFrame, shift: float, by: str =
     return inside.groupBy(by).agg((F.count_if(counted & F.col("inside")) * shift).alias("in_trials"), (F.count_if(counted & ~F.col("inside")) * shift).alias("in_rest"))
 
 
-def reconstructed(df: DataFrame, x: str, y: str, k: int = 10, levels: int = 9, run: int = 0, seed: int = 0, features: int | None = None) -> DataFrame:
+#: Bytes of models that are fitted, and sent out, together.
+MODELS = 64 << 20
+
+
+def reconstructed(df: DataFrame, x: str, y: str, k: int = 10, levels: int = 9, run: int | Sequence[int] = 0, seed: int = 0, features: int | None = None) -> DataFrame:
     """frame, fold, run, orig, reco of a cross-validation in k contiguous folds of frames (frame, x, y; numbered from 0).
 
     Each fold's codebook, feature choice and models come from the other folds; a job each makes those of all
-    folds together.  With run > 0 the features are rotated against the targets by a seeded number of frames, which
-    breaks what they have in common.
+    folds, and of all runs, together.  With run > 0 the features are rotated against the targets by a seeded number of
+    frames, which breaks what they have in common.  Of many runs, those go together whose models are within MODELS bytes.
     """
+    runs = [run] if isinstance(run, int) else list(run)
     n = df.count()
-    both = df.select("frame", F.col(x).alias("x"), F.col(y).alias("y"))
-    if run and n:
-        turn = int(np.random.default_rng([seed, run]).integers(0, n))
-        moved = frames.rotated(both.select("frame", "x"), turn, F.lit(n), "frame")
-        both = moved.join(both.select("frame", "y"), "frame")
-    both = frames.folds(both, k)
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: p != F.col("fold"))).alias("part")
-
+    both = frames.folds(df.select("frame", F.col(x).alias("x"), F.col(y).alias("y")), k)
     ranges = both.select("fold", F.posexplode("y").alias("bin", "v")).groupBy("fold", "bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: p != F.col("fold"))).alias("part")
     cells = ranges.select(others, "bin", "lo", "hi").groupBy(F.struct("part", "bin").alias("cell")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     book = sorted(quantize.logistic_from_ranges(cells, levels, "cell").collect())  # a row for each fold and bin
+    width = features or (both.select(F.max(F.size("x"))).first()[0] or 0)
+    at_once = max(1, MODELS // max(1, 8 * levels * (width + 1) * len(book)))
+    turns = {r: int(np.random.default_rng([seed, r]).integers(0, n)) if r and n else 0 for r in runs}
+    out = None
+    for lo in range(0, len(runs), at_once):
+        some = _reconstructed(both, {r: turns[r] for r in runs[lo : lo + at_once]}, n, k, book, features)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _reconstructed(both: DataFrame, turns: dict[int, int], n: int, k: int, book: list, features: int | None) -> DataFrame:
+    """The runs of these turns, whose folds are told apart as cells: k for each run."""
 
     def by_part(column: str) -> Column:
         return F.array(*(F.array(*(F.array(*map(F.lit, r[column])) for r in book if r["cell"]["part"] == p)) for p in range(k)))
 
-    rest = both.select("frame", "x", "y", others)
+    number = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r).alias("run"), F.lit(t).cast("bigint").alias("turn")) for i, (r, t) in enumerate(turns.items())))).alias("_run")
+    if any(turns.values()):
+        sides = both.select("frame", "fold", "y", number)
+        sides = sides.withColumn("_from", F.pmod(F.col("frame") + F.col("_run.turn"), F.lit(n)))
+        both = sides.join(both.select(F.col("frame").alias("_from"), "x"), "_from")
+    else:
+        both = both.select("frame", "fold", "x", "y", number)
+    both = both.select("frame", F.col("_run.run").alias("run"), "fold", "x", "y", (F.col("_run.i") * k + F.col("fold")).alias("cell"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: p != F.col("fold"))).alias("part")
+    rest = both.select("frame", "x", "y", (F.col("cell") - F.col("fold")).alias("_first"), others).withColumn("cell", F.col("_first") + F.col("part"))
     if features is not None:
-        chosen = select_features_by(rest, "part", features)
-        picks = F.array(*(F.array(*map(F.lit, chosen.get(p, []))).cast("array<int>") for p in range(k)))
-        picked = lambda df, part: df.withColumn("x", F.transform(F.get(picks, F.col(part).cast("int")), lambda i: F.get("x", i)))
-        rest, both = picked(rest, "part"), picked(both, "fold")
+        chosen = select_features_by(rest, "cell", features)
+        picks = F.array(*(F.array(*map(F.lit, chosen.get(p, []))).cast("array<int>") for p in range(k * len(turns))))
+        picked = lambda df: df.withColumn("x", F.transform(F.get(picks, F.col("cell").cast("int")), lambda i: F.get("x", i)))
+        rest, both = picked(rest), picked(both)
     borders, medians = (by_part(c) for c in ("borders", "medians"))
     coded = rest.withColumn("levels", F.transform("y", lambda v, i: quantize.level(v, F.get(F.get(borders, F.col("part")), i))))
-    models = lda.fit_by(coded, "part", "x", "levels")
-    found = lda.predicted(both.select("frame", "fold", "x", "y"), "x", models, "fold")
+    models = lda.fit_by(coded, "cell", "x", "levels")
+    found = lda.predicted(both, "x", models, "cell")
     reco = F.transform("predicted", lambda c, i: F.get(F.get(F.get(medians, F.col("fold").cast("int")), i), c.cast("int")))
-    return found.select("frame", "fold", F.lit(run).alias("run"), F.col("y").alias("orig"), reco.alias("reco"))
+    return found.select("frame", "fold", "run", F.col("y").alias("orig"), reco.alias("reco"))
 
 
 def select_features_by(df: DataFrame, by: str, k: int, x: str = "x", y: str = "y") -> dict[int, list[int]]:

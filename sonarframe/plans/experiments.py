@@ -29,10 +29,7 @@ def experiment_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def experiment_chance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with features rotated against targets, over some runs."""
-    runs = [experiment.reconstructed(decoding(spark, sf_dir), "x", "y", FOLDS, run=r) for r in range(1, RUNS + 1)]
-    reco = runs[0]
-    for more in runs[1:]:
-        reco = reco.unionByName(more)
+    reco = experiment.reconstructed(decoding(spark, sf_dir), "x", "y", FOLDS, run=range(1, RUNS + 1))
     return experiment.over_runs(experiment.correlations(reco, "run"), "bin")
 
 

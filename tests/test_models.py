@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from sonarframe.operators import dtw, features, lda, statistics
+from sonarframe.operators import dtw, experiment, features, lda, statistics
 
 
 def by_table(query, reference):
@@ -101,3 +101,23 @@ def test_activations_are_the_patterns_behind_the_weights(spark):
     selected = [names[k] for k in (7, 0, 14, 3, 9)]
     grid = {(r["channel"], r["lag"]): r["activation"] for r in lda.activation_rows(spark, got, selected, ["LB1", "L-2", "LC"]).collect()}
     assert len(grid) == 15 and grid["LB1", 4] == got[1] and grid["L-2", 2] == got[0] and grid["LC", 0] == got[2] and sum(v != 0 for v in grid.values()) == 5
+
+
+@pytest.mark.parametrize("features", [None, 3])
+def test_runs_together_equal_runs_one_by_one(spark, monkeypatch, features):
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(203, 2))
+    x = np.column_stack([y + 0.2 * rng.normal(size=y.shape), rng.normal(size=(203, 3))])
+    df = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(x, y, strict=True))], "frame bigint, x array<double>, y array<double>").cache()
+    told = lambda found: {(r["run"], r["frame"]): (r["fold"], r["orig"], r["reco"]) for r in found.collect()}
+    runs = [0, 3, 8]
+    together = told(experiment.reconstructed(df, "x", "y", 4, 5, run=runs, features=features))
+    assert len(together) == 3 * 203
+    one = {}
+    for r in runs:
+        one |= told(experiment.reconstructed(df, "x", "y", 4, 5, run=r, features=features))
+    assert together == one
+    monkeypatch.setattr(experiment, "MODELS", 1)  # each by itself
+    assert told(experiment.reconstructed(df, "x", "y", 4, 5, run=runs, features=features)) == one
+    r = lambda run: np.corrcoef([v[1][0] for k, v in sorted(together.items()) if k[0] == run], [v[2][0] for k, v in sorted(together.items()) if k[0] == run])[0, 1]
+    assert r(0) > 0.6 and abs(r(3)) < 0.4 and abs(r(8)) < 0.4
