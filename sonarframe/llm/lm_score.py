@@ -35,8 +35,8 @@ from .textbytes import ALNUM, combine, mix, slices, words
 PRIOR, HALF = 0.5, 20.0
 #: Bytes of text whose keys are made distinct together.
 SLICE = 4 << 20
-#: Ranges of keys there are at least; more with more shuffle partitions.
-PARTS = 64
+#: Ranges of keys there are at least (more with more shuffle partitions), and slices for each range: a slice of 4 MB has some 9 MB of keys and counts, so a range gets some 72 MB however many slices there are.
+PARTS, SLICES = 64, 8
 
 _END = mix(np.array([0x2545F4914F6CDD1D], dtype=np.uint64))[0]
 
@@ -96,7 +96,6 @@ def scored(documents: DataFrame, in_target: Column, *keep: str, in_background: C
     a score of 0; so has every row if either model is empty.  Repeated rows each count and are scored
     by each other.  Without rows the result is empty.
     """
-    parts = max(PARTS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fields = [f for f in documents.schema if f.name in keep]
     names = [f.name for f in fields]
     marks = ["_background", "_target"]
@@ -145,6 +144,7 @@ def scored(documents: DataFrame, in_target: Column, *keep: str, in_background: C
     text = F.col("text").cast("string").alias("_text")
     member = [F.coalesce(F.lit(True) if m is None else m, F.lit(False)).alias(c) for m, c in zip((in_background, in_target), marks, strict=True)]
     docs = written(small_batches(documents.select(*names, text, *member)).mapInArrow(cut, StructType([*fields, *StructType.fromDDL("_text string, _background boolean, _target boolean, _slice long, _at int")])), "sliced")
+    parts = max(PARTS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select("_slice").distinct().count() // SLICES)
     asked = docs.select("_text", *marks, "_slice", "_at").mapInArrow(ask, "_slice long, _at int, rows int, part int, keys binary, background binary, target binary")
     answers = written(asked.groupBy("part").applyInArrow(answer, "_slice long, _at int, rows int, part int, background binary, target binary, kinds long, n_background long, n_target long"), "answers")
     kinds, *n = (float(x) for x in answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "n_background", "n_target"))).first())

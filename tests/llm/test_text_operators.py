@@ -471,6 +471,21 @@ def test_scores_equal_models_by_definition(spark, words, length):
         assert got[k]["n_words"] == len(texts[k]) and math.isclose(got[k]["score"], np.mean(want), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_scores_do_not_depend_on_slices_and_ranges(spark, monkeypatch):
+    """More slices make more ranges, and the same scores."""
+    rng = np.random.default_rng(9)
+    docs = table(spark, [(k, prose(rng, 60)) for k in range(80)] + [(None, None), (90, "")])
+    told = lambda: {r["doc_id"]: (r["n_words"], round(r["score"], 9)) for r in lm_score.scored(docs, F.col("doc_id") % 3 == 1, "doc_id").collect()}
+    want = told()
+    monkeypatch.setattr(lm_score, "SLICE", 1000)
+    monkeypatch.setattr(lm_score, "SLICES", 1)
+    monkeypatch.setattr(lm_score, "PARTS", 1)
+    assert told() == want
+    monkeypatch.setattr(lm_score, "SLICES", 1 << 30)
+    assert told() == want
+    assert list(lm_score._cuts(np.array([1, 1 << 63], dtype=np.uint64), 2)) == [(0, slice(0, 1)), (1, slice(1, 2))]
+
+
 def test_size_does_not_tell_in_the_score(spark):
     """Target and background alike, the target a twentieth of it: scores are about 0."""
     rng = np.random.default_rng(15)
