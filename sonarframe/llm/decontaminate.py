@@ -7,13 +7,13 @@ through the index together; the rank queries go to a wavelet matrix over the Bur
 Suffix positions are kept for every 16th word of a run, its first included, so that locating an occurrence
 takes 15 steps at most and never leaves its run.  The occurrences of a document are merged to spans.
 
-The benchmark goes out in blocks of at most BLOCK_CHARS characters, each a broadcast of bounded size; with
+The benchmark goes out in blocks of about BLOCK_CHARS characters, each a broadcast of flat arrays, some five bytes a character; with
 more than one block, the documents are numbered and written, read once for each block, and the spans of a row are merged after.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .shared import small_batches, written
-from .textbytes import ALNUM, slices, words
+from .textbytes import ALNUM, combine, mix, slices, words
 
 WINDOW = 13
 SAMPLE = 16
 SHARD_BYTES = 8 << 20
 BLOCK_CHARS = 32 << 20
+#: Windows that walk through an index together.
+TOGETHER = 1 << 18
 
 
 class Bits:
@@ -123,19 +125,19 @@ class FmIndex:
         marked = ((in_run % SAMPLE) == 1)[order]
         self.marks, self.sampled = Bits(marked), order[marked]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For phrases of one length (a row each): the rows of the suffixes that begin with them, as (first, end)."""
-        first = np.zeros(len(phrases), dtype=np.int64)
-        end = np.full(len(phrases), self.n, dtype=np.int64)
-        alive = np.arange(len(phrases))
-        for k in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[alive, k]
+    def search(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For phrases of one length, by where they start in a text: the rows of the suffixes that begin with them, as (first, end)."""
+        first = np.zeros(len(starts), dtype=np.int64)
+        end = np.full(len(starts), self.n, dtype=np.int64)
+        alive = np.arange(len(starts))
+        for k in range(size - 1, -1, -1):
+            c = text[starts[alive] + k].astype(np.int64)
             both = self.tree.rank(np.concatenate([c, c]), np.concatenate([first[alive], end[alive]]))
             first[alive], end[alive] = self.less[c] + both[: len(c)], self.less[c] + both[len(c) :]
             alive = alive[first[alive] < end[alive]]
             if not len(alive):
                 break
-        dead = np.ones(len(phrases), dtype=bool)
+        dead = np.ones(len(starts), dtype=bool)
         dead[alive] = False
         end[dead] = first[dead]
         return first, end
@@ -156,28 +158,43 @@ class FmIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, ready for a search."""
+    """The windows of a block of benchmark items, ready for a search, in flat arrays.
+
+    words: the numbers of all items' words; a window is a place in them.  groups has, for each length, the places of the
+    distinct windows and the items that have them: those from ends[k] to ends[k + 1] of the last array have window k.
+    """
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         texts = [(str(i), (t or "").encode()) for i, t in items if i is not None]
         data = np.frombuffer(b"".join(t for _, t in texts), dtype=np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])]).astype(np.int64)
         hashes, _, first = words(data, offsets, ALNUM) if len(texts) else (np.zeros(0, np.uint64), None, np.zeros(1, np.int64))
+        self.names = [i for i, _ in texts]
         self.vocabulary = np.unique(hashes)
-        numbers = np.searchsorted(self.vocabulary, hashes) + 1
-        at: dict[tuple, set[str]] = {}
-        for k, (item, _) in enumerate(texts):
-            own = numbers[first[k] : first[k + 1]].tolist()
-            for j in range(max(1, len(own) - window + 1) if own else 0):
-                at.setdefault(tuple(own[j : j + window]), set()).add(item)
-        self.groups = []
-        for size in sorted({len(p) for p in at}):
-            own = [p for p in at if len(p) == size]
-            self.groups.append((np.array(own, dtype=np.int64), [at[p] for p in own]))
-        self.shortest = min((len(p) for p in at), default=0)
-
-    def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[set[str]]]]:
-        """For each length of phrases: the first words of all occurrences, the length, which phrase each is, the items of the phrases."""
+        self.words = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
+        n = np.diff(first)
+        length = np.minimum(n, window)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == size)
+            count = n[own] - size + 1
+            starts = (np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))).astype(np.int32)
+            # equal windows are told by two hashes of their words
+            a, b = hashes[starts], mix(hashes[starts])
+            for k in range(1, size):
+                a, b = combine(a, hashes[starts + k]), combine(b, ~hashes[starts + k])
+            order = np.lexsort((b, a))
+            new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+            ends = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
+            self.groups.append((size, starts[order[new]], ends, np.repeat(own, count)[order].astype(np.int32)))
+        self.shortest = self.groups[0][0] if self.groups else 0
+
+    @property
+    def nbytes(self) -> int:
+        return self.vocabulary.nbytes + self.words.nbytes + sum(x.nbytes for g in self.groups for x in g[1:])
+
+    def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, Callable[[int], list[str]]]]:
+        """For each length of phrases, and so many of them together: the first words of all occurrences, the length, which phrase each is, and what gives a phrase's items."""
         if not len(hashes) or not self.shortest:
             return
         number = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -199,14 +216,15 @@ class Phrases:
         word_of[np.repeat(place - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = inside
         seq = np.where(word_of >= 0, number[np.maximum(word_of, 0)] + 1, 0)
         index = FmIndex(seq, len(self.vocabulary) + 1)
-        for phrases, items in self.groups:
-            lo, hi = index.search(phrases)
-            hit = np.flatnonzero(lo < hi)
-            count = (hi - lo)[hit]
-            total = int(count.sum())
-            if total:
-                rows = np.repeat(lo[hit] - np.cumsum(count) + count, count) + np.arange(total)
-                yield word_of[index.locate(rows)], phrases.shape[1], np.repeat(hit, count), items
+        for length, places, ends, items in self.groups:
+            for lo in range(0, len(places), TOGETHER):
+                begin, end = index.search(self.words, places[lo : lo + TOGETHER], length)
+                hit = np.flatnonzero(begin < end)
+                count = (end - begin)[hit]
+                total = int(count.sum())
+                if total:
+                    rows = np.repeat(begin[hit] - np.cumsum(count) + count, count) + np.arange(total)
+                    yield word_of[index.locate(rows)], length, np.repeat(hit + lo, count), lambda k, ends=ends, items=items: [self.names[i] for i in items[ends[k] : ends[k + 1]]]
 
 
 def spans(documents: DataFrame, items: list[tuple], *keep: str, window: int = WINDOW) -> DataFrame:
@@ -228,7 +246,7 @@ def spans(documents: DataFrame, items: list[tuple], *keep: str, window: int = WI
                     np.add.at(change, at + size, -1)
                     doc = np.searchsorted(first, at, side="right") - 1
                     for d, p in np.unique(np.stack([doc, which]), axis=1).T.tolist():
-                        found.setdefault(d, set()).update(names[p])
+                        found.setdefault(d, set()).update(names(p))
                 hit = np.cumsum(change[:-1]) > 0
                 rows: list[list[dict]] = [[] for _ in range(hi - lo)]
                 for d in found:

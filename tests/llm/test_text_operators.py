@@ -471,6 +471,23 @@ def test_scores_equal_models_by_definition(spark, words, length):
         assert got[k]["n_words"] == len(texts[k]) and math.isclose(got[k]["score"], np.mean(want), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_windows_are_flat_arrays(monkeypatch):
+    """What is sent of a block is bounded by its characters, and searching in parts finds the same."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 2000)) for _ in range(60)]
+    items = [(k, t) for k, t in enumerate(texts)] + [("short", "w1 w2"), ("again", texts[3]), (None, "w1"), ("none", None)]
+    sent = decontaminate.Phrases(items)
+    chars = sum(len(t or "") for _, t in items)
+    assert chars > 500_000 and sent.nbytes < 8 * chars  # 256 MB for a full block
+    own = texts[3].split()
+    by_hash = np.array([decontaminate.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in ["x", *own[100:140], "y", "w1", "w2"]], dtype=np.uint64)
+    told = lambda: sorted((int(a), size, tuple(sorted(names(k)))) for at, size, which, names in sent.occurrences(by_hash, np.array([0, len(by_hash)])) for a, k in zip(at, which))
+    want = [(1 + k, 13, ("3", "again")) for k in range(28)] + [(42, 2, ("short",))]
+    assert told() == sorted(want)
+    monkeypatch.setattr(decontaminate, "TOGETHER", 1000)
+    assert told() == sorted(want)
+
+
 def test_scores_do_not_depend_on_slices_and_ranges(spark, monkeypatch):
     """More slices make more ranges, and the same scores."""
     rng = np.random.default_rng(9)
