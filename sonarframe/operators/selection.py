@@ -70,13 +70,15 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str | Column, wa
         nodes = at.select(*keys, "_off", "_lo", "_hi").distinct()
         return beside(rows, nodes, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
+    rounds = 0
     while not large.isEmpty():
+        rounds += 1
         part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
         counts = _counts(within(large), by, part)
         at = staged(_found(large, counts, by, keys), "ranges")
         done = done.unionByName(at.where("_lo = _hi").select(*keys, "k", F.col("_lo").alias("v"), F.col("_off").alias("less"), F.col("_n").alias("equal")))
         few, large = few.unionByName(at.where(f"_lo < _hi and _n <= {small}")), at.where(f"_lo < _hi and _n > {small}")
-    few = staged(few, "few")
+    few = staged(few, "few") if rounds else few
     if few.isEmpty():
         return done
     lists = within(few).groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_all"))  # of `small` values at most
