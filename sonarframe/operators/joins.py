@@ -22,15 +22,17 @@ def nearest(probes: DataFrame, grid: DataFrame, by: str = "stream", at: str = "t
     both = a.unionByName(b, allowMissingColumns=True).join(cuts, F.col(by).eqNullSafe(F.col("_by")), "left")
     both = both.withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(at))), F.lit(0))).drop("_by", "_cuts")
     at_grid = F.when(F.col("_g").isNotNull(), F.col(at))
-    both = carried(both, "_before", F.max_by("_g", at_grid), lambda w: F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), by)
-    both = carried(both, "_after", F.min_by("_g", at_grid), lambda w: F.first("_after", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), by)
+    ends = F.struct(F.max_by("_g", at_grid).alias("last"), F.min_by("_g", at_grid).alias("first"))
+    before = lambda w: F.last("_ends.last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = lambda w: F.first("_ends.first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    both = carried(both, "_ends", ends, lambda w: F.struct(before(w).alias("before"), after(w).alias("after")), by)
     w = Window.partitionBy(by, "_block").orderBy(at, "_side")
     both = both.withColumns({
-        "_b": F.coalesce(F.last("_g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before")),
-        "_a": F.coalesce(F.first("_g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_after")),
+        "_b": F.coalesce(F.last("_g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_ends.before")),
+        "_a": F.coalesce(F.first("_g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_ends.after")),
     })
     earlier = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col(at) - F.col("_b.at") <= F.col("_a.at") - F.col(at)))
-    return both.where("_side = 1").withColumn("hit", F.when(earlier, F.col("_b.hit")).otherwise(F.col("_a.hit"))).drop("_side", "_g", "_b", "_a", "_block", "_before", "_after")
+    return both.where("_side = 1").withColumn("hit", F.when(earlier, F.col("_b.hit")).otherwise(F.col("_a.hit"))).drop("_side", "_g", "_b", "_a", "_block", "_ends")
 
 
 def in_intervals(samples: DataFrame, intervals: DataFrame, by: str = "stream", bucket: int = 64) -> DataFrame:

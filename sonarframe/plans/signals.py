@@ -99,7 +99,7 @@ r AS (SELECT p.stream, p.event_id, p.t, gt, row_number() OVER (PARTITION BY p.ev
 SELECT stream, event_id, gt AS hit FROM r WHERE k = 1""")
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view that is nearest to each purchase of a user; of two as near ones the earlier."""
-    s = signal(spark, sf_dir).withColumn("t", seconds())
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), "event_id", F.col("event_type").alias("label"), seconds().alias("t"))
     return joins.nearest(s.where("label = 'purchase'").select("stream", "event_id", "t"), s.where("label = 'view'").select("stream", "t")).select("stream", "event_id", "hit")
 
 
