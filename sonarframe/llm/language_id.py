@@ -1,13 +1,16 @@
 """Language identification by prediction by partial matching (PPM).
 
 Each language has a context tree over bytes, of contexts of up to ORDER bytes, with the counts of the bytes that
-followed.  A byte's probability in a context is its share of the counts; unseen bytes are reached by an escape to
-the context that is one byte shorter, with the escape probability of method C (distinct symbols against counts),
-down to the uniform distribution.  The statistics are frozen after training, so the code length of each byte
-is a function of the ORDER bytes before it.  Each language's tree is whole: for each order, sorted arrays of the
-contexts with their escapes and of the (context, byte) pairs with their shares.  What is sent out grows with
-what the training documents hold, of which there is a bounded number for each language, and with nothing else.
-A text's exact code length in a language is the sum over its bytes.
+followed.  A byte is coded in the longest context that is known.  If it was seen there, its probability is its
+share of the counts; else an escape, with the probability of method C (distinct bytes against counts), leads to the
+context that is one byte shorter, where the bytes of the longer one are excluded, and so on down to the uniform
+distribution over the bytes that were never seen.  A byte is thus reached in one way only, and what a context
+gives to all bytes sums to 1 (but for the escape of a context in which every byte was seen).  The statistics are
+frozen after training, so the code length of each byte is a function of the ORDER bytes before it, and what an
+escape excludes is a number that each context keeps.  Each language's tree is whole: for each order, sorted arrays
+of the contexts and of the (context, byte) pairs.  What is sent out grows with what the training documents hold,
+of which there is a bounded number for each language, and with nothing else.  A text's exact code length in a
+language is the sum over its bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import small_batches, written
+from .shared import sized, small_batches, written
 from .textbytes import slices
 
 ORDER = 3
@@ -37,6 +40,10 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def _mask(order: int) -> int:
+    return (1 << 8 * (order + 1)) - 1
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,28 +78,38 @@ def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 class Tree:
     """The tree of one language, from its grams and their counts.
 
-    A level has, of each context, the escape, and of each (context, byte) pair its share of the counts; both are
+    A level has, of each context, how many bytes followed it, its counts and escapes together, and what an escape
+    from it excludes from these in the shorter context; and of each (context, byte) pair the count.  Both are
     sorted by the bytes as a number, so a context's pairs are neighbours.
     """
 
     def __init__(self, gram: np.ndarray, n: np.ndarray):
         self.levels = []
         for order in range(ORDER + 1):
-            own = gram & ((1 << 8 * (order + 1)) - 1)
-            pairs, at = np.unique(own, return_inverse=True)
+            pairs, at = np.unique(gram & _mask(order), return_inverse=True)
             count = np.bincount(at, weights=n, minlength=len(pairs))
             contexts, at, kinds = np.unique(pairs >> 8, return_inverse=True, return_counts=True)
             whole = np.bincount(at, weights=count, minlength=len(contexts)) + kinds
-            self.levels.append((contexts.astype(np.uint32), (kinds / whole).astype(np.float32), pairs.astype(np.uint32), (count / whole[at]).astype(np.float32)))
-
-    def bits(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Code length of the last byte of each gram after those before it; asked has the distinct ends of the grams for each order, and which one each gram has."""
-        p = np.full(len(asked[0][1]), 1 / 257)
-        for (contexts, escape, pairs, share), (own, which) in zip(self.levels, asked, strict=True):
-            at, known = _found(contexts, own >> np.uint32(8))
-            left = np.where(known, escape[at], 1.0)
-            at, seen = _found(pairs, own)
-            p = np.where(seen, share[at], 0.0)[which] + left[which] * p
+            excluded = kinds + (np.bincount(at, weights=last[1][np.searchsorted(last[0], pairs & _mask(order - 1))], minlength=len(contexts)) if order else 0)
+            self.levels.append((contexts.astype(np.uint32), kinds.astype(np.int16), whole, excluded, pairs.astype(np.uint32), count))
+            last = pairs, count
+
+    def bits(self, asked: list[tuple[np.ndarray, np.ndarray | None]]) -> np.ndarray:
+        """Code length of the last byte of each gram after those before it; asked has the distinct ends of the grams for each order, and the place of each end's own end in the order below.
+
+        escaped is the probability that the byte has in the shorter context once an escape from this one led there.
+        """
+        for (contexts, kinds, whole, excluded, pairs, count), (own, shorter) in zip(self.levels, asked, strict=True):
+            context, known = _found(contexts, own >> np.uint32(8))
+            pair, seen = _found(pairs, own)
+            if shorter is None:
+                p = escaped = np.full(len(own), 1 / max(1, 256 - int(kinds[0])))
+            else:
+                left = w[shorter] - excluded[context]  # 0 if the shorter context has no other byte: an escape goes through it
+                escaped = np.where(left > 0, np.where(n[shorter] > 0, n[shorter], (d[shorter] - kinds[context]) * escaped[shorter]) / np.maximum(left, 1), escaped[shorter])
+                p = p[shorter]
+            n, d, w = np.where(seen, count[pair], 0.0), kinds[context].astype(float), whole[context]
+            p = np.where(known, np.where(seen, n, d * escaped) / w, p)
         return -np.log2(p)
 
 
@@ -103,7 +120,7 @@ def _contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for k in range(1, ORDER + 1):
         gram[k:] |= low[: len(low) - k] << (8 * k)
     for j, at in _starts(offsets):
-        gram[at] &= (1 << 8 * (j + 1)) - 1
+        gram[at] &= _mask(j)
     return gram
 
 
@@ -121,7 +138,12 @@ class Trees:
         if not len(data) or not self.languages:
             return out
         grams, at = np.unique(_contexts(data, offsets), return_inverse=True)
-        asked = [np.unique((grams & ((1 << 8 * (order + 1)) - 1)).astype(np.uint32), return_inverse=True) for order in range(ORDER + 1)]
+        asked, own = [], grams.astype(np.uint32)
+        for order in range(ORDER, 0, -1):
+            ends, shorter = np.unique(own & np.uint32(_mask(order - 1)), return_inverse=True)
+            asked.append((own, shorter))
+            own = ends
+        asked = [(own, None), *reversed(asked)]
         full = np.flatnonzero(np.diff(offsets))
         for k, tree in enumerate(self.trees):
             out[full, k] = np.add.reduceat(tree.bits(asked)[at], offsets[:-1][full])
@@ -131,9 +153,9 @@ class Trees:
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Trees:
     """Trees from the rows with a text and a lang; per_language bounds how many documents of each count."""
     known = documents.where("lang is not null and text is not null").select(F.col("doc_id"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    share = [F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["n"])) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
-    drawn = (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / 1_000_000) < F.coalesce(*share, F.lit(0.0))
-    grams = written(_grams(known.where(drawn)), "grams")
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    drawn = (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / 1_000_000) < F.least(F.lit(1.0), per_language / F.col("n"))
+    grams = written(_grams(known.join(sized(counts), "lang").where(drawn)), "grams")
     return Trees(grams.toArrow())
 
 

@@ -343,13 +343,60 @@ def test_language_on_held_out_rows(spark):
     assert len(rows) == 1000 and len(known) > 100 and np.mean([a == b for a, b in known]) > 0.9
 
 
-def test_code_lengths_follow_the_escapes():
-    trees = language_id.Trees([("a", 97, 3), ("a", 98 | 97 << 8, 1), ("b", 98, 2)])
-    assert trees.languages == ["a", "b"]
-    # order 0 of language a: a 3 times, b once; escape 2 / 6, then 1 / 257
-    base = {"a": -math.log2(3 / 6 + 2 / 6 / 257)}
-    got = trees.lengths(np.frombuffer(b"a", dtype=np.uint8), np.array([0, 1]))[0]
-    assert got[0] <= base["a"] + 1e-5 and got[0] < got[1]
+def ppm(counts, context, byte):
+    """Probability of a byte by the coder's own steps: from the longest known context down, each time without the bytes seen above."""
+    p, above = 1.0, set()
+    for order in range(len(context), -1, -1):
+        seen = {b: n for (c, b), n in counts[order].items() if c == context[len(context) - order :]}
+        here = {b: n for b, n in seen.items() if b not in above}
+        if here:
+            whole = sum(here.values()) + len(here)
+            if byte in here:
+                return p * here[byte] / whole
+            p *= len(here) / whole
+        above |= set(seen)
+    return p / (256 - len(above))
+
+
+def ppm_counts(texts, order=3):
+    """By order, how often a byte followed a context; before a text there are zeros."""
+    counts = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        whole = b"\0" * order + text
+        for k in range(order, len(whole)):
+            for m in range(order + 1):
+                counts[m][whole[k - m : k], whole[k]] += 1
+    return counts
+
+
+def grams_of(texts):
+    return Counter(int.from_bytes(t[max(0, k - 3) : k + 1], "big") for t in texts for k in range(len(t)))
+
+
+def bits_of(trees, text):
+    return trees.lengths(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[0]
+
+
+def test_code_lengths_are_those_of_a_coder_that_escapes_and_excludes():
+    rng = np.random.default_rng(11)
+    seen = [prose(rng, 30).lower().encode() for _ in range(6)] + [b"aaaa", b"abab", b"a"]
+    counts = ppm_counts(seen)
+    trees = language_id.Trees([("x", g, n) for g, n in grams_of(seen).items()])
+    for text in (seen[0], b"aaab", b"zzzz", b"river of \xff\xfe", b"a", prose(rng, 20).lower().encode(), bytes(rng.integers(128, 256, 50).tolist())):
+        whole = b"\0\0\0" + text
+        want = -sum(math.log2(ppm(counts, whole[k - 3 : k], whole[k])) for k in range(3, len(whole)))
+        assert math.isclose(bits_of(trees, text)[0], want, rel_tol=1e-9), text
+
+
+def test_what_a_context_gives_to_all_bytes_sums_to_one():
+    rng = np.random.default_rng(13)
+    trees = language_id.Trees([("x", g, n) for g, n in grams_of([prose(rng, 60).lower().encode(), b"aaaa"]).items()])
+    # capitals are coded as small letters: their own 26 codes are as likely as that of a byte never seen
+    small = [b for b in range(256) if not 65 <= b <= 90]
+    for context in (b"riv", b"zzz", b" st", b"aaa", b"\xff\xfea"):
+        before = bits_of(trees, context)[0]
+        given = {b: 2 ** (before - bits_of(trees, context + bytes([b]))[0]) for b in small}
+        assert math.isclose(sum(given.values()) + 26 * given[1], 1, rel_tol=1e-6), context
 
 
 def test_small_languages_keep_their_trees():
@@ -357,18 +404,15 @@ def test_small_languages_keep_their_trees():
     rng = np.random.default_rng(12)
     big = [("big", int(g), 50) for g in np.unique(rng.integers(1, 1 << 32, 100_000))]
     text = b"small words of a small language"
-    grams = Counter(int.from_bytes(text[max(0, k - 3) : k + 1], "big") for k in range(len(text)))
-    got = language_id.Trees(big + [("small", g, n) for g, n in grams.items()]).lengths(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[0]
-    bits = 0.0
-    for k in range(len(text)):
-        p = 1 / 257
-        for order in range(4):
-            # before the text there are zeros
-            ends = [(b"\0" * 3 + text)[j + 3 - order : j + 4] for j in range(len(text))]
-            own = Counter(e for e in ends if e[:-1] == ends[k][:-1])
-            p = own[ends[k]] / (own.total() + len(own)) + len(own) / (own.total() + len(own)) * p
-        bits -= math.log2(p)
-    assert math.isclose(got[1], bits, rel_tol=1e-5)
+    got = bits_of(language_id.Trees(big + [("small", g, n) for g, n in grams_of([text]).items()]), text)
+    counts, whole = ppm_counts([text]), b"\0\0\0" + text
+    assert math.isclose(got[1], -sum(math.log2(ppm(counts, whole[k - 3 : k], whole[k])) for k in range(3, len(whole))), rel_tol=1e-9)
+
+
+def test_languages_are_as_many_as_the_column_has(spark):
+    rows = [(i, f"text number {i} of its own", f"l{i % 400}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(language_id.train(docs).languages) == 400
 
 
 def test_quality_tells_junk_from_prose(spark):
