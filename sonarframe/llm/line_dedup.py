@@ -5,7 +5,11 @@ segments, whose lengths depend on n alone.  Of two forms within DISTANCE edits,
 other, unchanged and shifted by a few characters at most, so each form probes the index of the segments
 with those of its substrings that a segment of a form as long, or shorter by up to DISTANCE, could match; the
 positions follow the multi-match rule, which counts the edits to the left and to the right.  Two forms whose
-counts of some letters differ by more than the edits allow are no candidates.  The others are verified
+counts of some letters differ by more than the edits allow are no candidates.  Where more than CROWD forms meet under
+a key, as lines of one template do, their pairs are not made: what all of them have in common at their start and end
+is left out, which changes no distance, and what remains is cut and probed in the same way, so they meet under keys
+of the parts in which they differ.  Keys that are still crowded go another round, without the segment they share;
+after ROUNDS rounds the pairs of what is left follow.  The others are verified
 by a bit-parallel edit distance in a band of 2 * DISTANCE + 1 diagonals, DISTANCE + 1 words of bits
 for each character whatever the line's length.  Equal forms are one class before all this, and forms of fewer
 than LEAST characters only match equal ones.
@@ -19,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import delete, fresh, only, written
+from .shared import delete, fresh, only, sized, written
 
 DISTANCE = 2
 LEAST = 16
+#: Forms that meet under a key before it is divided, and how often it is divided at most; neither changes what is found.
+CROWD, ROUNDS = 64, 6
 #: Frequent letters, whose counts tell most candidates apart before they are made.
 LETTERS = "etaoinsrlhdcumpg"
 
@@ -70,6 +76,61 @@ def keys(units: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
     return F.array(*(key(*p) for p in probes(d)))
 
 
+def remainders(text: str | Column, n: str | Column, d: int = DISTANCE) -> Column:
+    """An array of structs (key, entry, rest) for each of probes(d), as keys() has them: rest is the text without the segment.
+
+    If two texts are within d edits and meet in a segment that no edit touches, so are their rests.
+    """
+    text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
+
+    def part(i: int, less: int, k: int, shift: int) -> Column:
+        m = n - less
+        start, size = segment(m, F.lit(k), d)
+        at = start + shift
+        key = F.when((m >= 0) & (at >= 0) & (at + size <= n), F.xxhash64(m, F.lit(k), F.substring(text, at + 1, size)))
+        return F.struct(key.alias("key"), F.lit(i <= d).alias("entry"), F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + size + 1, n)).alias("rest"))
+
+    return F.array(*(part(i, *p) for i, p in enumerate(probes(d))))
+
+
+def _shared(a: str, b: str) -> Column:
+    """How many first characters two texts have in common."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    return F.when(F.col(a) == F.col(b), F.length(a)).otherwise(F.array_position(same, F.lit(False)).cast("int") - 1)
+
+
+def _meeting(keyed: DataFrame) -> DataFrame:
+    """key and how many rows, of the keys under which different ids meet, one of them by an entry."""
+    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("entry").alias("entry"), F.count("*").alias("many"))
+    return met.where("entry and lo <> hi").select("key", "many")
+
+
+def _divided(members: DataFrame, d: int) -> DataFrame:
+    """key, id, entry: keys for the rows (key, id, rest) of crowded keys, under which all meet whose rests are within d edits.
+
+    Of each key's texts, the least and the greatest have at their start what all have, and likewise reversed at the end.
+    """
+    found = []
+    for left in reversed(range(ROUNDS)):
+        back = F.reverse("rest")
+        ends = members.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("e"), F.min(F.length("rest")).alias("n"))
+        ends = written(ends.select("key", "n", _shared("a", "b").alias("head"), _shared("c", "e").alias("tail")), "ends")
+        bare = members.join(sized(ends.select("key", "head", F.least("tail", F.col("n") - F.col("head")).alias("tail"))), "key")
+        bare = bare.select("key", "id", F.expr("substring(rest, head + 1, length(rest) - head - tail)").alias("rest")).withColumn("n", F.length("rest"))
+        keyed = bare.select("key", "id", F.explode_outer(remainders("rest", "n", d)).alias("part")).where("part.key is not null")
+        keyed = keyed.select(F.xxhash64("key", "part.key").alias("key"), "id", "part.entry", "part.rest")
+        met = written(_meeting(keyed), "met")
+        rows = written(only(keyed, met, "key"), "divided")
+        found.append(rows)
+        crowded = met.where(F.col("many") > CROWD)
+        if not left or crowded.isEmpty():
+            break
+        crowded = written(crowded.select("key"), "crowded")
+        found[-1] = rows.join(sized(crowded), "key", "left_anti")
+        members = written(only(rows, crowded, "key").select("key", "id", "rest").distinct(), "members")
+    return reduce(DataFrame.union, [rows.select("key", "id", "entry") for rows in found]).groupBy("key", "id").agg(F.max("entry").alias("entry"))
+
+
 def letters(text: str | Column, n: str | Column) -> Column:
     """How often each of LETTERS is in the text, modulo 16, four bits for each."""
     text, n = (F.col(c) if isinstance(c, str) else c for c in (text, n))
@@ -142,9 +203,14 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     keyed = known.select("id", F.encode("form", "UTF-32").alias("units"), "n").select("id", keys("units", "n", d).alias("keys"))
     keyed = keyed.select("id", F.posexplode_outer("keys").alias("probe", "key")).where("key is not null").select("key", "id", (F.col("probe") <= d).alias("entry"))
     # keys on which different forms meet are few; only their forms go on
-    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("entry").alias("entry")).where("entry and lo <> hi")
-    met = written(met.select("key"), "met")
+    met = written(_meeting(keyed), "met")
     sides = written(only(keyed, met, "key").groupBy("key", "id").agg(F.max("entry").alias("entry")), "sides")
+    crowded = met.where(F.col("many") > CROWD)
+    if not crowded.isEmpty():
+        crowded = written(crowded.select("key"), "crowded")
+        some = written(only(sides, crowded, "key").select("key", "id"), "ids")
+        members = written(some.join(only(known, some, "id").groupBy("id").agg(F.first("form").alias("rest")), "id").select("key", "id", "rest"), "members")
+        sides = written(sides.join(sized(crowded), "key", "left_anti").select("key", "id", "entry").union(_divided(members, d)), "sides")
     texts = only(known, sides, "id").groupBy("id").agg(F.first("form").alias("form"))
     texts = written(texts.withColumn("n", F.length("form")).select("id", letters("form", "n").alias("letters"), F.split("form", "").alias("chars")), "texts")
     a, b = (side.join(texts.select("id", "letters"), "id").select("key", F.col("id").alias(name), F.col("letters").alias(f"l{name}")) for side, name in ((sides.where("entry"), "a"), (sides, "b")))
