@@ -99,36 +99,40 @@ def _shared(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.length(a)).otherwise(F.array_position(same, F.lit(False)).cast("int") - 1)
 
 
-def _meeting(keyed: DataFrame) -> DataFrame:
-    """key and how many rows, of the keys under which different ids meet, one of them by an entry."""
-    met = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("entry").alias("entry"), F.count("*").alias("many"))
-    return met.where("entry and lo <> hi").select("key", "many")
+def _meeting(keyed: DataFrame, *by: str) -> DataFrame:
+    """key, how many rows and how many meetings (of an entry with a row), of the keys under which different ids meet."""
+    entries = F.sum(F.col("entry").cast("long"))
+    met = keyed.groupBy(*by, "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("many"), (F.count("*") * entries).alias("meetings"))
+    return met.where("meetings > 0 and lo <> hi").select(*by, "key", "many", "meetings")
 
 
 def _divided(members: DataFrame, d: int) -> DataFrame:
-    """key, id, entry: keys for the rows (key, id, rest) of crowded keys, under which all meet whose rests are within d edits.
+    """key, id, entry: keys for the rows (key, id, entry, rest) of crowded keys, under which all meet whose rests are within d edits.
 
     Of each key's texts, the least and the greatest have at their start what all have, and likewise reversed at the end.
+    A key stays as it is if its parts would not halve the meetings, as where most of its texts are links of each other.
     """
     found = []
     for left in reversed(range(ROUNDS)):
         back = F.reverse("rest")
-        ends = members.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("e"), F.min(F.length("rest")).alias("n"))
-        ends = written(ends.select("key", "n", _shared("a", "b").alias("head"), _shared("c", "e").alias("tail")), "ends")
+        sides = F.count("*") * F.sum(F.col("entry").cast("long"))
+        ends = members.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("e"), F.min(F.length("rest")).alias("n"), sides.alias("meetings"))
+        ends = written(ends.select("key", "n", "meetings", _shared("a", "b").alias("head"), _shared("c", "e").alias("tail")), "ends")
         bare = members.join(sized(ends.select("key", "head", F.least("tail", F.col("n") - F.col("head")).alias("tail"))), "key")
         bare = bare.select("key", "id", F.expr("substring(rest, head + 1, length(rest) - head - tail)").alias("rest")).withColumn("n", F.length("rest"))
-        keyed = bare.select("key", "id", F.explode_outer(remainders("rest", "n", d)).alias("part")).where("part.key is not null")
-        keyed = keyed.select(F.xxhash64("key", "part.key").alias("key"), "id", "part.entry", "part.rest")
-        met = written(_meeting(keyed), "met")
-        rows = written(only(keyed, met, "key"), "divided")
-        found.append(rows)
-        crowded = met.where(F.col("many") > CROWD)
+        keyed = bare.select(F.col("key").alias("of"), "id", F.explode_outer(remainders("rest", "n", d)).alias("part")).where("part.key is not null")
+        keyed = keyed.select("of", F.xxhash64("of", "part.key").alias("key"), "id", "part.entry", "part.rest")
+        met = written(_meeting(keyed, "of"), "met")
+        after = met.groupBy(F.col("of").alias("key")).agg(F.sum("meetings").alias("after"))
+        fewer = written(ends.join(after, "key", "left").where("2 * coalesce(after, 0) <= meetings").select("key"), "fewer")
+        found.append(members.join(sized(fewer), "key", "left_anti").select("key", "id", "entry"))
+        rows = written(only(keyed, met.join(sized(fewer.withColumnRenamed("key", "of")), "of", "left_semi"), "key"), "divided")
+        crowded = written(only(met, fewer.withColumnRenamed("key", "of"), "of").where(F.col("many") > CROWD).select("key"), "crowded")
+        found.append(rows.join(sized(crowded), "key", "left_anti").select("key", "id", "entry") if left else rows.select("key", "id", "entry"))
         if not left or crowded.isEmpty():
             break
-        crowded = written(crowded.select("key"), "crowded")
-        found[-1] = rows.join(sized(crowded), "key", "left_anti")
-        members = written(only(rows, crowded, "key").select("key", "id", "rest").distinct(), "members")
-    return reduce(DataFrame.union, [rows.select("key", "id", "entry") for rows in found]).groupBy("key", "id").agg(F.max("entry").alias("entry"))
+        members = written(only(rows, crowded, "key").select("key", "id", "entry", "rest").distinct(), "members")
+    return reduce(DataFrame.union, found).groupBy("key", "id").agg(F.max("entry").alias("entry"))
 
 
 def letters(text: str | Column, n: str | Column) -> Column:
@@ -205,14 +209,14 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     # keys on which different forms meet are few; only their forms go on
     met = written(_meeting(keyed), "met")
     sides = written(only(keyed, met, "key").groupBy("key", "id").agg(F.max("entry").alias("entry")), "sides")
+    forms_ = written(only(known, sides, "id").groupBy("id").agg(F.first("form").alias("form")), "forms")
     crowded = met.where(F.col("many") > CROWD)
     if not crowded.isEmpty():
         crowded = written(crowded.select("key"), "crowded")
-        some = written(only(sides, crowded, "key").select("key", "id"), "ids")
-        members = written(some.join(only(known, some, "id").groupBy("id").agg(F.first("form").alias("rest")), "id").select("key", "id", "rest"), "members")
+        members = written(only(sides, crowded, "key").join(forms_.withColumnRenamed("form", "rest"), "id").select("key", "id", "entry", "rest"), "members")
         sides = written(sides.join(sized(crowded), "key", "left_anti").select("key", "id", "entry").union(_divided(members, d)), "sides")
-    texts = only(known, sides, "id").groupBy("id").agg(F.first("form").alias("form"))
-    texts = written(texts.withColumn("n", F.length("form")).select("id", letters("form", "n").alias("letters"), F.split("form", "").alias("chars")), "texts")
+    texts = only(forms_, sides, "id").withColumn("n", F.length("form"))
+    texts = written(texts.select("id", letters("form", "n").alias("letters"), F.split("form", "").alias("chars")), "texts")
     a, b = (side.join(texts.select("id", "letters"), "id").select("key", F.col("id").alias(name), F.col("letters").alias(f"l{name}")) for side, name in ((sides.where("entry"), "a"), (sides, "b")))
     pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & may_be_near(F.col("la"), F.col("lb"), d))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
