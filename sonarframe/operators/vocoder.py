@@ -125,6 +125,7 @@ def griffin_lim(frames: DataFrame, by: str = "stream", streaming: bool = False,
             wave = np.concatenate([s.feed(f) for f in mels])
         else:
             wave = utterance(mels, np.random.default_rng(own), **options)
-        return pd.DataFrame({by: [part[by].iloc[0]] * len(wave), "idx": np.arange(len(wave)), "v": wave})
+        key = part[by].iloc[:1].repeat(len(wave)).reset_index(drop=True)  # keeps its type where an utterance is too short to make a sample final
+        return pd.DataFrame({by: key, "idx": np.arange(len(wave)), "v": wave})
 
     return frames.select(by, "frame", "mel").groupBy(by).applyInPandas(make, f"{by} {kind}, idx bigint, v smallint")
