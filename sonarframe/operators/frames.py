@@ -70,12 +70,25 @@ def stacked(frames: DataFrame, value: str = "energy", by: str = "stream", order:
     return out if pad else out.where(F.col("frame") >= skip).withColumn("frame", F.col("frame") - skip)
 
 
+def ordered_means(frames: DataFrame, value: str, by: str, idx: str = "frame", block: int = BLOCK) -> DataFrame:
+    """_by and _mean: each stream's mean, added up in the order of idx within blocks and then from block to block.
+
+    So its last digit, which decides for values that are just as far from the mean as a threshold, is the same however the rows are dealt.
+    """
+    added = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("at"), F.col(value).cast("double").alias("v")))))
+    parts = frames.groupBy(F.col(by).alias("_by"), F.floor(F.col(idx) / block).alias("_b")).agg(rows.alias("_rows"))
+    parts = parts.select("_by", F.struct(F.col("_b").alias("at"), added(F.col("_rows.v")).alias("v"), F.size("_rows").alias("n")).alias("_part"))
+    ends = parts.groupBy("_by").agg(F.array_sort(F.collect_list("_part")).alias("_parts"), F.sum("_part.n").alias("_n"))
+    return ends.select("_by", F.try_divide(added(F.col("_parts.v")), F.col("_n")).alias("_mean"))
+
+
 def voiced(frames: DataFrame, value: str, context: int, share: float, threshold: float, scale: float, by: str = "stream", block: int = BLOCK) -> DataFrame:
     """Adds hot and voiced: a frame is hot above threshold + scale * mean, voiced if enough frames around it are hot.
 
     Around are the `context` frames before it, itself, and context - 1 after it; frames are numbered without gaps.
     """
-    level = frames.groupBy(F.col(by).alias("_by")).agg((F.lit(threshold) + scale * F.avg(value)).alias("_level"))
+    level = ordered_means(frames, value, by).select("_by", (F.lit(threshold) + scale * F.col("_mean")).alias("_level"))
     out = frames.join(level, F.col(by).eqNullSafe(F.col("_by"))).withColumn("hot", (F.col(value) > F.col("_level")).cast("int")).drop("_by", "_level")
     around = Window.partitionBy(by, "_block").orderBy("frame").rowsBetween(-context, context - 1)
     out = with_halo(out, "frame", context, max(context - 1, 0), block).withColumn("voiced", F.sum("hot").over(around) >= F.count("*").over(around) * share)

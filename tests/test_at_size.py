@@ -1,6 +1,8 @@
-"""What small tables do not show: groups of a single row."""
+"""What small tables do not show: groups of a single row, ties that a sum's order decides, many streams."""
 
-from sonarframe.operators import vocoder
+import numpy as np
+
+from sonarframe.operators import frames, vocoder
 
 
 def test_an_utterance_too_short_for_a_block_has_no_samples(spark):
@@ -9,3 +11,35 @@ def test_an_utterance_too_short_for_a_block_has_no_samples(spark):
         rows = [(short, 0, mel)] + [(long, k, mel) for k in range(3)]
         made = vocoder.griffin_lim(spark.createDataFrame(rows, f"stream {kind}, frame bigint, mel array<double>"), streaming=True)
         assert {(r["stream"], r["count"]) for r in made.groupBy("stream").count().collect()} == {(long, 320)}
+
+
+def tied(seed, n=65):
+    """Values of two digits, the first of which is just 0.5 above the mean, so that the order of the sum decides on which side it is."""
+    cents = np.random.default_rng(seed).integers(1, 20000, n).tolist()
+    cents[-1] += -(50 * n + sum(cents[1:])) % (n - 1)
+    cents[0] = (50 * n + sum(cents[1:])) // (n - 1)
+    assert n * (cents[0] - 50) == sum(cents)
+    return [c / 100 for c in cents]
+
+
+def above(values, order):
+    total = 0.0
+    for k in order:
+        total += values[k]
+    return values[0] > 0.5 + total / len(values)
+
+
+def test_a_tie_with_the_mean_is_decided_by_the_sum_in_order(spark):
+    found = [x for x in map(tied, range(60)) if above(x, range(65)) != above(x, reversed(range(65)))]
+    assert len(found) > 3
+    rows = [(s, k, v) for s, x in enumerate(found) for k, v in enumerate(x)][::-1]
+    df = spark.createDataFrame(rows, "stream bigint, frame bigint, v double")
+    for dealt in (df.coalesce(1), df.repartition(3, "frame")):
+        hot = frames.voiced(dealt, "v", 5, 0.6, 0.5, 1.0).where("frame = 0").select("stream", "hot").collect()
+        assert {r["stream"]: r["hot"] for r in hot} == {s: int(above(x, range(65))) for s, x in enumerate(found)}
+
+
+def test_means_of_blocks_nulls_and_streams_without_values(spark):
+    rows = [(1, k, float(k)) for k in range(10)] + [(1, 10, None), (2, 0, None), (None, 0, 3.0)]
+    df = spark.createDataFrame(rows, "stream bigint, frame bigint, v double")
+    assert {tuple(r) for r in frames.ordered_means(df, "v", "stream", block=4).collect()} == {(1, 4.5), (2, None), (None, 3.0)}
