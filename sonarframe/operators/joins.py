@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import carried
+from .staging import FEW, sized, staged
 from .statistics import PARTS
 
 
@@ -14,12 +15,13 @@ def nearest(probes: DataFrame, grid: DataFrame, by: str = "stream", at: str = "t
 
     A union of both sides, sorted within ranges of times that hold about as many grid rows each, carries the last
     grid row before and the first after; what a range lacks comes from the ends of the ranges around it.  No
-    pairs are made and no stream is in one task.  Probes of a stream without grid rows have a null hit.  `at` is a number.
+    pairs are made and no stream is in one task.  The ranges' ends, which depend on the order in which tasks'
+    summaries meet, are worked out once and kept.  Probes of a stream without grid rows have a null hit.  `at` is a number.
     """
     cuts = grid.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
     a = probes.withColumn("_side", F.lit(1)).withColumn("_g", F.lit(None).cast(f"struct<at:{grid.schema[at].dataType.simpleString()},hit:{grid.schema[keep].dataType.simpleString()}>"))
     b = grid.select(by, F.col(at), F.lit(0).alias("_side"), F.struct(F.col(at).alias("at"), F.col(keep).alias("hit")).alias("_g"))
-    both = a.unionByName(b, allowMissingColumns=True).join(cuts, F.col(by).eqNullSafe(F.col("_by")), "left")
+    both = a.unionByName(b, allowMissingColumns=True).join(sized(staged(cuts, "cuts"), FEW // PARTS), F.col(by).eqNullSafe(F.col("_by")), "left")
     both = both.withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(at))), F.lit(0))).drop("_by", "_cuts")
     at_grid = F.when(F.col("_g").isNotNull(), F.col(at))
     ends = F.struct(F.max_by("_g", at_grid).alias("last"), F.min_by("_g", at_grid).alias("first"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .selection import medians
+from .staging import FEW, sized, staged
 
 #: Value ranges into which ranking cuts each group.
 PARTS = 64
@@ -44,10 +45,11 @@ def ranks(df: DataFrame, value: str, by: str, name: str = "rank") -> DataFrame:
 
     Equal values are counted before anything is sorted, and each group is cut into ranges of values by
     approximate quantiles, so that neither a group nor a frequent value makes one large task.  The ranks are exact.
+    The quantiles depend on the order in which tasks' summaries meet, so they are worked out once and kept.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
     cuts = counted.groupBy(by).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
-    cut = counted.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    cut = counted.join(sized(staged(cuts, "cuts"), FEW // PARTS), by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     before = cut.groupBy(by, "_part").agg(F.sum("_c").alias("_all"))
     before = before.withColumn("_before", F.coalesce(F.sum("_all").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_all")
     within = F.coalesce(F.sum("_c").over(Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,8 +1,10 @@
 """What small tables do not show: groups of a single row, ties that a sum's order decides, many streams."""
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
-from sonarframe.operators import frames, vocoder
+from sonarframe.operators import frames, joins, statistics, vocoder
 
 
 def test_an_utterance_too_short_for_a_block_has_no_samples(spark):
@@ -43,3 +45,34 @@ def test_means_of_blocks_nulls_and_streams_without_values(spark):
     rows = [(1, k, float(k)) for k in range(10)] + [(1, 10, None), (2, 0, None), (None, 0, 3.0)]
     df = spark.createDataFrame(rows, "stream bigint, frame bigint, v double")
     assert {tuple(r) for r in frames.ordered_means(df, "v", "stream", block=4).collect()} == {(1, 4.5), (2, None), (None, 3.0)}
+
+
+def any_cuts(monkeypatch):
+    """Quantiles are other ones each time they are worked out, as they are where tasks' summaries meet in any order."""
+
+    @F.pandas_udf("array<double>")
+    def drawn(v: pd.Series) -> list:
+        return np.sort(np.random.default_rng().choice(v.to_numpy(dtype=float), 5)).tolist()
+
+    monkeypatch.setattr(F, "percentile_approx", lambda value, *_: drawn(F.col(value).cast("double")))
+
+
+def test_ranks_whatever_the_quantiles(spark, monkeypatch):
+    any_cuts(monkeypatch)
+    df = spark.createDataFrame([(k % 2, float(k * 7919 % 1009)) for k in range(2018)], "bin bigint, v double")
+    for b in range(2):
+        found = [r["rank"] for r in statistics.ranks(df, "v", "bin").where(F.col("bin") == b).orderBy("v").collect()]
+        assert found == counted_ranks([k * 7919 % 1009 for k in range(b, 2018, 2)])
+
+
+def counted_ranks(values):
+    """Average ranks by counting."""
+    return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in sorted(values)]
+
+
+def test_nearest_whatever_the_quantiles(spark, monkeypatch):
+    any_cuts(monkeypatch)
+    grid = [(0, float(k * 7919 % 1009)) for k in range(0, 1009, 3)]
+    probes = [(0, k + 0.25) for k in range(1009)]
+    made = joins.nearest(spark.createDataFrame(probes, "stream bigint, t double"), spark.createDataFrame(grid, "stream bigint, t double"))
+    assert {r["t"]: r["hit"] for r in made.collect()} == {t: min((g for _, g in grid), key=lambda g: (abs(g - t), g)) for _, t in probes}
