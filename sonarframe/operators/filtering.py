@@ -37,19 +37,31 @@ def _run(stages: Stages, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray,
     return x, np.concatenate(ends)
 
 
-def _begin(stages: Stages, zeros: int, head: float) -> np.ndarray:
-    """The state of all stages before a stream's first sample."""
-    out, x = [], np.array([[head]])
+def _begin(stages: Stages, zeros: int, heads: np.ndarray) -> np.ndarray:
+    """The state of all stages (numbers x streams) before the first samples of streams."""
+    out, x = [], heads[None, :]
     for sections, start in stages:
         if start == "cold":
             state = filters.cold(sections, x[0])
         else:
             state = filters.warm(sections, 1, zeros) if start == "warm" else np.zeros((len(sections), 2, 1))
-        out.append(state.ravel())
+            state = np.repeat(state, len(heads), axis=2)
+        out.append(state.reshape(2 * len(sections), -1))
         x, _ = filters.run(sections, x, state)
     return np.concatenate(out)
 
 
+def _vectors(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of an array column of doubles, all of this width."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _arrays(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an array column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def _columns(x: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray, height: int) -> np.ndarray:
     """The groups `of` as columns, zeros below the shorter ones."""
     at = begin[of] + np.arange(height)[:, None]
@@ -76,25 +88,30 @@ def cascade(df: DataFrame, stages: Stages, by: str = "stream", zeros: int = 0, c
             if len(full):
                 own[full] = _run(stages, _columns(x, begin, size, full, chunk), np.zeros((n_states, len(full))))[1].T
             first = table.take(pa.array(begin))
-            yield pa.RecordBatch.from_arrays([*(first[k].combine_chunks() for k in keys), pa.array(x[begin]), pa.array(list(own), pa.list_(pa.float64()))], names=[*keys, "head", "own"])
+            yield pa.RecordBatch.from_arrays([*(first[k].combine_chunks() for k in keys), pa.array(x[begin]), _arrays(own)], names=[*keys, "head", "own"])
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        move = _run(stages, np.zeros((chunk, n_states)), np.eye(n_states))[1]
+        """All streams at once: their first chunks, then the second ones of those that have any, and so on."""
+        move = None
         for table, begin in whole(batches, [by]):
-            heads, first, out = numbers(table, "head"), set(begin.tolist()), []
-            for k, own in enumerate(table["own"].to_pylist()):
-                if k in first:
-                    state = _begin(stages, zeros, heads[k])
-                out.append(state)
-                state = move @ state + own
-            yield pa.RecordBatch.from_arrays([*(table[k].combine_chunks() for k in keys), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "_state"])
+            own, out = _vectors(table["own"], n_states), np.empty((len(table), n_states))
+            left = np.diff(np.append(begin, len(table)))
+            at, state = begin, _begin(stages, zeros, numbers(table, "head")[begin]).T
+            while len(at):
+                out[at] = state
+                more = left > 1
+                if more.any() and move is None:
+                    move = _run(stages, np.zeros((chunk, n_states)), np.eye(n_states))[1]
+                state = state[more] @ move.T + own[at[more]] if more.any() else state[more]
+                at, left = at[more] + 1, left[more] - 1
+            yield pa.RecordBatch.from_arrays([*(table[k].combine_chunks() for k in keys), _arrays(out)], names=[*keys, "_state"])
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first row of each chunk is its state."""
         for table, begin in whole(batches, keys):
             x = np.nan_to_num(numbers(table, "v"))
             size = np.diff(np.append(begin, len(x))) - 1
-            state = np.array(table["_state"].take(pa.array(begin)).to_pylist(), dtype=float)
+            state = _vectors(table["_state"].take(pa.array(begin)), n_states)
             y = np.zeros(len(x))
             step = min(chunk, 128)
             height = -(-size // step) * step

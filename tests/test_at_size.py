@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sonarframe.operators import frames, joins, statistics, vocoder
+from sonarframe.functions import filters
+from sonarframe.operators import filtering, frames, joins, statistics, vocoder
 
 
 def test_an_utterance_too_short_for_a_block_has_no_samples(spark):
@@ -76,3 +77,24 @@ def test_nearest_whatever_the_quantiles(spark, monkeypatch):
     probes = [(0, k + 0.25) for k in range(1009)]
     made = joins.nearest(spark.createDataFrame(probes, "stream bigint, t double"), spark.createDataFrame(grid, "stream bigint, t double"))
     assert {r["t"]: r["hit"] for r in made.collect()} == {t: min((g for _, g in grid), key=lambda g: (abs(g - t), g)) for _, t in probes}
+
+
+def test_first_states_of_all_streams_are_made_together(monkeypatch):
+    stages = [(s, k) for s, k in zip(filters.high_gamma(1024.0), ("cold", "rest", "warm"), strict=True)]
+    heads = np.random.default_rng(0).normal(size=500)
+    one_by_one = np.concatenate([filtering._begin(stages, 41, heads[k : k + 1]) for k in range(500)], axis=1)
+    calls, run = [], filters.run
+    monkeypatch.setattr(filters, "run", lambda *a, **b: calls.append(1) or run(*a, **b))
+    assert np.allclose(filtering._begin(stages, 41, heads), one_by_one, rtol=1e-12, atol=1e-12)
+    assert len(calls) == len(stages) + 1
+
+
+def test_streams_of_no_full_chunk_and_of_many(spark):
+    """Against a run over the whole stream, for many streams in a task."""
+    sections, rng = filters.butterworth(2, "low", (40.0,), 250.0), np.random.default_rng(1)
+    streams = {s: rng.normal(size=n) for s, n in enumerate([1, 7, 8, 9, 16, 17, 40, 3, 64])}
+    df = spark.createDataFrame([(s, k, float(v)) for s, x in streams.items() for k, v in enumerate(x)], "stream bigint, idx bigint, v double").coalesce(1)
+    got = {(r["stream"], r["idx"]): r["v"] for r in filtering.filtered(df, sections, chunk=8).collect()}
+    for s, x in streams.items():
+        want = filters.run(sections, x[:, None], filters.cold(sections, x[:1]))[0][:, 0]
+        assert np.allclose([got[s, k] for k in range(len(x))], want, atol=1e-12)
