@@ -35,14 +35,15 @@ def neural(samples: DataFrame, o: Options, by: str = "stream") -> DataFrame:
     filtered = filtering.high_gamma(samples.select(by, "idx", "v"), o.sr, o.line_noise, by, o.lead if o.warm else 0)
     if o.warm:
         filtered = filtered.withColumn("idx", F.col("idx") + o.lead)
-    made = frames.log_energy(frames.framed(filtered, o.sr, o.length_ms, o.shift_ms, by), by)
+    sizes = frames.lengths(samples.withColumn("idx", F.col("idx") + (o.lead if o.warm else 0)), by)
+    made = frames.log_energy(frames.framed(filtered, o.sr, o.length_ms, o.shift_ms, by, sizes), by)
     return frames.stacked(made, by=by, order=o.order, step=o.step) if o.stack else made
 
 
 def neural_batch(samples: DataFrame, o: Options, by: str = "stream") -> DataFrame:
     """The batch twin: frames from the first sample on, and no features for frames without enough before them."""
     filtered = filtering.high_gamma(samples.select(by, "idx", "v"), o.sr, o.line_noise, by, o.lead)
-    made = frames.log_energy(frames.batch_framed(filtered, o.sr, o.length_ms, o.shift_ms, by), by)
+    made = frames.log_energy(frames.batch_framed(filtered, o.sr, o.length_ms, o.shift_ms, by, frames.lengths(samples, by)), by)
     return frames.stacked(made, by=by, order=o.order, step=o.step, pad=False) if o.stack else made
 
 

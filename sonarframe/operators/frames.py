@@ -26,27 +26,28 @@ def lengths(samples: DataFrame, by: str, name: str = "_n") -> DataFrame:
     return staged(samples.groupBy(by).agg((F.max("idx") + 1).alias(name)), "lengths")
 
 
-def framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float = 10, by: str = "stream") -> DataFrame:
+def framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float = 10, by: str = "stream", sizes: DataFrame | None = None) -> DataFrame:
     """stream, frame, idx, v: each sample once for each frame that holds it.
 
     A sample finds its frames by arithmetic on its position, so there is no join: the candidates are the
-    few frames whose nominal ends are near, and the exact ends decide.
+    few frames whose nominal ends are near, and the exact ends decide.  sizes are the lengths() of the streams, where
+    they can be had without working out the samples.
     """
     size = int(length_ms / 1000 * sr)
     shift = shift_ms / 1000 * sr
     low = F.greatest(F.floor((F.col("idx") - size) / shift) - 1, F.lit(0))
     high = F.floor(F.col("idx") / shift) + 1
-    out = beside(samples, lengths(samples, by), [by]).withColumn("frame", F.explode(F.sequence(low, high)))
+    out = beside(samples, lengths(samples, by) if sizes is None else sizes, [by]).withColumn("frame", F.explode(F.sequence(low, high)))
     end = F.bround((F.col("frame") * shift_ms + size / sr * 1000) / 1000 * sr, 0).cast("bigint")
     out = out.withColumn("_end", F.when(F.col("frame") == 0, size).otherwise(end))
     return out.where((F.col("idx") < F.col("_end")) & (F.col("idx") >= F.col("_end") - size) & (F.col("_end") <= F.col("_n"))).drop("_n", "_end")
 
 
-def batch_framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float = 10, by: str = "stream") -> DataFrame:
+def batch_framed(samples: DataFrame, sr: float, length_ms: float = 50, shift_ms: float = 10, by: str = "stream", sizes: DataFrame | None = None) -> DataFrame:
     """As framed(), with the frames of the batch twin: frame k begins at round(k * shift) and there are floor((n - size) / shift) + 1."""
     size, shift = length_ms / 1000 * sr, shift_ms / 1000 * sr
     low = F.greatest(F.floor((F.col("idx") - size) / shift) - 1, F.lit(0))
-    out = beside(samples, lengths(samples, by), [by]).withColumn("frame", F.explode(F.sequence(low, F.floor(F.col("idx") / shift) + 1)))
+    out = beside(samples, lengths(samples, by) if sizes is None else sizes, [by]).withColumn("frame", F.explode(F.sequence(low, F.floor(F.col("idx") / shift) + 1)))
     begin = F.bround(F.col("frame") * shift, 0)
     return out.where((F.col("frame") < F.floor((F.col("_n") - size) / shift) + 1) & (F.col("idx") >= begin) & (F.col("idx") < begin + int(size))).drop("_n")
 

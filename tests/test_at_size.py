@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sonarframe.functions import filters
-from sonarframe.operators import filtering, frames, joins, statistics, vocoder
+from sonarframe.operators import features, filtering, frames, joins, statistics, vocoder
 
 
 def test_an_utterance_too_short_for_a_block_has_no_samples(spark):
@@ -98,3 +98,12 @@ def test_streams_of_no_full_chunk_and_of_many(spark):
     for s, x in streams.items():
         want = filters.run(sections, x[:, None], filters.cold(sections, x[:1]))[0][:, 0]
         assert np.allclose([got[s, k] for k in range(len(x))], want, atol=1e-12)
+
+
+def test_features_do_not_filter_for_the_lengths_of_streams(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(frames, "lengths", lambda samples, *a, f=frames.lengths: asked.append(samples) or f(samples, *a))
+    df = spark.createDataFrame([(s, k, float(k % 7)) for s in range(2) for k in range(80)], "stream bigint, idx bigint, v double")
+    for make in (features.neural, features.neural_batch):
+        make(df, features.Options(stack=False)).collect()
+    assert len(asked) == 2 and not any("MapInArrow" in d._jdf.queryExecution().toString() for d in asked)
