@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dtw, frames, joins, lda, quantize, statistics
+from .staging import staged
 
 
 def trial_grid(words: DataFrame, sr: float, seconds: float, by: str = "stream") -> DataFrame:
@@ -72,7 +73,7 @@ def _reconstructed(both: DataFrame, turns: dict[int, int], n: int, k: int, book:
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: p != F.col("fold"))).alias("part")
     rest = both.select("frame", "x", "y", (F.col("cell") - F.col("fold")).alias("_first"), others).withColumn("cell", F.col("_first") + F.col("part"))
     if features is not None:
-        chosen = select_features_by(rest, "cell", features)
+        chosen = select_features_outside(both, features, k)
         picks = F.array(*(F.array(*map(F.lit, chosen.get(p, []))).cast("array<int>") for p in range(k * len(turns))))
         picked = lambda df: df.withColumn("x", F.transform(F.get(picks, F.col("cell").cast("int")), lambda i: F.get("x", i)))
         rest, both = picked(rest), picked(both)
@@ -90,7 +91,23 @@ def select_features_by(df: DataFrame, by: str, k: int, x: str = "x", y: str = "y
 
     ranked = statistics.ranks(df.select(by, F.col(x).alias("x"), arrays.mean(y).alias("target")), "target", by, "rank")
     long = ranked.select(by, "rank", F.posexplode("x").alias("feature", "v")).select(F.struct(by, "feature").alias("cell"), "rank", "v")
-    rho = statistics.spearman(long, "cell", "v", "rank", ranked=True).select("cell.*", "rho")
+    return _strongest(statistics.spearman(long, "cell", "v", "rank", ranked=True).select("cell.*", "rho"), by, k)
+
+
+def select_features_outside(df: DataFrame, features: int, k: int, x: str = "x", y: str = "y") -> dict[int, list[int]]:
+    """select_features_by() for each cell, run * k + fold, of the rows (cell, fold, x, y) of its run that are in other folds, without repeating the rows."""
+    from ..functions import arrays
+
+    rows = df.select((F.col("cell") - F.col("fold")).alias("_run"), "fold", F.col(x).alias("x"), arrays.mean(y).alias("target"))
+    ranked = staged(statistics.ranks_outside(rows, "target", "_run", k, "_rt"), "ranked")
+    long = ranked.select("_run", "fold", "_rt", F.posexplode("x").alias("feature", "v")).select(F.struct("_run", "feature").alias("_group"), "fold", "_rt", "v")
+    both = statistics.ranks_outside(long, "v", "_group", k, "_rx")
+    part = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: p != F.col("fold"))).alias("_p")
+    each = both.select("_group", "_rx", "_rt", "v", part).select((F.col("_group._run") + F.col("_p")).alias("cell"), F.col("_group.feature").alias("feature"), F.get("_rx", F.col("_p")).alias("_rx"), F.get("_rt", F.col("_p")).alias("_rt"), "v")
+    return _strongest(statistics.of_ranks(each, "v", "cell", "feature"), "cell", features)
+
+
+def _strongest(rho: DataFrame, by: str, k: int) -> dict[int, list[int]]:
     order = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.abs("rho")), F.desc("feature")))
     out: dict[int, list[int]] = {}
     for r in rho.withColumn("order", order).where(F.col("order") <= k).orderBy(by, F.desc("order")).collect():  # k rows each

@@ -58,14 +58,36 @@ def ranks(df: DataFrame, value: str, by: str, name: str = "rank") -> DataFrame:
     return df.join(ranked, [by, value], "left")
 
 
+def ranks_outside(df: DataFrame, value: str, by: str, k: int, name: str, fold: str = "fold") -> DataFrame:
+    """df with an array of k average ranks of the value: the p-th is as ranks() of the group's rows outside of fold p has it.
+
+    A value's rows are counted once for all folds, so rows are not repeated for the folds whose rest they are in.
+    """
+    folds = range(k)
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(*(F.count_if(F.col(fold) != p).alias(f"_c{p}") for p in folds))
+    cuts = counted.groupBy(by).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
+    cut = counted.join(sized(staged(cuts, "cuts"), FEW // PARTS), by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(by, "_part").agg(*(F.sum(f"_c{p}").alias(f"_c{p}") for p in folds)).select(by, "_part", *(F.coalesce(F.sum(f"_c{p}").over(earlier), F.lit(0)).alias(f"_b{p}") for p in folds))
+    ranked = cut.select(by, value, "_part", *(f"_c{p}" for p in folds), *(F.coalesce(F.sum(f"_c{p}").over(within), F.lit(0)).alias(f"_w{p}") for p in folds)).join(before, [by, "_part"])
+    ranked = ranked.select(by, value, F.array(*(F.col(f"_b{p}") + F.col(f"_w{p}") + (F.col(f"_c{p}") + 1) / 2 for p in folds)).alias(name))
+    return df.join(ranked, [by, value], "left")
+
+
 def spearman(df: DataFrame, by: str, x: str, target: str, ranked: bool = False) -> DataFrame:
     """by and rho of x against the target; 0 where either does not vary.  Sums near zero count as no signal.
 
     ranked: the target is ranks already, for a target that all groups share; see target_ranks().
     """
     both = ranks(df.withColumn("_rt", F.col(target)) if ranked else ranks(df, target, by, "_rt"), x, by, "_rx")
-    rho = both.groupBy(by).agg(pearson("_rx", "_rt").alias("rho"), F.sum(x).alias("_s"))
-    return rho.select(by, F.when(F.abs("_s") < 1e-8, 0.0).otherwise(F.coalesce("rho", F.lit(0.0))).alias("rho"))
+    return of_ranks(both, x, by)
+
+
+def of_ranks(both: DataFrame, x: str, *by: str) -> DataFrame:
+    """by and rho of rows with the ranks _rx of x and _rt of the target."""
+    rho = both.groupBy(*by).agg(pearson("_rx", "_rt").alias("rho"), F.sum(x).alias("_s"))
+    return rho.select(*by, F.when(F.abs("_s") < 1e-8, 0.0).otherwise(F.coalesce("rho", F.lit(0.0))).alias("rho"))
 
 
 def target_ranks(df: DataFrame, target: str, name: str) -> DataFrame:

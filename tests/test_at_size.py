@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sonarframe.functions import filters
-from sonarframe.operators import features, filtering, frames, joins, statistics, vocoder
+from sonarframe.operators import experiment, features, filtering, frames, joins, statistics, vocoder
 
 
 def test_an_utterance_too_short_for_a_block_has_no_samples(spark):
@@ -107,3 +107,15 @@ def test_features_do_not_filter_for_the_lengths_of_streams(spark, monkeypatch):
     for make in (features.neural, features.neural_batch):
         make(df, features.Options(stack=False)).collect()
     assert len(asked) == 2 and not any("MapInArrow" in d._jdf.queryExecution().toString() for d in asked)
+
+
+def test_features_chosen_outside_of_folds_are_those_of_the_repeated_rows(spark, monkeypatch):
+    rng, k = np.random.default_rng(3), 4
+    rows = [(2 * (r // 60) * k + r % k, r % k, rng.integers(0, 9, 6).astype(float).tolist(), rng.normal(size=2).tolist()) for r in range(120)]
+    df = spark.createDataFrame(rows, "cell bigint, fold bigint, x array<double>, y array<double>")
+    parts = df.crossJoin(spark.range(k).withColumnRenamed("id", "p")).where("p <> fold").withColumn("cell", F.expr("cell - fold + p"))
+    assert experiment.select_features_outside(df, 3, k) == experiment.select_features_by(parts, "cell", 3)
+    asked = []
+    monkeypatch.setattr(experiment, "select_features_by", lambda *a, **b: asked.append(a))
+    frames_ = spark.createDataFrame([(r, [float(v) for v in rng.normal(size=3)], [float(v) for v in rng.normal(size=2)]) for r in range(40)], "frame bigint, x array<double>, y array<double>")
+    assert experiment.reconstructed(frames_, "x", "y", 4, 3, features=2).count() == 40 and not asked
