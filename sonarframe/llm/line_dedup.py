@@ -121,12 +121,13 @@ def _divided(members: DataFrame, d: int) -> DataFrame:
         bare = members.join(sized(ends.select("key", "head", F.least("tail", F.col("n") - F.col("head")).alias("tail"))), "key")
         bare = bare.select("key", "id", F.expr("substring(rest, head + 1, length(rest) - head - tail)").alias("rest")).withColumn("n", F.length("rest"))
         keyed = bare.select(F.col("key").alias("of"), "id", F.explode_outer(remainders("rest", "n", d)).alias("part")).where("part.key is not null")
-        keyed = keyed.select("of", F.xxhash64("of", "part.key").alias("key"), "id", "part.entry", "part.rest")
+        keyed = written(keyed.select("of", F.xxhash64("of", "part.key").alias("key"), "id", "part.entry", "part.rest"), "keyed")
         met = written(_meeting(keyed, "of"), "met")
         after = met.groupBy(F.col("of").alias("key")).agg(F.sum("meetings").alias("after"))
         fewer = written(ends.join(after, "key", "left").where("2 * coalesce(after, 0) <= meetings").select("key"), "fewer")
         found.append(members.join(sized(fewer), "key", "left_anti").select("key", "id", "entry"))
         rows = written(only(keyed, met.join(sized(fewer.withColumnRenamed("key", "of")), "of", "left_semi"), "key"), "divided")
+        delete(keyed)
         crowded = written(only(met, fewer.withColumnRenamed("key", "of"), "of").where(F.col("many") > CROWD).select("key"), "crowded")
         found.append(rows.join(sized(crowded), "key", "left_anti").select("key", "id", "entry") if left else rows.select("key", "id", "entry"))
         if not left or crowded.isEmpty():
@@ -210,9 +211,9 @@ def classes(documents: DataFrame, d: int = DISTANCE, least: int = LEAST) -> Data
     met = written(_meeting(keyed), "met")
     sides = written(only(keyed, met, "key").groupBy("key", "id").agg(F.max("entry").alias("entry")), "sides")
     forms_ = written(only(known, sides, "id").groupBy("id").agg(F.first("form").alias("form")), "forms")
-    crowded = met.where(F.col("many") > CROWD)
+    # met counts the copies of a form, sides has each form once
+    crowded = written(only(sides, met.where(F.col("many") > CROWD), "key").groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > CROWD).select("key"), "crowded")
     if not crowded.isEmpty():
-        crowded = written(crowded.select("key"), "crowded")
         members = written(only(sides, crowded, "key").join(forms_.withColumnRenamed("form", "rest"), "id").select("key", "id", "entry", "rest"), "members")
         sides = written(sides.join(sized(crowded), "key", "left_anti").select("key", "id", "entry").union(_divided(members, d)), "sides")
     texts = only(forms_, sides, "id").withColumn("n", F.length("form"))

@@ -261,6 +261,38 @@ def test_lines_of_one_template_do_not_make_all_pairs(spark, monkeypatch):
     assert made[900] < 900 * 64 and made[2700] < 2700 * 64, made
 
 
+def test_copies_of_a_line_are_no_crowd(spark, monkeypatch):
+    a, b = "a line that is long enough to count", "a line that is long enough to court"
+    monkeypatch.setattr(line_dedup, "_divided", lambda *_: pytest.fail("two forms are no crowd"))
+    got = line_dedup.classes(table(spark, [(k, b if k % 2 else a) for k in range(200)])).collect()
+    assert {(r["class_doc_id"], r["copies"], r["n_links"], r["kept"]) for r in got if r["doc_id"]} == {(0, 200, 1, False)}
+
+
+def test_keys_of_a_crowd_grow_with_its_forms(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    line = [f"{w}{k}" for k, w in enumerate(rng.choice(["thon", "erening", "of", "tion"], 40))]
+    made = {}
+    for n in (200, 400):
+        forms = []
+        for at in rng.integers(0, len(line), n):
+            changed = list(line)
+            changed[at] += "".join(rng.choice(list("abcdefghijklmnopqrst"), 4))
+            forms.append(" ".join(changed))
+        count, write = Counter(), line_dedup.written
+
+        def written(df, name, count=count, write=write):
+            out = write(df, name)
+            count[name] += out.count()
+            return out
+
+        monkeypatch.setattr(line_dedup, "written", written)
+        line_dedup.classes(table(spark, list(enumerate(forms)))).count()
+        monkeypatch.undo()
+        made[n] = count["keyed"]
+    print(made)
+    assert 0 < made[400] < 2.5 * made[200], made
+
+
 def test_lines_of_odd_rows(spark):
     rows = odd_rows()
     got = line_dedup.classes(table(spark, rows)).collect()
