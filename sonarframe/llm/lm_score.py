@@ -33,10 +33,10 @@ from .textbytes import ALNUM, combine, mix, slices, words
 
 #: Weight of a word's own probability in the smoothing, and the count at which a context weighs as much as it.
 PRIOR, HALF = 0.5, 20.0
-#: Bytes of text whose keys are made distinct together.
-SLICE = 4 << 20
-#: Ranges of keys there are at least (more with more shuffle partitions), and slices for each range: a slice of 4 MB has some 9 MB of keys and counts, so a range gets some 72 MB however many slices there are.
-PARTS, SLICES = 64, 8
+#: Bytes of text whose keys are made distinct together; a task has some 24 times as much in memory for it.
+SLICE = 2 << 20
+#: Ranges of keys there are at least (more with more shuffle partitions), and slices for each range: a slice of 2 MB has some 310,000 keys, so a range gets 1,240,000 at most however many slices there are, and has some 80 bytes for each.
+PARTS, SLICES = 256, 4
 
 _END = mix(np.array([0x2545F4914F6CDD1D], dtype=np.uint64))[0]
 
@@ -52,6 +52,15 @@ def _unpack(raw: bytes, kind: str = "<u8") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, whose first bytes are mostly zero."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
+
+
 class Events:
     """What is predicted in a slice: each word, and the end of each text that has words.
 
@@ -127,12 +136,13 @@ def scored(documents: DataFrame, in_target: Column, *keep: str, in_background: C
             e = Events(data, offsets)
             member = [np.asarray(run[m].to_numpy(), dtype=bool)[e.row] for m in marks]
             n = [np.bincount(e.which, weights=m, minlength=len(e.keys)) + np.bincount(e.pair, weights=m[e.at], minlength=len(e.keys)) for m in member]
-            found = [(run["_slice"][0].as_py(), run["_at"][0].as_py(), len(run), p, _pack(e.keys[w]), *(_pack(x[w], "<u4") for x in n)) for p, w in _cuts(e.keys, parts)]
+            found = [(run["_slice"][0].as_py(), run["_at"][0].as_py(), len(run), p, _pack_sorted(e.keys[w]), *(_pack(x[w], "<u4") for x in n)) for p, w in _cuts(e.keys, parts)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 3], strict=True)], names=["_slice", "_at", "rows", "part", "keys", "background", "target"])
+            del e, member, n, found  # not kept while the next slice is worked on
 
     def answer(asked: pa.Table) -> pa.Table:
-        keys, place = np.unique(np.concatenate([_unpack(k) for k in asked["keys"].to_pylist()]), return_inverse=True)
+        keys, place = np.unique(np.concatenate([_unpack_sorted(k) for k in asked["keys"].to_pylist()]), return_inverse=True)
         total = [np.bincount(place, weights=np.concatenate([_unpack(x, "<u4") for x in asked[c].to_pylist()]), minlength=len(keys)) for c in ("background", "target")]
         word = keys & np.uint64(1) == 0
         ends = np.cumsum([0, *(len(k) // 8 for k in asked["keys"].to_pylist())])

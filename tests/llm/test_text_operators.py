@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -625,6 +626,18 @@ def test_scores_do_not_depend_on_slices_and_ranges(spark, monkeypatch):
     assert list(lm_score._cuts(np.array([1, 1 << 63], dtype=np.uint64), 2)) == [(0, slice(0, 1)), (1, slice(1, 2))]
 
 
+def test_a_slice_takes_little_memory():
+    rng = np.random.default_rng(12)
+    text = " ".join(rng.choice([f"w{k}x{k % 7}" for k in range(40_000)], lm_score.SLICE // 6)).encode()[: lm_score.SLICE]
+    tracemalloc.start()
+    e = lm_score.Events(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text) // 2, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+    keys = np.concatenate([e.keys, np.array([np.iinfo(np.uint64).max], dtype=np.uint64)])
+    assert (lm_score._unpack_sorted(lm_score._pack_sorted(keys)) == keys).all()
+
+
 def test_size_does_not_tell_in_the_score(spark):
     """Target and background alike, the target a twentieth of it: scores are about 0."""
     rng = np.random.default_rng(15)
